@@ -1,0 +1,4 @@
+"""Every input of this toolkit is a bounded file, so there is no streaming operator.
+
+The operators are ordinary DataFrame functions; nothing here needs watermarks or state.
+"""
