@@ -1 +1,812 @@
-"""(to come)"""
+"""Whole feature tables, models and forecasts.
+
+A linear model of one column has a closed solution, so those queries have SQL counterparts;
+tree ensembles have none and are covered by tests of their own.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from panelforge.catalog.aggregations import rounded
+from panelforge.catalog.registry import query
+from panelforge.catalog.views import (
+    BASE_YEAR,
+    FEE_SQL,
+    FIRST_PERIOD,
+    HOUSES_SQL,
+    SALES_SQL,
+    TARGET_PERIOD,
+    VISITS_SQL,
+    fee_lines,
+    houses,
+    sales,
+    visits,
+)
+from panelforge.models import (
+    AdaBoostR2,
+    AveragingRegressor,
+    PolynomialRidge,
+    StackingRegressor,
+    blend,
+    elastic_net,
+    gradient_boosting,
+    histogram_boosting,
+    lasso,
+    random_forest,
+    regularised_boosting,
+    sgd_linear,
+)
+from panelforge.models import validation as va
+from panelforge.models.ensemble import predict
+from panelforge.operators import ranking as rk
+from panelforge.operators.aggregates import rmse
+from panelforge.operators.entity import venue_risk
+from panelforge.operators.filters import after
+from panelforge.operators.impute import FillPolicy
+from panelforge.plans import claims, listings, panel, presets
+from panelforge.session import pin
+from panelforge.sources import Tables
+
+# -------------------------------------------------------------------------- feature tables
+
+PANEL_ROLES = panel.PanelRoles(
+    categories=["l_returnflag", "l_linestatus"],
+    measures=["p_size", "l_discount"],
+    base_year=BASE_YEAR,
+    first_period=FIRST_PERIOD,
+)
+
+_PANEL_VALUES = {
+    "sale_quantity": "sale_quantity",
+    "p_size": "p_size",
+    "l_discount": "l_discount",
+    **{f"l_returnflag_{v}": f"CAST(l_returnflag = '{v}' AS INTEGER)" for v in "ANR"},
+    **{f"l_linestatus_{v}": f"CAST(l_linestatus = '{v}' AS INTEGER)" for v in "FO"},
+}
+
+_RECENT_SQL = SALES_SQL + f", recent AS (SELECT * FROM sales WHERE sale_date > {FIRST_PERIOD})"
+_RANKS_SQL = """, ranks AS (
+  SELECT class_id, row_number() OVER (ORDER BY total, class_id DESC) AS class_trans FROM
+  (SELECT class_id, sum(sale_quantity) AS total FROM recent GROUP BY class_id))
+"""
+
+
+def _panel_records(t: Tables) -> DataFrame:
+    return panel.gather_records(sales(t), None, PANEL_ROLES)
+
+
+@query(
+    "panel_feature_table",
+    "WITH "
+    + _RECENT_SQL
+    + _RANKS_SQL
+    + f"SELECT class_trans, sale_date // 100 - {BASE_YEAR} AS year_delta, "
+    "CAST(sale_date % 100 AS INTEGER) AS month, "
+    + ", ".join(
+        f'round(sum({e})::DOUBLE, 4) AS "sum_{c}", round(avg({e}), 6) AS "mean_{c}", '
+        f'round(coalesce(stddev_samp({e}), 0), 5) AS "std_{c}"'
+        for c, e in _PANEL_VALUES.items()
+    )
+    + ", count(DISTINCT sale_quantity) AS record_num FROM recent JOIN ranks USING (class_id) "
+    "GROUP BY class_trans, sale_date",
+)
+def panel_feature_table(t: Tables):
+    table = panel.panel_table(_panel_records(t), PANEL_ROLES)
+    for stat, digits in (("sum", 4), ("mean", 6), ("std", 5)):
+        table = rounded(table, digits, *[f"{stat}_{c}" for c in _PANEL_VALUES])
+    return table
+
+
+VISIT_ROLES = claims.VisitRoles(
+    person="person",
+    venue="venue",
+    day="day",
+    text="text",
+    special="small",
+    registration="promo",
+    amounts=["drug", "claimed", "paid", "exam"],
+    cell_measures=["drug", "claimed", "exam"],
+    ratios={"claimed_rate": ("claimed", "drug"), "paid_rate": ("paid", "claimed")},
+    total_of=["drug", "exam"],
+    shares={"paid_share": "paid"},
+    fund="drug",
+    account="claimed",
+    off_account="paid",
+)
+
+_AMOUNTS, _CELLS = VISIT_ROLES.amounts, VISIT_ROLES.cell_measures
+
+
+def _cell_stats_sql(suffix: str) -> str:
+    sums = [
+        f"coalesce(stddev_samp({c}::DOUBLE), 0) AS {c}_std_{suffix}, "
+        f"CAST(sum({c}) AS DOUBLE) / count({c}) AS {c}_mean_{suffix}, "
+        f"max({c})::DOUBLE AS {c}_max_{suffix}, median({c}::DOUBLE) AS {c}_median_{suffix}"
+        for c in _CELLS
+    ]
+    flags = [
+        f"coalesce(max({c}) FILTER (texts > 0), 0) AS {c}_max_{suffix}, "
+        f"coalesce(median({c}) FILTER (texts > 0), 0)::DOUBLE AS {c}_median_{suffix}, "
+        f"coalesce(avg({c}) FILTER (texts > 0), 0) AS {c}_mean_{suffix}, "
+        f"coalesce(stddev_samp({c}) FILTER (texts > 0), 0) AS {c}_std_{suffix}"
+        for c in ("special", "registration")
+    ]
+    return ", ".join(sums + flags)
+
+
+def _cells_sql(bucket: str) -> str:
+    sums = ", ".join(f"coalesce(sum({c}), 0) AS {c}" for c in _CELLS)
+    return (
+        f"(SELECT person, {bucket} AS bucket, {sums}, "
+        "CAST(sum(CASE WHEN contains(text, 'small') THEN 1 ELSE 0 END) AS BIGINT) AS special, "
+        "CAST(sum(CASE WHEN contains(text, 'promo') AND NOT contains(text, 'small') THEN 1 "
+        "ELSE 0 END) AS BIGINT) AS registration, count(text) AS texts FROM visits GROUP BY 1, 2)"
+    )
+
+
+_CLAIMS_SQL = (
+    "WITH "
+    + VISITS_SQL
+    + ", risk AS (SELECT venue, count(DISTINCT person) AS weight FROM visits JOIN customer "
+    "ON person = c_custkey WHERE c_acctbal < -500 GROUP BY venue), "
+    "base AS (SELECT person, "
+    + ", ".join(
+        f"coalesce(CAST(sum({c}) AS DOUBLE), 0) AS {c}_sum, "
+        f"coalesce(CAST(sum({c}) AS DOUBLE) / nullif(count({c}), 0), 0) AS {c}_mean, "
+        f"coalesce(stddev_samp({c}::DOUBLE), 0) AS {c}_std"
+        for c in _AMOUNTS
+    )
+    + ", CAST(sum(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_split_to_array(text, '\\W+')) "
+    "END) AS BIGINT) AS diseases_kinds, count(*) AS records_num FROM visits GROUP BY person), "
+    "venues AS (SELECT person, count(*) AS hospital_kinds, count(weight) AS hospital_cheat_kinds, "
+    "CAST(sum(CASE WHEN weight IS NOT NULL THEN n ELSE 0 END) AS BIGINT) "
+    "AS hospital_cheat_records, CAST(sum(coalesce(weight, 0)) AS BIGINT) AS hospital_cheat_weights "
+    "FROM (SELECT person, venue, count(*) AS n FROM visits GROUP BY 1, 2) LEFT JOIN risk "
+    "USING (venue) GROUP BY person), "
+    f"days AS (SELECT person, {_cell_stats_sql('byday')}, count(*) AS day_records_num, "
+    "CASE WHEN count(*) = 1 THEN -1 ELSE avg(gap) END AS gap_mean, "
+    "CASE WHEN count(*) = 1 THEN 0 ELSE stddev_pop(gap) END AS gap_std FROM "
+    "(SELECT *, date_diff('day', lag(bucket) OVER (PARTITION BY person ORDER BY bucket), bucket) "
+    f"AS gap FROM {_cells_sql('day')}) GROUP BY person), "
+    f"months AS (SELECT person, {_cell_stats_sql('bymonth')}, count(*) AS month_records_num "
+    f"FROM {_cells_sql('month')} GROUP BY person), "
+    "joined AS (SELECT *, drug_sum + exam_sum AS total, "
+    "CASE WHEN drug_sum <> 0 THEN claimed_sum / drug_sum WHEN claimed_sum <> 0 THEN 2 ELSE 0 END "
+    "AS claimed_rate, CASE WHEN claimed_sum <> 0 THEN paid_sum / claimed_sum "
+    "WHEN paid_sum <> 0 THEN 2 ELSE 0 END AS paid_rate, "
+    "paid_sum / (drug_sum + exam_sum) AS paid_share, "
+    "drug_mean + claimed_mean + paid_mean AS paid_total_mean, "
+    "(claimed_mean + paid_mean) / (drug_mean + claimed_mean + paid_mean) AS off_fund_rate_mean, "
+    "drug_std + claimed_std + paid_std AS paid_total_std "
+    "FROM base JOIN venues USING (person) JOIN days USING (person) JOIN months USING (person))"
+)
+
+_CLAIMS_INTEGERS = (
+    ["person", "diseases_kinds", "records_num", "hospital_kinds", "hospital_cheat_kinds"]
+    + ["hospital_cheat_records", "hospital_cheat_weights", "day_records_num", "month_records_num"]
+    + [f"{f}_max_{s}" for f in ("special", "registration") for s in ("byday", "bymonth")]
+)
+_CLAIMS_REALS = (
+    [f"{c}_{s}" for c in _AMOUNTS for s in ("sum", "mean", "std")]
+    + [f"{c}_{s}_{b}" for c in _CELLS for s in ("std", "mean", "max", "median") for b in ("byday", "bymonth")]
+    + [f"{c}_{s}_{b}" for c in ("special", "registration") for s in ("median", "mean", "std") for b in ("byday", "bymonth")]
+    + ["gap_mean", "gap_std", "total", "claimed_rate", "paid_rate", "paid_share"]
+    + ["paid_total_mean", "off_fund_rate_mean", "paid_total_std"]
+)
+
+
+def _claims_digits(name: str) -> int:
+    if "std" in name:
+        return 3
+    return 8 if "mean" in name and "paid_total" not in name else 5
+
+
+def _claims_select(source: str) -> str:
+    reals = [f"round({c}::DOUBLE, {_claims_digits(c)}) AS {c}" for c in _CLAIMS_REALS]
+    return f"SELECT {', '.join(_CLAIMS_INTEGERS + reals)} FROM {source}"
+
+
+def _round_claims(df: DataFrame) -> DataFrame:
+    for c in _CLAIMS_REALS:
+        df = rounded(df, _claims_digits(c), c)
+    return df
+
+
+def _risk(t: Tables, records: DataFrame) -> DataFrame:
+    labels = t.customer.select(
+        F.col("c_custkey").alias("person"), (F.col("c_acctbal") < -500).cast("int").alias("label")
+    )
+    return venue_risk(records, labels, "person", "venue", "label")
+
+
+@query("visit_feature_table", _CLAIMS_SQL + _claims_select("joined"))
+def visit_feature_table(t: Tables):
+    # the joined visits feed four groupings: joined once, then read column by column
+    records = pin(visits(t), "visits")
+    return _round_claims(claims.visit_features(records, _risk(t, records), VISIT_ROLES))
+
+
+FEE_ROLES = claims.FeeRoles(
+    person="person",
+    venue="venue",
+    day="day",
+    price="unit_price",
+    quantity="quantity",
+    code="item_code",
+    form="form",
+)
+
+
+def _fee_stats_sql(per: str) -> str:
+    parts = []
+    for c in ("hospitals", "drug_fee", "drug_counts", "cata3"):
+        stats = {"hospitals_perday": "max median", "drug_counts_perday": "max mean"}.get(
+            f"{c}_{per}", "max mean std"
+        )
+        fn = {"max": "max({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "median": "median({c})"}
+        parts += [f"round({fn[s].format(c=c)}::DOUBLE, 4) AS {c}_{per}_{s}" for s in stats.split()]
+    return ", ".join(parts)
+
+
+def _fee_cells_sql(bucket: str) -> str:
+    return (
+        f"(SELECT person, {bucket} AS bucket, CAST(sum(CAST(round(unit_price * quantity, 2) "
+        "AS DECIMAL(18, 2))) AS DOUBLE) AS drug_fee, sum(quantity) AS drug_counts, "
+        "sum(item_code) AS cata3, count(DISTINCT venue) AS hospitals FROM fee GROUP BY 1, 2)"
+    )
+
+
+def _corr_sql(c: str, name: str) -> str:
+    return (
+        f"CASE WHEN stddev_samp({c}) > 0 AND stddev_samp(bucket) > 0 THEN "
+        f"round(covar_samp({c}, bucket) / (stddev_samp({c}) * stddev_samp(bucket)), 6) END "
+        f"AS {name}_corrwithday"
+    )
+
+
+_FEE_TABLE_SQL = (
+    "WITH "
+    + FEE_SQL
+    + f", daily AS (SELECT person, {_fee_stats_sql('perday')}, "
+    + f"{_corr_sql('drug_counts', 'quantity')}, {_corr_sql('drug_fee', 'drug_fee')}, "
+    + f"{_corr_sql('cata3', 'item_code')} FROM "
+    + _fee_cells_sql("date_diff('day', DATE '1970-01-01', day)")
+    + f" GROUP BY person), monthly AS (SELECT person, {_fee_stats_sql('permonth')} FROM "
+    + _fee_cells_sql("month(day)")
+    + " GROUP BY person), forms AS (SELECT person, count(form) AS med_kinds_total, "
+    "count(DISTINCT form) AS med_kinds_nunique, round((count(form) - count(DISTINCT form)) "
+    "/ count(form), 6) AS med_kinds_rep_rate FROM fee WHERE form IS NOT NULL GROUP BY person)"
+)
+
+
+def _fee_table(t: Tables) -> DataFrame:
+    # amounts are whole cents again after price × quantity
+    lines = fee_lines(t).withColumn("quantity", F.col("quantity").cast("decimal(18,2)"))
+    price = F.col("unit_price").cast("decimal(20,12)")
+    table = claims.fee_features(
+        lines.withColumn("unit_price", price), FEE_ROLES
+    )
+    reals = [c for c in table.columns if "_per" in c]
+    correlations = [c for c in table.columns if c.endswith("corrwithday")]
+    return rounded(rounded(table, 4, *reals), 6, *correlations, "med_kinds_rep_rate")
+
+
+@query(
+    "fee_feature_table",
+    _FEE_TABLE_SQL + " SELECT * FROM daily JOIN monthly USING (person) LEFT JOIN forms USING (person)",
+)
+def fee_feature_table(t: Tables):
+    return _fee_table(t)
+
+
+@query(
+    "claims_feature_table",
+    _CLAIMS_SQL
+    + ", "
+    + _FEE_TABLE_SQL[len("WITH ") :]
+    + ", fees AS (SELECT * FROM daily JOIN monthly USING (person) LEFT JOIN forms USING (person)), "
+    + f"chosen AS ({_claims_select('joined')}) "
+    + "SELECT *, CAST(c_acctbal < -500 AS INTEGER) AS label FROM chosen JOIN fees USING (person) "
+    "JOIN (SELECT c_custkey AS person, c_acctbal FROM customer) USING (person)",
+)
+def claims_feature_table(t: Tables):
+    records = pin(visits(t), "visits")
+    labels = t.customer.select(
+        F.col("c_custkey").alias("person"),
+        "c_acctbal",
+        (F.col("c_acctbal") < -500).cast("int").alias("label"),
+    )
+    table = claims.claims_table(records, _risk(t, records), _fee_table(t), VISIT_ROLES, labels)
+    return _round_claims(table)
+
+
+HOUSE_ROLES = listings.ListingRoles(
+    key="id",
+    target="price",
+    policy=FillPolicy(
+        constant={"quality": "None", "area": 0.0},
+        mode=["zone"],
+        group_median={"frontage": "neighborhood"},
+    ),
+    as_text=["condition"],
+    coded=["quality", "condition"],
+    total_name="total_area",
+    total_of=["frontage", "area"],
+    extra_keys=["neighborhood"],
+)
+
+_HOUSE_SQL = (
+    "WITH "
+    + HOUSES_SQL
+    + ", kept AS (SELECT id, neighborhood, zone, frontage, area, quality, "
+    "CAST(condition AS VARCHAR) AS condition, CASE WHEN id % 4 <> 0 THEN ln(1 + abs(price)) END "
+    "AS price, CASE WHEN id % 4 <> 0 THEN 'train' ELSE 'test' END AS split FROM houses "
+    "WHERE NOT (id % 4 <> 0 AND coalesce(area > 9000 AND abs(price) < 9500, false))), "
+    "filled AS (SELECT id, neighborhood, price, split, coalesce(zone, (SELECT zone FROM kept "
+    "WHERE zone IS NOT NULL GROUP BY zone ORDER BY count(*) DESC, zone LIMIT 1)) AS zone, "
+    "coalesce(frontage, median(frontage) OVER (PARTITION BY neighborhood)) AS frontage, "
+    "coalesce(area, 0) AS area, coalesce(quality, 'None') AS quality, condition FROM kept), "
+    "coded AS (SELECT * REPLACE (dense_rank() OVER (ORDER BY quality) - 1 AS quality, "
+    "dense_rank() OVER (ORDER BY condition) - 1 AS condition), frontage + area AS total_area "
+    "FROM filled), skews AS (SELECT "
+    + ", ".join(
+        f"(avg({c}*{c}*{c}) - 3*avg({c})*avg({c}*{c}) + 2*pow(avg({c}), 3)) "
+        f"/ pow(var_pop({c}), 1.5) AS s_{c}"
+        for c in ("area", "quality", "condition", "frontage", "total_area")
+    )
+    + " FROM coded) SELECT id, neighborhood, round(price, 6) AS price, split, "
+    + ", ".join(
+        f"round(CASE WHEN abs(s_{c}) > 0.75 THEN (pow(1 + {c}, 0.15) - 1) / 0.15 "
+        f"ELSE {c} END::DOUBLE, 4) AS {c}"
+        for c in ("area", "quality", "condition", "frontage", "total_area")
+    )
+    + ", "
+    + ", ".join(
+        f"CAST(zone = '{v}' AS INTEGER) AS \"zone_{v}\""
+        for v in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    )
+    + " FROM coded, skews"
+)
+
+
+def _house_features(t: Tables) -> DataFrame:
+    rows = houses(t).withColumn("price", F.abs("price"))
+    train, test = rows.filter("id % 4 <> 0"), rows.filter("id % 4 = 0")
+    outlier = (F.col("area") > 9000) & (F.col("price") < 9500)
+    return listings.listing_features(train, test, HOUSE_ROLES, outlier)
+
+
+@query("house_feature_table", _HOUSE_SQL)
+def house_feature_table(t: Tables):
+    table = rounded(_house_features(t), 6, "price")
+    return rounded(table, 4, "area", "quality", "condition", "frontage", "total_area")
+
+
+# ------------------------------------------------------------------------------ model table
+
+
+def cells(t: Tables) -> DataFrame:
+    """Monthly quantity ``y`` of each class beside two sizes of its sales, written once."""
+    lines = sales(t).groupBy("class_id", "sale_date").agg(
+        F.sum("sale_quantity").alias("y"),
+        (F.sum("p_size") / F.lit(10.0)).alias("x1"),
+        F.count(F.lit(1)).cast("double").alias("x2"),
+    )
+    return pin(lines, "cells")
+
+
+def folded_cells(t: Tables, k: int = 5) -> DataFrame:
+    order = [F.col("class_id"), F.col("sale_date")]
+    return rk.contiguous_folds(cells(t), order, k)
+
+
+_CELLS_SQL = (
+    SALES_SQL
+    + ", cells AS (SELECT class_id, sale_date, sum(sale_quantity) AS y, "
+    "sum(p_size) / 10.0::DOUBLE AS x1, count(*)::DOUBLE AS x2 FROM sales "
+    "GROUP BY class_id, sale_date)"
+)
+_FOLDED_SQL = (
+    _CELLS_SQL
+    + ", folded AS (SELECT *, ntile(5) OVER (ORDER BY class_id, sale_date) - 1 AS fold FROM cells), "
+    "training AS (SELECT hold, folded.* FROM folded, (SELECT unnest(range(5)) AS hold) "
+    "WHERE fold <> hold)"
+)
+
+
+def _fit_sql(name, source, x="x", y="y", absolute=0.0, quadratic=0.0, by="") -> str:
+    """One-column penalised least squares: ``(by, w, b)``."""
+    keys = f"{by}, " if by else ""
+    group = f" GROUP BY {by}" if by else ""
+    return (
+        f", {name} AS (SELECT {keys}w, my - w * mx AS b FROM (SELECT {keys}"
+        f"sign(covar_pop({y}, {x})) * greatest(abs(covar_pop({y}, {x})) - {absolute}, 0) "
+        f"/ (var_pop({x}) + {quadratic}) AS w, avg({y}) AS my, avg({x}) AS mx FROM {source}{group}))"
+    )
+
+
+def _scaled_sql(x: str) -> str:
+    """``scaled``: the cells with ``x`` centred on its median over its quartile range."""
+    return (
+        f", q AS (SELECT quantile_cont({x}, [0.25, 0.5, 0.75]) AS q FROM cells), "
+        f"scaled AS (SELECT cells.*, ({x} - q[2]) / (q[3] - q[1]) AS x FROM cells, q)"
+    )
+
+
+def _in_sample(df: DataFrame, model, name: str) -> DataFrame:
+    """Mean prediction and error over the rows the model was fitted on."""
+    scored = predict(model, df, "p")
+    table = scored.agg(
+        F.avg("p").alias("mean_prediction"),
+        F.stddev_pop("p").alias("spread"),
+        F.sqrt(F.avg((F.col("y") - F.col("p")) * (F.col("y") - F.col("p")))).alias("rmse"),
+    )
+    return rounded(table.withColumn("model", F.lit(name)), 4, "mean_prediction", "spread", "rmse")
+
+
+def _in_sample_sql(name: str, prediction: str, source: str) -> str:
+    return (
+        f" SELECT '{name}' AS model, round(avg({prediction}), 4) AS mean_prediction, "
+        f"round(stddev_pop({prediction}), 4) AS spread, "
+        f"round(sqrt(avg(pow(y - ({prediction}), 2))), 4) AS rmse FROM {source}"
+    )
+
+
+@query(
+    "m1_lasso",
+    "WITH "
+    + _CELLS_SQL
+    + _scaled_sql("x1")
+    + _fit_sql("m", "scaled", absolute=5.0)
+    + _in_sample_sql("lasso", "w * x + b", "scaled, m"),
+)
+def lasso_model(t: Tables):
+    rows = cells(t)
+    return _in_sample(rows, lasso(["x1"], "y", 5.0).fit(rows), "lasso")
+
+
+@query(
+    "m2_elastic_net",
+    "WITH "
+    + _CELLS_SQL
+    + _scaled_sql("x1")
+    + _fit_sql("m", "scaled", absolute=2.0 * 0.9, quadratic=2.0 * (1 - 0.9))
+    + _in_sample_sql("elastic_net", "w * x + b", "scaled, m"),
+)
+def elastic_net_model(t: Tables):
+    rows = cells(t)
+    return _in_sample(rows, elastic_net(["x1"], "y", 2.0, 0.9).fit(rows), "elastic_net")
+
+
+@query(
+    "m3_polynomial_ridge",
+    "WITH "
+    + _CELLS_SQL
+    + ", mapped AS (SELECT y, sqrt(5.0) * x1 AS u, x1 * x1 AS v FROM cells), "
+    "s AS (SELECT covar_pop(y, u) AS cu, covar_pop(y, v) AS cv, covar_pop(u, v) AS uv, "
+    "var_pop(u) + 0.6 / count(*) AS uu, var_pop(v) + 0.6 / count(*) AS vv, avg(y) AS my, "
+    "avg(u) AS mu, avg(v) AS mv FROM mapped), "
+    "m AS (SELECT (cu * vv - cv * uv) / (uu * vv - uv * uv) AS a, "
+    "(cv * uu - cu * uv) / (uu * vv - uv * uv) AS c, my, mu, mv FROM s)"
+    + _in_sample_sql(
+        "polynomial_ridge", "a * (u - mu) + c * (v - mv) + my", "mapped, m"
+    ).replace(", 4)", ", 3)"),
+)
+def polynomial_ridge_model(t: Tables):
+    rows = cells(t)
+    model = PolynomialRidge(inputCols=["x1"], labelCol="y", alpha=0.6, degree=2, coef0=2.5).fit(rows)
+    return rounded(
+        _in_sample(rows, model, "polynomial_ridge"), 3, "mean_prediction", "spread", "rmse"
+    )
+
+
+@query("m4_random_forest")
+def random_forest_model(t: Tables):
+    rows = cells(t)
+    return _in_sample(rows, random_forest(["x1", "x2"], "y", trees=10, depth=6).fit(rows), "forest")
+
+
+@query("m5_gradient_boosting")
+def gradient_boosting_model(t: Tables):
+    rows = cells(t)
+    model = gradient_boosting(["x1", "x2"], "y", trees=10).fit(rows)
+    return _in_sample(rows, model, "gradient_boosting")
+
+
+@query("m6_regularised_boosting")
+def regularised_boosting_model(t: Tables):
+    rows = cells(t)
+    model = regularised_boosting(["x1", "x2"], "y", trees=10, rate=0.3).fit(rows)
+    return _in_sample(rows, model, "regularised_boosting")
+
+
+@query("m7_histogram_boosting")
+def histogram_boosting_model(t: Tables):
+    rows = cells(t)
+    model = histogram_boosting(["x1", "x2"], "y", trees=10).fit(rows)
+    return _in_sample(rows, model, "histogram_boosting")
+
+
+@query("m8_adaboost")
+def adaboost_model(t: Tables):
+    rows = cells(t)
+    model = AdaBoostR2(inputCols=["x1", "x2"], labelCol="y", trees=5, seed=1).fit(rows)
+    return _in_sample(rows, model, "adaboost")
+
+
+@query(
+    "m9_linear_penalties",
+    "WITH "
+    + _CELLS_SQL
+    + "".join(
+        _fit_sql(n, "cells", x="x1", absolute=a, quadratic=q)
+        for n, a, q in (("m2", 0.0, 0.5), ("m1", 0.5, 0.0), ("me", 0.5 * 0.15, 0.5 * 0.85))
+    )
+    + " UNION ALL ".join(
+        _in_sample_sql(n, "w * x1 + b", f"cells, {m}")
+        for n, m in (("l2", "m2"), ("l1", "m1"), ("elasticnet", "me"))
+    ),
+)
+def linear_penalties(t: Tables):
+    rows = cells(t)
+    parts = [
+        _in_sample(rows, sgd_linear(["x1"], "y", penalty, 0.5).fit(rows), penalty)
+        for penalty in ("l2", "l1", "elasticnet")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "m10_cross_validation",
+    "WITH "
+    + _FOLDED_SQL
+    + ", q AS (SELECT hold, quantile_cont(x1, [0.25, 0.5, 0.75]) AS q FROM training GROUP BY hold), "
+    "scaled AS (SELECT training.hold, y, (x1 - q[2]) / (q[3] - q[1]) AS x FROM training "
+    "JOIN q ON q.hold = training.hold)"
+    + _fit_sql("m", "scaled", absolute=1.0, by="hold")
+    + _fit_sql("o", "training", x="x2", by="hold")
+    + " SELECT 'lasso' AS model, CAST(fold AS INTEGER) AS fold, "
+    "round(sqrt(avg(pow(y - (w * (x1 - q[2]) / (q[3] - q[1]) + b), 2))), 4) AS rmse FROM folded "
+    "JOIN m ON m.hold = fold JOIN q ON q.hold = fold GROUP BY fold UNION ALL "
+    "SELECT 'linear', CAST(fold AS INTEGER), round(sqrt(avg(pow(y - (w * x2 + b), 2))), 4) "
+    "FROM folded JOIN o ON o.hold = fold GROUP BY fold",
+)
+def cross_validation(t: Tables):
+    models = {"lasso": lasso(["x1"], "y", 1.0), "linear": sgd_linear(["x2"], "y", "l2", 0.0)}
+    return rounded(va.cross_validate(folded_cells(t), models, "y"), 4, "rmse")
+
+
+_ALPHAS = (0.01, 10.0, 1000.0)
+
+
+@query(
+    "m11_grid_search",
+    "WITH "
+    + _FOLDED_SQL
+    + "".join(_fit_sql(f"m{i}", "training", x="x1", quadratic=a, by="hold") for i, a in enumerate(_ALPHAS))
+    + ", scores AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{{\"alpha\": {a}}}' AS params, avg(r2) AS score FROM (SELECT fold, "
+        f"1 - sum(pow(y - (w * x1 + b), 2)) / (var_pop(y) * count(*)) AS r2 FROM folded "
+        f"JOIN m{i} ON hold = fold GROUP BY fold)"
+        for i, a in enumerate(_ALPHAS)
+    )
+    + ") SELECT 'ridge' AS model, params, round(score, 6) AS score, "
+    "CAST(score = (SELECT max(score) FROM scores) AS INTEGER) AS best FROM scores",
+)
+def grid_search(t: Tables):
+    estimator = sgd_linear(["x1"], "y", "l2")
+    alpha = estimator.getStages()[-1].alpha
+    table = va.grid_search(
+        folded_cells(t), estimator, [{alpha: a} for a in _ALPHAS], "y", folds=5, name="ridge"
+    )
+    return rounded(table, 6, "score")
+
+
+@query("m11_grid_search_forest")
+def grid_search_forest(t: Tables):
+    estimator = random_forest(["x1", "x2"], "y", depth=5)
+    trees = estimator.getStages()[-1].numTrees
+    grid = va.param_grid(trees=(trees, [5, 10]))
+    return va.grid_search(folded_cells(t, 3), estimator, grid, "y", folds=3, name="forest")
+
+
+@query("m12_model_comparison")
+def model_comparison(t: Tables):
+    linear = sgd_linear(["x1", "x2"], "y", "l2")
+    alpha = linear.getStages()[-1].alpha
+    boosted = AdaBoostR2(inputCols=["x1", "x2"], labelCol="y", trees=3, seed=1)
+    candidates = {
+        "linear": (linear, [{alpha: a} for a in (0.001, 1.0)]),
+        "adaboost": (boosted, [{boosted.rate: r} for r in (0.5, 1.0)]),
+    }
+    return va.compare_models(folded_cells(t, 2), candidates, "y", folds=2)
+
+
+@query("m14_feature_elimination")
+def feature_elimination(t: Tables):
+    rows = folded_cells(t, 3).withColumn("x3", (F.col("class_id") % 7).cast("double"))
+    return va.eliminate_features(
+        rows,
+        ["x1", "x2", "x3"],
+        "y",
+        lambda names: random_forest(names, "y", trees=5, depth=5),
+        folds=3,
+    )
+
+
+@query(
+    "m15_average_of_models",
+    "WITH "
+    + _CELLS_SQL
+    + _scaled_sql("x1")
+    + _fit_sql("m", "scaled", absolute=1.0)
+    + _fit_sql("o", "cells", x="x2")
+    + _in_sample_sql(
+        "average", "(m.w * x + m.b + o.w * x2 + o.b) / 2", "scaled, m, o"
+    ),
+)
+def average_of_models(t: Tables):
+    rows = cells(t)
+    members = [lasso(["x1"], "y", 1.0), sgd_linear(["x2"], "y", "l2", 0.0)]
+    return _in_sample(rows, AveragingRegressor(members).fit(rows), "average")
+
+
+@query(
+    "m16_stacking",
+    "WITH "
+    + _FOLDED_SQL
+    + _fit_sql("m1", "training", x="x1", by="hold")
+    + _fit_sql("m2", "training", x="x2", by="hold")
+    + ", oof AS (SELECT y, m1.w * x1 + m1.b AS u, m2.w * x2 + m2.b AS v FROM folded "
+    "JOIN m1 ON m1.hold = fold JOIN m2 ON m2.hold = fold), "
+    "s AS (SELECT covar_pop(y, u) AS cu, covar_pop(y, v) AS cv, covar_pop(u, v) AS uv, "
+    "var_pop(u) AS uu, var_pop(v) AS vv, avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM oof), "
+    "m AS (SELECT (cu * vv - cv * uv) / (uu * vv - uv * uv) AS a, "
+    "(cv * uu - cu * uv) / (uu * vv - uv * uv) AS c, my, mu, mv FROM s), "
+    "base AS (SELECT y, (SELECT avg(w) FROM m1) * x1 + (SELECT avg(b) FROM m1) AS u, "
+    "(SELECT avg(w) FROM m2) * x2 + (SELECT avg(b) FROM m2) AS v FROM cells)"
+    + _in_sample_sql("stacked", "a * (u - mu) + c * (v - mv) + my", "base, m"),
+)
+def stacking(t: Tables):
+    rows = folded_cells(t)
+    stack = StackingRegressor(folds=5).of(
+        [sgd_linear(["x1"], "y", "l2", 0.0), sgd_linear(["x2"], "y", "l2", 0.0)],
+        lambda names: sgd_linear(names, "y", "l2", 0.0),
+    )
+    return _in_sample(rows, stack.fit(rows), "stacked")
+
+
+@query(
+    "m16_out_of_fold_rows",
+    "WITH "
+    + _FOLDED_SQL
+    + _fit_sql("m1", "training", x="x1", by="hold")
+    + " SELECT class_id, sale_date, CAST(fold AS INTEGER) AS fold, round(w * x1 + b, 3) AS base_0 "
+    "FROM folded JOIN m1 ON hold = fold",
+)
+def out_of_fold_rows(t: Tables):
+    rows = folded_cells(t)
+    stack = StackingRegressor(folds=5).of([sgd_linear(["x1"], "y", "l2", 0.0)], lambda names: None)
+    unseen = stack.out_of_fold(rows, stack.fit_folds(rows))
+    return rounded(unseen.select("class_id", "sale_date", "fold", "base_0"), 3, "base_0")
+
+
+@query(
+    "m17_blend",
+    "WITH "
+    + _CELLS_SQL
+    + " SELECT class_id, sale_date, round(y * 0.7 + x1 * 0.15 + x2 * 0.15, 6) AS blend FROM cells",
+)
+def weighted_blend(t: Tables):
+    weights = dict(zip(("y", "x1", "x2"), presets.BLEND_WEIGHTS, strict=True))
+    return rounded(blend(cells(t), weights).select("class_id", "sale_date", "blend"), 6, "blend")
+
+
+@query(
+    "m18_log_target",
+    "WITH "
+    + _CELLS_SQL
+    + ", logged AS (SELECT *, ln(1 + y) AS ly FROM cells)"
+    + _fit_sql("m", "logged", x="x2", y="ly")
+    + _in_sample_sql("log_target", "exp(w * x2 + b) - 1", "logged, m").replace(", 4)", ", 3)"),
+)
+def log_target(t: Tables):
+    rows = cells(t).withColumn("ly", F.log1p("y"))
+    scored = predict(sgd_linear(["x2"], "ly", "l2", 0.0).fit(rows), rows, "lp")
+    back = scored.withColumn("p", F.expm1("lp"))
+    table = back.agg(
+        F.avg("p").alias("mean_prediction"),
+        F.stddev_pop("p").alias("spread"),
+        F.sqrt(F.avg((F.col("y") - F.col("p")) * (F.col("y") - F.col("p")))).alias("rmse"),
+    ).withColumn("model", F.lit("log_target"))
+    return rounded(table, 3, "mean_prediction", "spread", "rmse")
+
+
+@query(
+    "m19_in_sample_score",
+    "WITH "
+    + _CELLS_SQL
+    + _fit_sql("m", "cells", x="x2")
+    + " SELECT round(sqrt(avg(pow(y - (w * x2 + b), 2))), 6) AS rmse FROM cells, m",
+)
+def in_sample_score(t: Tables):
+    rows = cells(t)
+    scored = predict(sgd_linear(["x2"], "y", "l2", 0.0).fit(rows), rows, "p")
+    return rounded(rmse(scored, "y", "p"), 6, "rmse")
+
+
+@query(
+    "m20_submission",
+    "WITH "
+    + _RECENT_SQL
+    + _RANKS_SQL
+    + ", panel AS (SELECT class_id, sale_date, sum(sale_quantity) AS y, "
+    "sum(p_size)::DOUBLE AS x FROM recent GROUP BY class_id, sale_date), "
+    f"train AS (SELECT * FROM panel WHERE sale_date <> {TARGET_PERIOD})"
+    + _fit_sql("m", "train")
+    + f" SELECT {TARGET_PERIOD} AS predict_date, class_id, round(w * x + b, 4) AS predict_quantity "
+    f"FROM panel, m WHERE sale_date = {TARGET_PERIOD}",
+)
+def submission(t: Tables):
+    records = _panel_records(t)
+    table, ranks = panel.pinned_panel(records, PANEL_ROLES)
+    split = panel.split_panel(table, PANEL_ROLES, TARGET_PERIOD // 100 - BASE_YEAR, TARGET_PERIOD % 100)
+    models = {"linear": sgd_linear(["sum_p_size"], split.label, "l2", 0.0)}
+    predictions = panel.fit_predict(split, models)
+    asked = records.filter(F.col("sale_date") == TARGET_PERIOD).select("class_id").distinct()
+    requests = asked.withColumn("predict_date", F.lit(TARGET_PERIOD))
+    out = panel.submission(predictions, ranks, requests, "linear")
+    return rounded(out, 4, "predict_quantity")
+
+
+# ------------------------------------------------------------------------- whole forecasts
+
+
+@query("panel_forecast")
+def panel_forecast(t: Tables):
+    """Stacked, boosted and blended forecast of one month for every class."""
+    table, ranks = panel.pinned_panel(_panel_records(t), PANEL_ROLES)
+    split = panel.split_panel(table, PANEL_ROLES, TARGET_PERIOD // 100 - BASE_YEAR, TARGET_PERIOD % 100)
+    train = rk.shuffled_folds(split.train, panel.CELL, 3, seed=156)
+    x, y = ["sum_p_size", "sum_l_discount", "record_num", "month"], split.label
+    stack = StackingRegressor(folds=3).of(
+        [elastic_net(x, y, 0.001, 0.5), gradient_boosting(x, y, trees=5)],
+        lambda names: lasso(names, y, 0.00001),
+    )
+    models = {
+        "stack": stack,
+        "regularised": regularised_boosting(x, y, trees=5, rate=0.3),
+        "histogram": histogram_boosting(x, y, trees=5),
+    }
+    folded = panel.PanelSplit(train, split.predict, split.features, split.label)
+    predictions = panel.fit_predict(folded, models)
+    weights = dict(zip(models, presets.BLEND_WEIGHTS, strict=True))
+    return blend(predictions, weights, "predict_quantity").join(ranks, on="class_trans").select(
+        "class_id", "class_trans", *models, "predict_quantity"
+    )
+
+
+@query("house_forecast")
+def house_forecast(t: Tables):
+    """Price per unseen listing: log target, two models averaged, back to prices."""
+    features = pin(_house_features(t), "houses")
+    train, test = listings.train_and_test(features, HOUSE_ROLES)
+    x = ["quality", "condition", "frontage", "area", "total_area"]
+    members = [lasso(x, "price", 0.0005), gradient_boosting(x, "price", trees=5)]
+    scored = predict(AveragingRegressor(members).fit(train), test, "p")
+    return listings.prices(scored, "id", "p", "price")
+
+
+@query(
+    "period_threshold_pushdown",
+    "SELECT o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders "
+    "WHERE o_orderdate > TIMESTAMP '2000-01-01' GROUP BY o_orderstatus",
+)
+def period_threshold_pushdown(t: Tables):
+    recent = after(t.orders, "o_orderdate", "2000-01-01 00:00:00")
+    return recent.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price")
+    )

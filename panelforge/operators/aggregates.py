@@ -7,9 +7,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
+
+def mean(c: Column) -> Column:
+    """Mean of the non-null values. Decimals are summed exactly before the one division."""
+    return F.try_divide(F.sum(c).cast("double"), F.count(c))
+
+
 STATISTICS = {
     "sum": F.sum,
-    "mean": F.avg,
+    "mean": mean,
     "std": F.stddev_samp,
     "max": F.max,
     "min": F.min,
@@ -57,7 +64,7 @@ def panel_statistics(
     for c in measures:
         aggregates += [
             F.sum(c).alias(f"sum_{c}"),
-            F.avg(c).alias(f"mean_{c}"),
+            mean(F.col(c)).alias(f"mean_{c}"),
             F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"std_{c}"),
         ]
     if record_of:
@@ -118,7 +125,7 @@ def value_counts(df: DataFrame, column: str, name: str = "n") -> DataFrame:
 
 
 def mean_by(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(*[F.avg(c).alias(f"mean_{c}") for c in measures])
+    return df.groupBy(*keys).agg(*[mean(F.col(c)).alias(f"mean_{c}") for c in measures])
 
 
 def rmse(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -70,10 +70,8 @@ def label_codes(
     for c in columns:
         if len(words[c]) > _LONG_CHAIN:
             # bounded by MAX_CATEGORIES, so the broadcast is too
-            codes = df.sparkSession.createDataFrame(
-                [(v, i) for i, v in enumerate(words[c])],
-                f"`{c}` {df.schema[c].dataType.simpleString()}, `_code` int",
-            )
+            values = F.array(*[F.lit(v) for v in words[c]])
+            codes = df.sparkSession.range(1).select(F.posexplode(values).alias("_code", c))
             df = df.join(F.broadcast(codes), on=c, how="left").drop(c)
             df = df.withColumnRenamed("_code", c)
             continue
@@ -98,13 +96,13 @@ def unskew(
 def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(x − median) / (third − first quartile)``; a zero range divides by 1."""
     columns = list(columns)
-    quartiles = exact_quantiles(df, [], columns, [0.25, 0.5, 0.75])
-    row = quartiles.select(F.struct(*columns).alias("_q")).scalar()
+    row = exact_quantiles(df, [], columns, [0.25, 0.5, 0.75]).first()
     scaled = {}
     for c in columns:
-        q = row.getField(c)
-        spread = q[2] - q[0]
-        scaled[c] = (F.col(c) - q[1]) / F.when(spread == 0, F.lit(1.0)).otherwise(spread)
+        if row is None or row[c] is None or row[c][1] is None:
+            continue  # nothing but nulls to scale
+        first, middle, third = row[c]
+        scaled[c] = (F.col(c) - F.lit(middle)) / F.lit((third - first) or 1.0)
     return df.withColumns(scaled)
 
 

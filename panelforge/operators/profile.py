@@ -202,19 +202,17 @@ def _polynomial(coefficients: Sequence[float], x: Column) -> Column:
     return out
 
 
-def inverse_normal(p: Column) -> Column:
-    """Quantile of the standard normal law."""
-    q = p - F.lit(0.5)
-    r = q * q
+def with_inverse_normal(df: DataFrame, probability: str, name: str) -> DataFrame:
+    """Add the standard normal quantile of a probability column."""
+    p, t, q, r = (F.col(c) for c in (probability, "_t", "_q", "_r"))
+    # the steps are separate columns: inlined, they would repeat in every polynomial term
+    steps = df.withColumns(
+        {"_t": F.sqrt(F.lit(-2.0) * F.ln(F.least(p, F.lit(1.0) - p))), "_q": p - F.lit(0.5)}
+    ).withColumn("_r", q * q)
+    tail = _polynomial(_TAIL_NUM, t) / _polynomial(_TAIL_DEN, t)
     centre = q * _polynomial(_CENTRE_NUM, r) / _polynomial(_CENTRE_DEN, r)
-
-    def tail(side: Column) -> Column:
-        t = F.sqrt(F.lit(-2.0) * F.ln(side))
-        return _polynomial(_TAIL_NUM, t) / _polynomial(_TAIL_DEN, t)
-
-    return (
-        F.when(p < _TAIL, tail(p)).when(p > 1 - _TAIL, -tail(F.lit(1.0) - p)).otherwise(centre)
-    )
+    value = F.when(p < _TAIL, tail).when(p > 1 - _TAIL, -tail).otherwise(centre)
+    return steps.withColumn(name, value).drop("_t", "_q", "_r")
 
 
 def normal_quantiles(df: DataFrame, column: str, key: str) -> DataFrame:
@@ -223,15 +221,15 @@ def normal_quantiles(df: DataFrame, column: str, key: str) -> DataFrame:
         F.col("value").isNotNull()
     )
     placed = with_position(values, [F.col("value"), F.col(key)], "_i", label="quantiles")
-    n = placed.agg(F.count(F.lit(1)).cast("double")).scalar()
-    i = F.col("_i").cast("double")
-    last = F.pow(F.lit(0.5), F.lit(1.0) / n)
+    n = float(placed.count())  # the sorted rows are already written: this reads only metadata
+    last = 0.5 ** (1.0 / n) if n else 0.5
     position = (
-        F.when(F.col("_i") == n, last)
-        .when(F.col("_i") == 1, F.lit(1.0) - last)
-        .otherwise((i - F.lit(0.3175)) / (n + F.lit(0.365)))
+        F.when(F.col("_i") == n, F.lit(last))
+        .when(F.col("_i") == 1, F.lit(1.0 - last))
+        .otherwise((F.col("_i") - F.lit(0.3175)) / F.lit(n + 0.365))
     )
-    return placed.select(key, "value", inverse_normal(position).alias("theoretical"))
+    with_p = placed.withColumn("_p", position)
+    return with_inverse_normal(with_p, "_p", "theoretical").select(key, "value", "theoretical")
 
 
 def normal_line(quantiles: DataFrame) -> DataFrame:

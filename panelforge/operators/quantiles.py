@@ -31,19 +31,21 @@ def exact_quantiles(
     edges = [e for p in probabilities for e in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))]
     values = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
     sketch = values.groupBy(*keys).agg(
-        *[F.count(c).alias(f"_n_{c}") for c in columns],
         *[
             F.percentile_approx(c, [float(e) for e in edges], ACCURACY).alias(f"_b_{c}")
             for c in columns
-        ],
+        ]
     )
     if keys:
         bounded = values.join(sketch, on=keys)
         bracket = {c: F.col(f"_b_{c}") for c in columns}
     else:
-        bounded = values
-        one = sketch.select(F.struct(*[F.col(f"_b_{c}") for c in columns]).alias("s")).scalar()
-        bracket = {c: one.getField(f"_b_{c}") for c in columns}
+        # the brackets of a whole table are one short row: they become literals
+        bounded, row = values, sketch.first()
+        bracket = {
+            c: [F.lit(b).cast("double") for b in row[f"_b_{c}"] or [None] * len(edges)]
+            for c in columns
+        }
 
     entries = []
     for i, c in enumerate(columns):
