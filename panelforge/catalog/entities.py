@@ -8,7 +8,6 @@ from panelforge.catalog.aggregations import rounded
 from panelforge.catalog.registry import query
 from panelforge.catalog.views import FEE_SQL, VISITS_SQL, fee_lines, visits
 from panelforge.operators import entity as ent
-from panelforge.operators.columns import product
 from panelforge.sources import Tables
 
 _MEASURES = ("drug", "claimed", "exam")
@@ -145,14 +144,14 @@ def venues_per_month(t: Tables):
 
 
 _FEE_SUMS = {
-    "drug_fee": "CAST(round(unit_price * quantity, 2) AS DECIMAL(18, 2))",
+    "drug_fee": "unit_price * quantity",
     "drug_counts": "quantity",
 }
 
 
 def _fee_columns():
     return {
-        "drug_fee": F.round(product("unit_price", "quantity"), 2).cast("decimal(18,2)"),
+        "drug_fee": F.col("unit_price") * F.col("quantity"),
         "drug_counts": F.col("quantity"),
     }
 
@@ -212,7 +211,8 @@ def item_codes_per_month(t: Tables):
     "a23_day_correlation",
     "WITH "
     + FEE_SQL
-    + ", cells AS (SELECT person, day, sum(quantity) AS q, sum(unit_price * quantity) AS a, "
+    + ", cells AS (SELECT person, day, sum(quantity)::DOUBLE AS q, "
+    "sum(unit_price * quantity)::DOUBLE AS a, "
     "date_diff('day', DATE '1970-01-01', day)::DOUBLE AS d FROM fee GROUP BY person, day) "
     "SELECT person, "
     + ", ".join(

@@ -200,7 +200,7 @@ _CLAIMS_REALS = (
 def _claims_digits(name: str) -> int:
     if "std" in name:
         return 3
-    return 8 if "mean" in name and "paid_total" not in name else 5
+    return 8 if "mean" in name else 5
 
 
 def _claims_select(source: str) -> str:
@@ -239,29 +239,44 @@ FEE_ROLES = claims.FeeRoles(
 )
 
 
+_FEE_FN = {
+    "max": "max({c})",
+    "mean": "CAST(sum({c}) AS DOUBLE) / count({c})",
+    "std": "stddev_samp({c}::DOUBLE)",
+    "median": "median({c}::DOUBLE)",
+}
+
+
+def _fee_digits(name: str) -> int:
+    return 3 if name.endswith("std") else 8
+
+
 def _fee_stats_sql(per: str) -> str:
     parts = []
     for c in ("hospitals", "drug_fee", "drug_counts", "cata3"):
         stats = {"hospitals_perday": "max median", "drug_counts_perday": "max mean"}.get(
             f"{c}_{per}", "max mean std"
         )
-        fn = {"max": "max({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "median": "median({c})"}
-        parts += [f"round({fn[s].format(c=c)}::DOUBLE, 4) AS {c}_{per}_{s}" for s in stats.split()]
+        parts += [
+            f"round({_FEE_FN[s].format(c=c)}::DOUBLE, {_fee_digits(s)}) AS {c}_{per}_{s}"
+            for s in stats.split()
+        ]
     return ", ".join(parts)
 
 
 def _fee_cells_sql(bucket: str) -> str:
     return (
-        f"(SELECT person, {bucket} AS bucket, CAST(sum(CAST(round(unit_price * quantity, 2) "
-        "AS DECIMAL(18, 2))) AS DOUBLE) AS drug_fee, sum(quantity) AS drug_counts, "
+        f"(SELECT person, {bucket} AS bucket, sum(unit_price * quantity) AS drug_fee, "
+        "sum(quantity) AS drug_counts, "
         "sum(item_code) AS cata3, count(DISTINCT venue) AS hospitals FROM fee GROUP BY 1, 2)"
     )
 
 
 def _corr_sql(c: str, name: str) -> str:
     return (
-        f"CASE WHEN stddev_samp({c}) > 0 AND stddev_samp(bucket) > 0 THEN "
-        f"round(covar_samp({c}, bucket) / (stddev_samp({c}) * stddev_samp(bucket)), 6) END "
+        f"CASE WHEN stddev_samp({c}::DOUBLE) > 0 AND stddev_samp(bucket) > 0 THEN "
+        f"round(covar_samp({c}::DOUBLE, bucket) / (stddev_samp({c}::DOUBLE) "
+        f"* stddev_samp(bucket)), 6) END "
         f"AS {name}_corrwithday"
     )
 
@@ -282,15 +297,12 @@ _FEE_TABLE_SQL = (
 
 
 def _fee_table(t: Tables) -> DataFrame:
-    # amounts are whole cents again after price × quantity
-    lines = fee_lines(t).withColumn("quantity", F.col("quantity").cast("decimal(18,2)"))
-    price = F.col("unit_price").cast("decimal(20,12)")
-    table = claims.fee_features(
-        lines.withColumn("unit_price", price), FEE_ROLES
-    )
-    reals = [c for c in table.columns if "_per" in c]
+    table = claims.fee_features(fee_lines(t), FEE_ROLES)
+    for c in table.columns:
+        if "_per" in c:
+            table = rounded(table, _fee_digits(c), c)
     correlations = [c for c in table.columns if c.endswith("corrwithday")]
-    return rounded(rounded(table, 4, *reals), 6, *correlations, "med_kinds_rep_rate")
+    return rounded(table, 6, *correlations, "med_kinds_rep_rate")
 
 
 @query(

@@ -71,12 +71,17 @@ SALES_SQL = (
 
 
 def fee_lines(t: Tables) -> DataFrame:
-    """One row per order line with its customer: the dated, priced records of a person."""
+    """One row per order line with its customer: the dated, priced records of a person.
+
+    Prices per unit are whole cents, so amounts are exact decimals.
+    """
+    cents = "decimal(18,2)"
+    per_unit = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * F.lit(100.0))
     lines = t.lineitem.select(
         F.col("l_orderkey").alias("visit"),
         F.to_date("l_shipdate").alias("day"),
-        F.col("l_quantity").alias("quantity"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+        F.col("l_quantity").cast(cents).alias("quantity"),
+        (per_unit / F.lit(100.0)).cast(cents).alias("unit_price"),
         F.col("l_suppkey").alias("venue"),
         F.nullif(F.col("l_returnflag"), F.lit("A")).alias("form"),
         F.col("l_linenumber").alias("item_code"),
@@ -88,7 +93,9 @@ def fee_lines(t: Tables) -> DataFrame:
 FEE_SQL = """
 fee AS (
   SELECT o_custkey AS person, l_orderkey AS visit, CAST(l_shipdate AS DATE) AS day,
-         l_quantity AS quantity, l_extendedprice / l_quantity AS unit_price,
+         CAST(l_quantity AS DECIMAL(18, 2)) AS quantity,
+         CAST(floor(l_extendedprice / l_quantity * 100.0::DOUBLE) / 100.0::DOUBLE
+              AS DECIMAL(18, 2)) AS unit_price,
          l_suppkey AS venue, nullif(l_returnflag, 'A') AS form, l_linenumber AS item_code
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 """

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from typing import TypeVar
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 R = TypeVar("R")
 
@@ -17,8 +17,9 @@ def side_by_side(tasks: Sequence[Callable[[], R]], threads: int = 4) -> list[R]:
     """Run driver tasks in a few threads; each starts its own Spark jobs."""
     if not tasks:
         return []
+    inherit = inheritable_thread_target(SparkSession.getActiveSession())
     with ThreadPoolExecutor(max_workers=max(1, min(threads, len(tasks)))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(t)) for t in tasks]]
+        return [f.result() for f in [pool.submit(inherit(t)) for t in tasks]]
 
 
 @contextmanager

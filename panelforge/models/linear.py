@@ -23,16 +23,36 @@ from pyspark.sql import functions as F
 
 from panelforge.models.scaling import QuartileScaler
 
-_MAX_ITERATIONS = 1000
-_TOLERANCE = 1e-12
+# widest feature vector whose normal equations Spark solves on the driver
+_NORMAL_WIDTH = 4096
 
 
-def label_spread(df: DataFrame, label: str) -> tuple[float, int]:
-    """Sample deviation of the label and the number of rows."""
-    row = df.agg(F.stddev_samp(label).alias("s"), F.count(label).alias("n")).first()
+def label_spread(df: DataFrame, label: str, sample: bool = False) -> tuple[float, int]:
+    """Deviation of the label and the number of rows."""
+    deviation = F.stddev_samp(label) if sample else F.stddev_pop(label)
+    row = df.agg(deviation.alias("s"), F.count(label).alias("n")).first()
     return float(row["s"] or 0.0), int(row["n"])
 
 
+def vector_width(df: DataFrame, column: str) -> int:
+    attributes = df.schema[column].metadata.get("ml_attr", {})
+    if "num_attrs" in attributes:
+        return int(attributes["num_attrs"])
+    first = df.select(column).first()
+    return first[0].size if first else 0
+
+
+def solver_settings(width: int) -> dict:
+    """One pass for the normal equations while they fit on the driver, else iterated passes.
+
+    The iterations of the normal solver run on the small equations, not on the data, so a tight
+    tolerance costs nothing there.
+    """
+    if width <= _NORMAL_WIDTH:
+        return {"solver": "normal", "maxIter": 5000, "tol": 1e-12}
+    return {"solver": "l-bfgs", "maxIter": 200, "tol": 1e-8}
+
+
 class PenalisedLinear(
     Estimator,
     HasFeaturesCol,
@@ -62,9 +82,11 @@ class PenalisedLinear(
 
     def _fit(self, df: DataFrame):
         alpha, rho = self.getOrDefault(self.alpha), self.getOrDefault(self.l1Ratio)
+        settings = solver_settings(vector_width(df, self.getFeaturesCol()))
         spread = 1.0
-        if rho < 1.0:
-            spread, _ = label_spread(df, self.getLabelCol())
+        if alpha and rho < 1.0:
+            # the two solvers divide by different deviations of the label
+            spread, _ = label_spread(df, self.getLabelCol(), settings["solver"] == "l-bfgs")
         absolute, quadratic = alpha * rho, alpha * (1.0 - rho) * spread
         strength = absolute + quadratic
         return LinearRegression(
@@ -74,9 +96,7 @@ class PenalisedLinear(
             regParam=strength,
             elasticNetParam=absolute / strength if strength else 0.0,
             standardization=False,
-            solver="l-bfgs",
-            maxIter=_MAX_ITERATIONS,
-            tol=_TOLERANCE,
+            **settings,
         ).fit(df)
 
 
@@ -106,8 +126,8 @@ def sgd_linear(
 ) -> Pipeline:
     """Least squares with a named penalty, on the features as they are.
 
-    The objective is the one a stochastic gradient solver approaches; Spark minimises it by
-    distributed L-BFGS / OWL-QN, so there is no learning-rate schedule.
+    The objective is the one a stochastic gradient solver approaches; Spark solves it outright,
+    so there is no learning-rate schedule.
     """
     return Pipeline(
         stages=[
@@ -163,8 +183,9 @@ class PolynomialRidge(
 
     def _fit(self, df: DataFrame) -> PipelineModel:
         names = self.getInputCols()
-        spread, rows = label_spread(df, self.getLabelCol())
         weights = Vectors.dense(self.map_weights(len(names)))
+        settings = solver_settings(weights.size)
+        spread, rows = label_spread(df, self.getLabelCol(), settings["solver"] == "l-bfgs")
         return Pipeline(
             stages=[
                 VectorAssembler(inputCols=names, outputCol="_raw"),
@@ -179,9 +200,7 @@ class PolynomialRidge(
                     regParam=self.getOrDefault(self.alpha) / max(rows, 1) * spread,
                     elasticNetParam=0.0,
                     standardization=False,
-                    solver="l-bfgs",
-                    maxIter=_MAX_ITERATIONS,
-                    tol=_TOLERANCE,
+                    **settings,
                 ),
             ]
         ).fit(df)
