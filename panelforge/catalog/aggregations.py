@@ -31,6 +31,11 @@ def rounded(df, digits: int, *columns: str):
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
 
 
+def rounded_by(df, digits: dict[str, int]):
+    """Round many columns in one projection."""
+    return df.withColumns({c: F.round(F.col(c).cast("double"), n) for c, n in digits.items()})
+
+
 _PANEL_MEASURES = ["sale_quantity", "p_size", "l_discount"]
 
 
@@ -200,7 +205,7 @@ _WIDE = ("drug", "claimed", "paid", "exam")
     + "SELECT person, "
     + ", ".join(
         f"CAST(sum({c}) AS DOUBLE) AS {c}_sum, "
-        f"round(CAST(sum({c}) AS DOUBLE) / nullif(count({c}), 0), 8) AS {c}_mean, "
+        f"round(CAST(sum({c}) AS DOUBLE) / nullif(count({c}), 0), 6) AS {c}_mean, "
         f"round(stddev_samp({c}::DOUBLE), 4) AS {c}_std"
         for c in _WIDE
     )
@@ -208,7 +213,7 @@ _WIDE = ("drug", "claimed", "paid", "exam")
 )
 def wide_statistics(t: Tables):
     stats = ag.statistics(visits(t), ["person"], _WIDE)
-    stats = rounded(stats, 8, *[f"{c}_mean" for c in _WIDE])
+    stats = rounded(stats, 6, *[f"{c}_mean" for c in _WIDE])
     stats = rounded(stats, 4, *[f"{c}_std" for c in _WIDE])
     return stats.withColumns({f"{c}_sum": F.col(f"{c}_sum").cast("double") for c in _WIDE})
 

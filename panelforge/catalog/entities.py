@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelforge.catalog.aggregations import rounded
+from panelforge.catalog.aggregations import rounded, rounded_by
 from panelforge.catalog.registry import query
 from panelforge.catalog.views import FEE_SQL, VISITS_SQL, fee_lines, visits
 from panelforge.operators import entity as ent
@@ -17,7 +17,7 @@ _STATS = {
     "max": "max({c}::DOUBLE)",
     "median": "median({c}::DOUBLE)",
 }
-_DIGITS = {"std": 4, "mean": 8, "max": 6, "median": 6}
+_DIGITS = {"std": 4, "mean": 6, "max": 6, "median": 6}
 
 
 def _two_level_sql(cte: str, bucket: str, sums: dict[str, str], stats: dict, pattern: str, cells=""):
@@ -39,9 +39,9 @@ _FLAT_FEE = FEE_SQL.strip()
 
 
 def _rounded_stats(df, columns, stats, pattern):
-    for s in stats:
-        df = rounded(df, _DIGITS[s], *[pattern.format(column=c, stat=s) for c in columns])
-    return df
+    return rounded_by(
+        df, {pattern.format(column=c, stat=s): _DIGITS[s] for c in columns for s in stats}
+    )
 
 
 @query(
@@ -261,7 +261,7 @@ def pieces_per_person(t: Tables):
     "WITH cells AS (SELECT user_id, CAST(ts AS DATE) AS day, "
     "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS value FROM events GROUP BY ALL) "
     "SELECT user_id, round(stddev_samp(value), 4) AS value_std_byday, "
-    "round(avg(value), 8) AS value_mean_byday, max(value) AS value_max_byday, "
+    "round(avg(value), 6) AS value_mean_byday, max(value) AS value_max_byday, "
     "round(median(value), 6) AS value_median_byday, count(*) AS day_records_num FROM cells "
     "GROUP BY user_id",
 )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.catalog.aggregations import rounded
+from panelforge.catalog.aggregations import rounded, rounded_by
 from panelforge.catalog.registry import query
 from panelforge.catalog.views import (
     BASE_YEAR,
@@ -93,10 +93,9 @@ def _panel_records(t: Tables) -> DataFrame:
     "GROUP BY class_trans, sale_date",
 )
 def panel_feature_table(t: Tables):
-    table = panel.panel_table(_panel_records(t), PANEL_ROLES)
-    for stat, digits in (("sum", 4), ("mean", 6), ("std", 5)):
-        table = rounded(table, digits, *[f"{stat}_{c}" for c in _PANEL_VALUES])
-    return table
+    table, _ = panel.build_panel(_panel_records(t), PANEL_ROLES)
+    digits = {"sum": 4, "mean": 6, "std": 5}
+    return rounded_by(table, {f"{s}_{c}": n for s, n in digits.items() for c in _PANEL_VALUES})
 
 
 VISIT_ROLES = claims.VisitRoles(
@@ -200,7 +199,7 @@ _CLAIMS_REALS = (
 def _claims_digits(name: str) -> int:
     if "std" in name:
         return 3
-    return 8 if "mean" in name else 5
+    return 6 if "mean" in name else 5
 
 
 def _claims_select(source: str) -> str:
@@ -209,9 +208,7 @@ def _claims_select(source: str) -> str:
 
 
 def _round_claims(df: DataFrame) -> DataFrame:
-    for c in _CLAIMS_REALS:
-        df = rounded(df, _claims_digits(c), c)
-    return df
+    return rounded_by(df, {c: _claims_digits(c) for c in _CLAIMS_REALS})
 
 
 def _risk(t: Tables, records: DataFrame) -> DataFrame:
@@ -248,7 +245,7 @@ _FEE_FN = {
 
 
 def _fee_digits(name: str) -> int:
-    return 3 if name.endswith("std") else 8
+    return 3 if name.endswith("std") else 6
 
 
 def _fee_stats_sql(per: str) -> str:
@@ -298,11 +295,9 @@ _FEE_TABLE_SQL = (
 
 def _fee_table(t: Tables) -> DataFrame:
     table = claims.fee_features(fee_lines(t), FEE_ROLES)
-    for c in table.columns:
-        if "_per" in c:
-            table = rounded(table, _fee_digits(c), c)
-    correlations = [c for c in table.columns if c.endswith("corrwithday")]
-    return rounded(table, 6, *correlations, "med_kinds_rep_rate")
+    digits = {c: _fee_digits(c) for c in table.columns if "_per" in c}
+    digits |= {c: 6 for c in table.columns if c.endswith(("corrwithday", "rep_rate"))}
+    return rounded_by(table, digits)
 
 
 @query(
@@ -764,7 +759,7 @@ def in_sample_score(t: Tables):
 )
 def submission(t: Tables):
     records = _panel_records(t)
-    table, ranks = panel.pinned_panel(records, PANEL_ROLES)
+    table, ranks = panel.build_panel(records, PANEL_ROLES)
     split = panel.split_panel(table, PANEL_ROLES, TARGET_PERIOD // 100 - BASE_YEAR, TARGET_PERIOD % 100)
     models = {"linear": sgd_linear(["sum_p_size"], split.label, "l2", 0.0)}
     predictions = panel.fit_predict(split, models)
@@ -780,7 +775,7 @@ def submission(t: Tables):
 @query("panel_forecast")
 def panel_forecast(t: Tables):
     """Stacked, boosted and blended forecast of one month for every class."""
-    table, ranks = panel.pinned_panel(_panel_records(t), PANEL_ROLES)
+    table, ranks = panel.build_panel(_panel_records(t), PANEL_ROLES)
     split = panel.split_panel(table, PANEL_ROLES, TARGET_PERIOD // 100 - BASE_YEAR, TARGET_PERIOD % 100)
     train = rk.shuffled_folds(split.train, panel.CELL, 3, seed=156)
     x, y = ["sum_p_size", "sum_l_discount", "record_num", "month"], split.label

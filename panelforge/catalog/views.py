@@ -73,15 +73,14 @@ SALES_SQL = (
 def fee_lines(t: Tables) -> DataFrame:
     """One row per order line with its customer: the dated, priced records of a person.
 
-    Prices per unit are whole cents, so amounts are exact decimals.
+    Prices per unit are whole cents, so amounts add up exactly.
     """
-    cents = "decimal(18,2)"
     per_unit = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * F.lit(100.0))
     lines = t.lineitem.select(
         F.col("l_orderkey").alias("visit"),
         F.to_date("l_shipdate").alias("day"),
-        F.col("l_quantity").cast(cents).alias("quantity"),
-        (per_unit / F.lit(100.0)).cast(cents).alias("unit_price"),
+        F.col("l_quantity").cast("bigint").alias("quantity"),
+        per_unit.cast("bigint").alias("unit_price"),
         F.col("l_suppkey").alias("venue"),
         F.nullif(F.col("l_returnflag"), F.lit("A")).alias("form"),
         F.col("l_linenumber").alias("item_code"),
@@ -93,9 +92,8 @@ def fee_lines(t: Tables) -> DataFrame:
 FEE_SQL = """
 fee AS (
   SELECT o_custkey AS person, l_orderkey AS visit, CAST(l_shipdate AS DATE) AS day,
-         CAST(l_quantity AS DECIMAL(18, 2)) AS quantity,
-         CAST(floor(l_extendedprice / l_quantity * 100.0::DOUBLE) / 100.0::DOUBLE
-              AS DECIMAL(18, 2)) AS unit_price,
+         CAST(l_quantity AS BIGINT) AS quantity,
+         CAST(floor(l_extendedprice / l_quantity * 100.0::DOUBLE) AS BIGINT) AS unit_price,
          l_suppkey AS venue, nullif(l_returnflag, 'A') AS form, l_linenumber AS item_code
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 """
@@ -104,14 +102,21 @@ fee AS (
 def visits(t: Tables) -> DataFrame:
     """One row per billed line of a visit: person, day, venue, text and amounts.
 
-    The text is null where the line has the return flag ``N``; the amounts are exact cents.
+    The text is null where the line has the return flag ``N``; amounts are whole cents.
     """
-    cents = "decimal(18,2)"
+
+    def hundredths(c: str):
+        return F.round(F.col(c) * F.lit(100.0)).cast("bigint")
+
     lines = t.lineitem.join(
         t.orders.select("o_orderkey", "o_custkey", "o_orderdate"),
         F.col("l_orderkey") == F.col("o_orderkey"),
     ).join(t.part.select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    price = F.col("l_extendedprice").cast(cents)
+    price = hundredths("l_extendedprice")
+
+    def part_of_price(rate: str):
+        return F.floor(price * hundredths(rate) / F.lit(100.0)).cast("bigint")
+
     return lines.select(
         F.col("o_custkey").alias("person"),
         F.col("l_orderkey").alias("visit"),
@@ -122,9 +127,9 @@ def visits(t: Tables) -> DataFrame:
             F.col("l_returnflag") != "N", F.concat_ws(", ", "p_name", F.lower("p_type"))
         ).alias("text"),
         price.alias("drug"),
-        (price * F.col("l_discount").cast("decimal(4,2)")).cast(cents).alias("claimed"),
-        (price * F.col("l_tax").cast("decimal(4,2)")).cast(cents).alias("paid"),
-        F.when(F.col("l_linenumber") != 1, F.col("l_quantity").cast(cents)).alias("exam"),
+        part_of_price("l_discount").alias("claimed"),
+        part_of_price("l_tax").alias("paid"),
+        F.when(F.col("l_linenumber") != 1, F.col("l_quantity").cast("bigint")).alias("exam"),
     )
 
 
@@ -133,12 +138,12 @@ visits AS (
   SELECT o_custkey AS person, l_orderkey AS visit, CAST(o_orderdate AS DATE) AS day,
          month(o_orderdate) AS month, l_suppkey AS venue,
          CASE WHEN l_returnflag <> 'N' THEN p_name || ', ' || lower(p_type) END AS text,
-         CAST(l_extendedprice AS DECIMAL(18, 2)) AS drug,
-         CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) * CAST(l_discount AS DECIMAL(4, 2))
-              AS DECIMAL(18, 2)) AS claimed,
-         CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) * CAST(l_tax AS DECIMAL(4, 2))
-              AS DECIMAL(18, 2)) AS paid,
-         CASE WHEN l_linenumber <> 1 THEN CAST(l_quantity AS DECIMAL(18, 2)) END AS exam
+         CAST(round(l_extendedprice * 100) AS BIGINT) AS drug,
+         CAST(floor(CAST(round(l_extendedprice * 100) AS BIGINT)
+              * CAST(round(l_discount * 100) AS BIGINT) / 100.0::DOUBLE) AS BIGINT) AS claimed,
+         CAST(floor(CAST(round(l_extendedprice * 100) AS BIGINT)
+              * CAST(round(l_tax * 100) AS BIGINT) / 100.0::DOUBLE) AS BIGINT) AS paid,
+         CASE WHEN l_linenumber <> 1 THEN CAST(l_quantity AS BIGINT) END AS exam
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)
 """
 

@@ -14,6 +14,17 @@ def mean(c: Column) -> Column:
     return F.try_divide(F.sum(c).cast("double"), F.count(c))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over the rows where both are present; null if either is constant.
+
+    ``corr`` raises an error for a constant column, so R² gives the size and the covariance the
+    sign. R² is defined as 1 where only ``y`` is constant; no covariance then means no result.
+    """
+    size, joint = F.regr_r2(y, x), F.covar_samp(x, y)
+    constant = (joint == 0) & (size == 1)
+    return F.when(~constant, F.signum(joint) * F.sqrt(size))
+
+
 STATISTICS = {
     "sum": F.sum,
     "mean": mean,

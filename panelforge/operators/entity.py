@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import mentions, piece_count
-from panelforge.operators.aggregates import statistic_columns
+from panelforge.operators.aggregates import correlation, statistic_columns
 
 
 def cell_sums(
@@ -138,13 +138,10 @@ def day_correlation(
     """
     cells = cell_sums(df, entity, day, measures)
     number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).cast("double")
-    aggregates = []
-    for c in measures:
-        x = F.col(c).cast("double")
-        spread = F.stddev_samp(x) * F.stddev_samp("_day")
-        aggregates.append(
-            F.try_divide(F.covar_samp(x, F.col("_day")), spread).alias(f"{c}_{suffix}")
-        )
+    aggregates = [
+        correlation(F.col("_day"), F.col(c).cast("double")).alias(f"{c}_{suffix}")
+        for c in measures
+    ]
     return cells.withColumn("_day", number).groupBy(entity).agg(*aggregates)
 
 

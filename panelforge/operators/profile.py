@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelforge.operators.aggregates import correlation
 from panelforge.operators.columns import numeric_columns
 from panelforge.operators.ranking import with_position
 
@@ -87,57 +88,28 @@ def skewed_columns(df: DataFrame, columns: Sequence[str] | None = None, limit: f
     return [c for c in df.columns if c in found]
 
 
-def _pair_correlation(x: Column, y: Column) -> Column:
-    both_x = F.when(y.isNotNull(), x)
-    both_y = F.when(x.isNotNull(), y)
-    spread = F.stddev_samp(both_x) * F.stddev_samp(both_y)
-    return F.try_divide(F.covar_samp(x, y), spread)
-
-
-# pairs computed side by side in one aggregate before its generated code grows too large
-_WIDE_PAIRS = 60
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(col_a, col_b, r)`` for every ordered pair, over the rows where both are present.
 
-    A constant column has no correlation (null). Wide tables are turned into one row per pair
-    of columns and combined on the map side, so their plan stays small.
+    A constant column has no correlation (null). Every row becomes one short row per pair of
+    columns, combined on the map side: one aggregate per pair in a single wide ``agg`` would
+    outgrow what the JVM compiles.
     """
     columns = list(columns or numeric_columns(df))
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if len(pairs) <= _WIDE_PAIRS:
-        stats = values.agg(
-            *[
-                _pair_correlation(F.col(a), F.col(b)).alias(f"_{i}")
-                for i, (a, b) in enumerate(pairs)
-            ]
-        )
-        half = _unfold(
-            stats,
-            [
-                F.struct(
-                    F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"_{i}").alias("r")
-                )
-                for i, (a, b) in enumerate(pairs)
-            ],
-        )
-    else:
-        entries = [
-            F.struct(
-                F.lit(a).alias("col_a"),
-                F.lit(b).alias("col_b"),
-                F.col(a).alias("x"),
-                F.col(b).alias("y"),
-            )
-            for a, b in pairs
-        ]
-        half = (
-            values.select(F.inline(F.array(*entries)))
-            .groupBy("col_a", "col_b")
-            .agg(_pair_correlation(F.col("x"), F.col("y")).alias("r"))
-        )
+    entries = [
+        F.struct(F.lit(i).alias("_i"), F.col(a).alias("x"), F.col(b).alias("y"))
+        for i, (a, b) in enumerate(pairs)
+    ]
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    half = (
+        values.select(F.inline(F.array(*entries)))
+        .groupBy("_i")
+        .agg(correlation(F.col("x"), F.col("y")).alias("r"))
+        .withColumn("_pair", F.get(names, F.col("_i")))
+        .select(F.col("_pair.a").alias("col_a"), F.col("_pair.b").alias("col_b"), "r")
+    )
     mirrored = F.when(
         F.col("col_a") == F.col("col_b"),
         F.array(F.struct("col_a", "col_b", "r")),
@@ -238,7 +210,7 @@ def normal_line(quantiles: DataFrame) -> DataFrame:
     return quantiles.agg(
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
-        F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)).alias("r"),
+        correlation(x, y).alias("r"),
     )
 
 

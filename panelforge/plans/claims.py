@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.ratios import null_as_zero_sum, safe_ratio, share
 from panelforge.functions.scalars import parse_day, piece_count
-from panelforge.operators.aggregates import STATISTICS, statistic_columns
+from panelforge.operators.aggregates import STATISTICS, correlation, statistic_columns
 from panelforge.operators.columns import common_columns, drop_ranges, nonzero_columns
 from panelforge.operators.entity import repeat_rate, text_flags, venue_risk
 from panelforge.operators.joins import align, union_keys
@@ -188,6 +188,8 @@ def fee_cells(fees: DataFrame, roles: FeeRoles) -> DataFrame:
 
 
 _FEE_SUMS = ["drug_fee", "drug_counts", "cata3"]
+# the two families without the full set of statistics
+_FEE_STATISTICS = {"hospitals_perday": ["max", "median"], "drug_counts_perday": ["max", "mean"]}
 
 
 def _fee_bucket(cells: DataFrame, roles: FeeRoles, bucket) -> DataFrame:
@@ -202,24 +204,20 @@ def fee_features(fees: DataFrame, roles: FeeRoles) -> DataFrame:
     cells = fee_cells(fees, roles)
     day = F.datediff(F.col(roles.day), F.lit("1970-01-01").cast("date"))
 
-    def statistics(table: str, per: str):
-        return statistic_columns(
-            [table], {"hospitals_perday": ["max", "median"], "drug_counts_perday": ["max", "mean"]}.get(
-                f"{table}_{per}", ["max", "mean", "std"]
-            ), "{column}_" + per + "_{stat}",
-        )
+    def statistics(column: str, per: str):
+        stats = _FEE_STATISTICS.get(f"{column}_{per}", ["max", "mean", "std"])
+        return statistic_columns([column], stats, "{column}_" + per + "_{stat}")
 
-    def correlation(c: str, name: str):
-        x, d = F.col(c).cast("double"), F.col("_bucket").cast("double")
-        spread = F.stddev_samp(x) * F.stddev_samp(d)
-        return F.try_divide(F.covar_samp(x, d), spread).alias(f"{name}_corrwithday")
+    def with_day(c: str, name: str):
+        r = correlation(F.col("_bucket").cast("double"), F.col(c).cast("double"))
+        return r.alias(f"{name}_corrwithday")
 
     names = ["hospitals", *_FEE_SUMS]
     daily = _fee_bucket(cells, roles, day).groupBy(roles.person).agg(
         *[a for c in names for a in statistics(c, "perday")],
-        correlation("drug_counts", roles.quantity),
-        correlation("drug_fee", "drug_fee"),
-        correlation("cata3", roles.code),
+        with_day("drug_counts", roles.quantity),
+        with_day("drug_fee", "drug_fee"),
+        with_day("cata3", roles.code),
     )
     monthly = _fee_bucket(cells, roles, F.month(roles.day)).groupBy(roles.person).agg(
         *[a for c in names for a in statistics(c, "permonth")]

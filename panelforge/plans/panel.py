@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator
@@ -35,6 +35,7 @@ class PanelRoles:
     measures: Sequence[str] = field(default_factory=tuple)
     base_year: int = 2011
     first_period: int | None = None  # keep only later periods
+    words: Mapping[str, list] | None = None  # category values, if known beforehand
 
 
 CELL = ["class_trans", "year_delta", "month"]
@@ -64,25 +65,28 @@ def vehicle_roles(records: DataFrame) -> PanelRoles:
     )
 
 
-def class_ranks(records: DataFrame, roles: PanelRoles) -> DataFrame:
-    """``(entity, class_trans)``: N for the largest total of the target, 1 for the smallest."""
-    sums = totals(records, [roles.entity], roles.target, "_total")
-    return rank_entities(sums, "_total", roles.entity, "class_trans").drop("_total")
-
-
-def panel_table(records: DataFrame, roles: PanelRoles, ranks: DataFrame | None = None) -> DataFrame:
-    """One row per (class rank, year offset, month): statistics of every measure.
+def panel_cells(records: DataFrame, roles: PanelRoles) -> DataFrame:
+    """Statistics of every measure and category mark per (entity, period), written once.
 
-    The records are summed up per entity and period first; ranks and date parts join the far
-    smaller panel afterwards.
+    This is the only pass over all records (one more reads the categories if their vocabulary
+    is not given); ranks and forecasts start from these cells.
     """
     keep = [roles.entity, roles.period, roles.target, *roles.measures]
-    coded = one_hot(records.select(*keep, *roles.categories), roles.categories)
+    chosen = records.select(*keep, *roles.categories)
+    coded = one_hot(chosen, roles.categories, words=roles.words)
     measures = [c for c in numeric_columns(coded) if c not in (roles.entity, roles.period)]
-    cells = panel_statistics(
-        coded, [roles.entity, roles.period], measures, record_of=roles.target
-    )
-    ranks = ranks if ranks is not None else class_ranks(records, roles)
+    cells = panel_statistics(coded, [roles.entity, roles.period], measures, record_of=roles.target)
+    return pin(cells, "panel-cells")
+
+
+def class_ranks(cells: DataFrame, roles: PanelRoles) -> DataFrame:
+    """``(entity, class_trans)``: N for the largest total of the target, 1 for the smallest."""
+    sums = totals(cells, [roles.entity], f"sum_{roles.target}", "_total")
+    return rank_entities(sums, "_total", roles.entity, "class_trans").drop("_total")
+
+
+def panel_table(cells: DataFrame, roles: PanelRoles, ranks: DataFrame) -> DataFrame:
+    """One row per (class rank, year offset, month)."""
     dated = cells.withColumns(
         {
             "year_delta": year_offset(roles.period, roles.base_year),
@@ -93,6 +97,13 @@ def panel_table(records: DataFrame, roles: PanelRoles, ranks: DataFrame | None =
     return ranked.select(*CELL, *[c for c in ranked.columns if c not in CELL])
 
 
+def build_panel(records: DataFrame, roles: PanelRoles) -> tuple[DataFrame, DataFrame]:
+    """The panel and the class ranks of a set of records."""
+    cells = panel_cells(records, roles)
+    ranks = class_ranks(cells, roles)
+    return panel_table(cells, roles, ranks), ranks
+
+
 @dataclass(frozen=True)
 class PanelSplit:
     """A panel cut into the month to predict and all the others."""
@@ -132,9 +143,3 @@ def submission(
     by_class = predictions.select("class_trans", F.col(prediction).alias(name))
     named = by_class.join(ranks, on="class_trans").drop("class_trans")
     return requests.select(period, entity).join(named, on=entity).select(period, entity, name)
-
-
-def pinned_panel(records: DataFrame, roles: PanelRoles) -> tuple[DataFrame, DataFrame]:
-    """The panel and the class ranks, written once so that every fit sees the same rows."""
-    ranks = class_ranks(records, roles)
-    return pin(panel_table(records, roles, ranks), "panel"), ranks
