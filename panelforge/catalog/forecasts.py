@@ -442,7 +442,7 @@ def _scaled_sql(x: str) -> str:
     )
 
 
-def _in_sample(df: DataFrame, model, name: str) -> DataFrame:
+def _in_sample(df: DataFrame, model, name: str, digits: int = 4) -> DataFrame:
     """Mean prediction and error over the rows the model was fitted on."""
     scored = predict(model, df, "p")
     table = scored.agg(
@@ -450,7 +450,8 @@ def _in_sample(df: DataFrame, model, name: str) -> DataFrame:
         F.stddev_pop("p").alias("spread"),
         F.sqrt(F.avg((F.col("y") - F.col("p")) * (F.col("y") - F.col("p")))).alias("rmse"),
     )
-    return rounded(table.withColumn("model", F.lit(name)), 4, "mean_prediction", "spread", "rmse")
+    named = table.withColumn("model", F.lit(name))
+    return rounded(named, digits, "mean_prediction", "spread", "rmse")
 
 
 def _in_sample_sql(name: str, prediction: str, source: str) -> str:
@@ -504,9 +505,7 @@ def elastic_net_model(t: Tables):
 def polynomial_ridge_model(t: Tables):
     rows = cells(t)
     model = PolynomialRidge(inputCols=["x1"], labelCol="y", alpha=0.6, degree=2, coef0=2.5).fit(rows)
-    return rounded(
-        _in_sample(rows, model, "polynomial_ridge"), 3, "mean_prediction", "spread", "rmse"
-    )
+    return _in_sample(rows, model, "polynomial_ridge", digits=3)
 
 
 @query("m4_random_forest")

@@ -42,7 +42,7 @@ class AdaBoostR2(Estimator, HasInputCols, HasLabelCol, HasPredictionCol, HasSeed
         seed=0,
     ):
         super().__init__()
-        self._setDefault(trees=50, rate=1.0, depth=3, pinInterval=5)
+        self._setDefault(trees=50, rate=1.0, depth=3, pinInterval=5, seed=0)
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> AdaBoostR2Model:

@@ -33,6 +33,7 @@ class QuartileScaler(Estimator, _Scaled, DefaultParamsReadable, DefaultParamsWri
     @keyword_only
     def __init__(self, *, inputCols=None, outputCol="features"):
         super().__init__()
+        self._setDefault(outputCol="features")
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> QuartileScalerModel:

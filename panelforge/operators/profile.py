@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isnan
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelforge.operators.aggregates import correlation
-from panelforge.operators.columns import numeric_columns
+from panelforge.operators.columns import complete_columns, numeric_columns
+from panelforge.operators.joins import union_all
 from panelforge.operators.ranking import with_position
 
 
@@ -88,28 +91,69 @@ def skewed_columns(df: DataFrame, columns: Sequence[str] | None = None, limit: f
     return [c for c in df.columns if c in found]
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(col_a, col_b, r)`` for every ordered pair, over the rows where both are present.
+# from this many pairs on, gap-free columns are correlated by one matrix product
+_MATRIX_PAIRS = 60
+
+
+def _pairwise(values: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Correlation per pair over the rows where both are present.
 
-    A constant column has no correlation (null). Every row becomes one short row per pair of
-    columns, combined on the map side: one aggregate per pair in a single wide ``agg`` would
-    outgrow what the JVM compiles.
+    Every row becomes one short row per pair, combined on the map side: one aggregate per pair
+    in a single wide ``agg`` would outgrow what the JVM compiles.
     """
-    columns = list(columns or numeric_columns(df))
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     entries = [
         F.struct(F.lit(i).alias("_i"), F.col(a).alias("x"), F.col(b).alias("y"))
         for i, (a, b) in enumerate(pairs)
     ]
     names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    half = (
+    return (
         values.select(F.inline(F.array(*entries)))
         .groupBy("_i")
         .agg(correlation(F.col("x"), F.col("y")).alias("r"))
         .withColumn("_pair", F.get(names, F.col("_i")))
         .select(F.col("_pair.a").alias("col_a"), F.col("_pair.b").alias("col_b"), "r")
     )
+
+
+def _matrix(values: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Correlation of gap-free columns: Spark's distributed Gram matrix, one cell per pair."""
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(values)
+    matrix = Correlation.corr(vectors.select("_v"), "_v").first()[0]
+    cells = [
+        (a, b, float(matrix[i, j]))
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
+        if j >= i
+    ]
+    table = values.sparkSession.createDataFrame(cells, "col_a string, col_b string, r double")
+    # a constant column has none with any other, so its 1 with itself does not count either
+    constant = [
+        a
+        for i, a in enumerate(columns)
+        if all(isnan(matrix[i, j]) for j in range(len(columns)) if j != i)
+    ]
+    pointless = F.isnan("r") | F.col("col_a").isin(constant) | F.col("col_b").isin(constant)
+    return table.withColumn("r", F.when(~pointless, F.col("r")))
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """``(col_a, col_b, r)`` for every ordered pair; null where a column is constant.
+
+    Pairs use the rows where both columns are present. Wide tables go through one Gram matrix,
+    except for the columns that have gaps.
+    """
+    columns = list(columns or numeric_columns(df))
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    parts = []
+    if len(pairs) > _MATRIX_PAIRS:
+        whole = complete_columns(values)
+        if len(whole) > 1:
+            parts.append(_matrix(values, whole))
+            pairs = [p for p in pairs if not (p[0] in whole and p[1] in whole)]
+    if pairs:
+        parts.append(_pairwise(values, pairs))
+    half = union_all(parts)
     mirrored = F.when(
         F.col("col_a") == F.col("col_b"),
         F.array(F.struct("col_a", "col_b", "r")),
@@ -212,7 +256,3 @@ def normal_line(quantiles: DataFrame) -> DataFrame:
         F.regr_intercept(y, x).alias("intercept"),
         correlation(x, y).alias("r"),
     )
-
-
-def is_numeric(df: DataFrame, column: str) -> bool:
-    return isinstance(df.schema[column].dataType, T.NumericType)

@@ -51,12 +51,11 @@ def contiguous_folds(
 ) -> DataFrame:
     """Fold 0..k-1 by position: the first ``n mod k`` folds hold one row more."""
     placed = with_position(df, order, "_position", label="folds")
-    n = placed.agg(F.count(F.lit(1))).scalar()
-    size, longer = F.floor(n / F.lit(k)), n % F.lit(k)
-    at = F.col("_position") - F.lit(1)
-    edge = longer * (size + F.lit(1))
-    fold = F.when(at < edge, F.floor(at / (size + F.lit(1)))).otherwise(
-        longer + F.floor((at - edge) / F.greatest(size, F.lit(1)))
+    # the positions are already written, so this count reads only file footers
+    size, longer = divmod(placed.count(), k)
+    at, edge = F.col("_position") - F.lit(1), longer * (size + 1)
+    fold = F.when(at < edge, F.floor(at / F.lit(size + 1))).otherwise(
+        F.lit(longer) + F.floor((at - F.lit(edge)) / F.lit(max(size, 1)))
     )
     return placed.withColumn(name, fold.cast("int")).drop("_position")
 

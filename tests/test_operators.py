@@ -209,6 +209,25 @@ def test_correlations(spark):
     assert all(r[p] is None for p in r if "c" in p)
 
 
+def test_wide_correlations_agree_with_pairwise(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    data = rng.normal(0, 1, (300, 4))
+    data[:, 3] = 5.0
+    rows = [(*map(float, r), None if i % 3 else float(r[0] + i)) for i, r in enumerate(data)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, flat double, gap double")
+
+    def table():
+        return {(x["col_a"], x["col_b"]): x["r"] for x in profile.correlation_matrix(df).collect()}
+
+    pairwise = table()
+    monkeypatch.setattr(profile, "_MATRIX_PAIRS", 1)
+    wide = table()
+    assert wide.keys() == pairwise.keys() and len(wide) == 25
+    for pair, r in pairwise.items():
+        assert wide[pair] == (None if r is None else pytest.approx(r))
+    assert wide["flat", "flat"] is None and wide["a", "gap"] is not None
+
+
 def test_normal_quantiles_are_symmetric(spark):
     df = spark.range(101).select("id", F.col("id").cast("double").alias("v"))
     table = profile.normal_quantiles(df, "v", "id").orderBy("id").collect()
