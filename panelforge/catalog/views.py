@@ -106,7 +106,7 @@ def visits(t: Tables) -> DataFrame:
     """
 
     def hundredths(c: str):
-        return F.round(F.col(c) * F.lit(100.0)).cast("bigint")
+        return F.floor(F.col(c) * F.lit(100.0) + F.lit(0.5))
 
     lines = t.lineitem.join(
         t.orders.select("o_orderkey", "o_custkey", "o_orderdate"),
@@ -138,11 +138,11 @@ visits AS (
   SELECT o_custkey AS person, l_orderkey AS visit, CAST(o_orderdate AS DATE) AS day,
          month(o_orderdate) AS month, l_suppkey AS venue,
          CASE WHEN l_returnflag <> 'N' THEN p_name || ', ' || lower(p_type) END AS text,
-         CAST(round(l_extendedprice * 100) AS BIGINT) AS drug,
-         CAST(floor(CAST(round(l_extendedprice * 100) AS BIGINT)
-              * CAST(round(l_discount * 100) AS BIGINT) / 100.0::DOUBLE) AS BIGINT) AS claimed,
-         CAST(floor(CAST(round(l_extendedprice * 100) AS BIGINT)
-              * CAST(round(l_tax * 100) AS BIGINT) / 100.0::DOUBLE) AS BIGINT) AS paid,
+         CAST(floor(l_extendedprice * 100.0::DOUBLE + 0.5) AS BIGINT) AS drug,
+         CAST(floor(floor(l_extendedprice * 100.0::DOUBLE + 0.5)
+              * floor(l_discount * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE) AS BIGINT) AS claimed,
+         CAST(floor(floor(l_extendedprice * 100.0::DOUBLE + 0.5)
+              * floor(l_tax * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE) AS BIGINT) AS paid,
          CASE WHEN l_linenumber <> 1 THEN CAST(l_quantity AS BIGINT) END AS exam
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)
 """
