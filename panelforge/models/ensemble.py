@@ -46,7 +46,7 @@ class AveragingRegressor(Estimator, HasLabelCol, HasPredictionCol):
     def _fit(self, df: DataFrame) -> AveragingModel:
         with kept(df) as rows:
             tasks = [lambda m=m: m.fit(rows) for m in self.members]
-            return AveragingModel(side_by_side(tasks, self.threads))
+            return AveragingModel(side_by_side(df.sparkSession, tasks, self.threads))
 
 
 class AveragingModel(Model, HasPredictionCol):
@@ -96,7 +96,7 @@ class StackingRegressor(Estimator, HasLabelCol, HasPredictionCol):
         tasks = [
             lambda b=b, i=i: b.fit(rows.filter(fold != i)) for b in self.bases for i in range(k)
         ]
-        fitted = side_by_side(tasks, self.threads)
+        fitted = side_by_side(rows.sparkSession, tasks, self.threads)
         return [fitted[j * k : (j + 1) * k] for j in range(len(self.bases))]
 
     def out_of_fold(self, rows: DataFrame, models: list[list[Model]]) -> DataFrame:

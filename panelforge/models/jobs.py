@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 R = TypeVar("R")
 
 
-def side_by_side(tasks: Sequence[Callable[[], R]], threads: int = 4) -> list[R]:
+def side_by_side(
+    spark: SparkSession, tasks: Sequence[Callable[[], R]], threads: int = 4
+) -> list[R]:
     """Run driver tasks in a few threads; each starts its own Spark jobs."""
     if not tasks:
         return []
-    inherit = inheritable_thread_target(SparkSession.getActiveSession())
+    inherit = inheritable_thread_target(spark)
     with ThreadPoolExecutor(max_workers=max(1, min(threads, len(tasks)))) as pool:
         return [f.result() for f in [pool.submit(inherit(t)) for t in tasks]]
 

@@ -50,7 +50,7 @@ def cross_validate(
         tasks = [
             lambda m=m, i=i: fold_score(rows, models[m], label, fold_col, i) for m, i in names
         ]
-        scores = side_by_side(tasks, threads)
+        scores = side_by_side(df.sparkSession, tasks, threads)
     data = [(m, i, s) for (m, i), s in zip(names, scores, strict=True)]
     return df.sparkSession.createDataFrame(data, "model string, fold int, rmse double")
 
@@ -85,7 +85,7 @@ def grid_search(
             for c in candidates
             for i in range(folds)
         ]
-        scores = side_by_side(tasks, threads)
+        scores = side_by_side(df.sparkSession, tasks, threads)
     means = [sum(scores[j * folds : (j + 1) * folds]) / folds for j in range(len(candidates))]
     first = means.index(max(means) if metric == "r2" else min(means))
     data = [
@@ -156,7 +156,7 @@ def eliminate_features(
                 lambda i=i, e=estimator: fold_score(rows, e, label, fold_col, i)
                 for i in range(folds)
             ]
-            scores = side_by_side(tasks)
+            scores = side_by_side(df.sparkSession, tasks)
             step = [len(left), ",".join(left), None, sum(scores) / len(scores)]
             if len(left) > least:
                 weights = importances(estimator.fit(rows))

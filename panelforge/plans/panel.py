@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import period_month, year_offset
 from panelforge.models.ensemble import predict
+from panelforge.models.jobs import kept, side_by_side
 from panelforge.operators.aggregates import panel_statistics, totals
 from panelforge.operators.columns import numeric_columns
 from panelforge.operators.encode import one_hot
@@ -124,9 +125,13 @@ def split_panel(panel: DataFrame, roles: PanelRoles, year_delta: int, month: int
 
 def fit_predict(split: PanelSplit, models: dict[str, Estimator]) -> DataFrame:
     """Predictions of each model for the asked month, one column per model."""
+    with kept(split.train) as rows:
+        fitted = side_by_side(
+            rows.sparkSession, [lambda e=e: e.fit(rows) for e in models.values()]
+        )
     scored = split.predict
-    for name, estimator in models.items():
-        scored = predict(estimator.fit(split.train), scored, name)
+    for name, model in zip(models, fitted, strict=True):
+        scored = predict(model, scored, name)
     return scored.select(*CELL, *models)
 
 
