@@ -66,10 +66,13 @@ def panel_statistics(
     measures: Sequence[str],
     record_of: str | None = None,
     record_name: str = "record_num",
+    marks: Sequence[str] = (),
 ) -> DataFrame:
     """Sum, mean and sample deviation of every measure per panel cell.
 
     A single-row cell has deviation 0. ``record_of`` adds the number of its distinct values.
+    ``marks`` are 0/1 columns without nulls: their sum and the row count give all three
+    statistics, so each needs one aggregation buffer only.
     """
     aggregates = []
     for c in measures:
@@ -78,9 +81,22 @@ def panel_statistics(
             mean(F.col(c)).alias(f"mean_{c}"),
             F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"std_{c}"),
         ]
+    aggregates += [F.sum(c).alias(f"sum_{c}") for c in marks]
+    if marks:
+        aggregates.append(F.count(F.lit(1)).alias("_rows"))
     if record_of:
         aggregates.append(F.count_distinct(record_of).alias(record_name))
-    return df.groupBy(*keys).agg(*aggregates)
+    cells = df.groupBy(*keys).agg(*aggregates)
+    if not marks:
+        return cells
+    n = F.col("_rows").cast("double")
+    derived = {}
+    for c in marks:
+        ones = F.col(f"sum_{c}").cast("double")
+        spread = F.try_divide(ones * (n - ones), n * (n - F.lit(1.0)))
+        derived[f"mean_{c}"] = ones / n
+        derived[f"std_{c}"] = F.coalesce(F.sqrt(spread), F.lit(0.0))
+    return cells.withColumns(derived).drop("_rows")
 
 
 def totals(df: DataFrame, keys: Sequence[str], measure: str, name: str) -> DataFrame:

@@ -75,8 +75,10 @@ def panel_cells(records: DataFrame, roles: PanelRoles) -> DataFrame:
     keep = [roles.entity, roles.period, roles.target, *roles.measures]
     chosen = records.select(*keep, *roles.categories)
     coded = one_hot(chosen, roles.categories, words=roles.words)
-    measures = [c for c in numeric_columns(coded) if c not in (roles.entity, roles.period)]
-    cells = panel_statistics(coded, [roles.entity, roles.period], measures, record_of=roles.target)
+    keys = [roles.entity, roles.period]
+    measures = [c for c in numeric_columns(chosen) if c not in [*keys, *roles.categories]]
+    marks = [c for c in coded.columns if c not in chosen.columns]
+    cells = panel_statistics(coded, keys, measures, record_of=roles.target, marks=marks)
     return pin(cells, "panel-cells")
 
 

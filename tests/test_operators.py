@@ -54,6 +54,15 @@ def test_single_row_deviation_is_zero(spark, rows):
     assert rows(cells) == [(1, 5.0, 5.0, 0.0, 1)]
 
 
+def test_marks_have_the_statistics_of_measures(spark):
+    df = spark.createDataFrame([(i % 4 if i else 9, int(i % 3 == 0)) for i in range(40)], "k int, m int")
+    plain = {r["k"]: r for r in ag.panel_statistics(df, ["k"], ["m"]).collect()}
+    short = {r["k"]: r for r in ag.panel_statistics(df, ["k"], [], marks=["m"]).collect()}
+    assert len(short) == 5
+    for k, row in plain.items():
+        assert short[k].asDict() == pytest.approx(row.asDict())
+
+
 def test_keep_months_includes_september(spark, rows):
     df = spark.createDataFrame([(201708,), (201709,), (201711,)], "d int")
     assert rows(filters.keep_months(df, "d")) == [(201709,), (201711,)]
