@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import chat
+from panelforge.llm import bpe, chat
 from panelforge.llm.exact_dedup import exact_dedup
 from panelforge.llm.mixing import mix_sources
 from panelforge.llm.url_filter import rule_table, url_filter
@@ -185,3 +185,8 @@ def op9_chat_format(t: Tables) -> DataFrame:
     )
     rows = t.conversations.select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.read_back(chat.format_chats(chat.event_log(rows)))
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(t: Tables) -> DataFrame:
+    return bpe.token_digests(t.documents)
