@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from panelforge.llm import bpe, chat
 from panelforge.llm.exact_dedup import exact_dedup
 from panelforge.llm.mixing import mix_sources
+from panelforge.llm.quality_rules import quality_rules
 from panelforge.llm.url_filter import rule_table, url_filter
 from panelforge.sources import Tables
 
@@ -190,3 +191,8 @@ def op9_chat_format(t: Tables) -> DataFrame:
 @query("op6_byte_bpe")
 def op6_byte_bpe(t: Tables) -> DataFrame:
     return bpe.token_digests(t.documents)
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(t: Tables) -> DataFrame:
+    return quality_rules(t.documents)
