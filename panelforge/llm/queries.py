@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm import bpe, chat
 from panelforge.llm.exact_dedup import exact_dedup
+from panelforge.llm.minhash_dedup import near_duplicates
 from panelforge.llm.mixing import mix_sources
 from panelforge.llm.quality_rules import quality_rules
 from panelforge.llm.url_filter import rule_table, url_filter
@@ -196,3 +197,8 @@ def op6_byte_bpe(t: Tables) -> DataFrame:
 @query("op8_quality_rules")
 def op8_quality_rules(t: Tables) -> DataFrame:
     return quality_rules(t.documents)
+
+
+@query("op4_minhash_dedup")
+def op4_minhash_dedup(t: Tables) -> DataFrame:
+    return near_duplicates(t.documents, size=3, percent=85)
