@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,11 +25,11 @@ from panelforge.llm.common import chunks, map_arrow, pick
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NO_PAIR = np.iinfo(np.int32).max
 WIDEST = 1024
-CELLS = 1 << 21
+CELLS = 1 << 18
 #: Entries of the cache of encoded pieces; a full cache is thrown away and begun anew.
-CACHED_PIECES, CACHED_IDS = 400_000, 8_000_000
-#: Characters of texts that are encoded together.
-TOGETHER = 1 << 20
+CACHED_PIECES, CACHED_IDS = 100_000, 4_000_000
+#: Characters of texts that are encoded together, and ids that are decoded together.
+TOGETHER = 1 << 18
 
 
 class PairTable:
@@ -69,28 +70,21 @@ class PairTable:
 
 
 class Codec:
-    """Encodes and decodes with the ranks of one vocabulary file."""
+    """Encodes with the ranks of one vocabulary file."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.split = regex.compile(pattern).findall
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs = {}
+        keys, ranks = array("q"), array("i")
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if left is not None and right is not None:
-                    pairs[left << 32 | right] = rank
-        keys = np.fromiter(pairs.keys(), np.int64, len(pairs))
-        self.pairs = PairTable(keys, np.fromiter(pairs.values(), np.int32, len(pairs)))
-        size = max(self.ranks.values()) + 1
-        tokens = [b""] * size
-        for token, rank in self.ranks.items():
-            tokens[rank] = token
-        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.token_size = np.array([len(t) for t in tokens], np.int64)
-        self.token_start = np.concatenate([[0], np.cumsum(self.token_size)[:-1]])
+                    keys.append(left << 32 | right)
+                    ranks.append(rank)
+        self.pairs = PairTable(np.frombuffer(keys, np.int64), np.frombuffer(ranks, np.int32))
         self._forget()
 
     def _forget(self):
@@ -222,10 +216,24 @@ class Codec:
         bounds = np.concatenate([[0], np.cumsum(counts)])
         return ids, np.diff(ends[bounds])
 
+
+class Vocabulary:
+    """The bytes of each id of a vocabulary file."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as lines:
+            pairs = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, lines)]
+        tokens = [b""] * (max(rank for rank, _ in pairs) + 1)
+        for rank, token in pairs:
+            tokens[rank] = token
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids in a row, and the number of each id."""
-        sizes = self.token_size[ids]
-        return self.token_bytes[spans(self.token_start[ids], sizes)], sizes
+        sizes = self.size[ids]
+        return self.bytes[spans(self.start[ids], sizes)], sizes
 
 
 def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -240,6 +248,11 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``doc_id, ids``: the token ids of every whole text.
 
@@ -261,21 +274,27 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     return map_arrow(plain, run, "doc_id long, ids array<int>")
 
 
-def decode(tokens: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, ids, decoded``: the bytes that the ids stand for; null ids give no bytes."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batch: pa.RecordBatch):
-        lists = batch.column(1)
-        ids = lists.flatten().to_numpy(zero_copy_only=False)
-        counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        raw, sizes = codec(path, pattern).decode(ids)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        offsets = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-        decoded = pa.Array.from_buffers(
-            pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw.tobytes())]
-        )
-        yield pa.record_batch([batch.column(0), lists, decoded], names=["doc_id", "ids", "decoded"])
+        sizes = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends, first = np.cumsum(sizes), 0
+        while first < len(sizes):
+            before = ends[first] - sizes[first]
+            last = max(first + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+            part = batch.slice(first, last - first)
+            lists = part.column(1)
+            raw, widths = vocabulary(path).decode(lists.flatten().to_numpy(zero_copy_only=False))
+            bytes_to = np.concatenate([[0], np.cumsum(widths)])
+            bounds = np.concatenate([[0], np.cumsum(sizes[first:last])])
+            offsets = pa.py_buffer(bytes_to[bounds].astype(np.int32).tobytes())
+            decoded = pa.Array.from_buffers(
+                pa.binary(), last - first, [None, offsets, pa.py_buffer(raw.tobytes())]
+            )
+            yield pa.record_batch([part.column(0), lists, decoded], names=["doc_id", "ids", "decoded"])
+            first = last
 
     plain = pick(tokens, "doc_id", "ids")
     return map_arrow(plain, run, "doc_id long, ids array<int>, decoded binary")
