@@ -10,6 +10,7 @@ from panelforge.llm import bpe, chat
 from panelforge.llm.exact_dedup import exact_dedup
 from panelforge.llm.minhash_dedup import near_duplicates
 from panelforge.llm.mixing import mix_sources
+from panelforge.llm.quality_model import quality_scores
 from panelforge.llm.quality_rules import quality_rules
 from panelforge.llm.url_filter import rule_table, url_filter
 from panelforge.sources import Tables
@@ -202,3 +203,8 @@ def op8_quality_rules(t: Tables) -> DataFrame:
 @query("op4_minhash_dedup")
 def op4_minhash_dedup(t: Tables) -> DataFrame:
     return near_duplicates(t.documents, size=3, percent=85)
+
+
+@query("op7_quality_model")
+def op7_quality_model(t: Tables) -> DataFrame:
+    return quality_scores(t.documents, t.labels)
