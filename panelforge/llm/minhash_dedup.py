@@ -27,11 +27,11 @@ from panelforge.llm.common import chunks, map_arrow, pick
 from panelforge.llm.components import connected_components
 from panelforge.session import pin
 
-#: At a similarity of 0.85 a pair misses all bands with a chance below one in a million.
+#: A pair misses all bands with a chance of 1e-6 at a similarity of 0.85 and 2e-4 at 0.8.
 ROWS, BANDS = 7, 36
 HASHES = ROWS * BANDS
-#: Estimated similarities from here on count: more than three standard deviations below 0.85.
-LOWEST_ESTIMATE = 0.74
+#: Estimates may be so much below a true similarity: three standard deviations at 0.8.
+ESTIMATE_SLACK = 0.12
 SIGNATURE_BLOCK, SET_BLOCK = 4096, 1024
 TOGETHER = 1 << 19
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -143,16 +143,16 @@ def components_of(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def estimated_near(bits: np.ndarray) -> np.ndarray:
+def estimated_near(bits: np.ndarray, lowest: float) -> np.ndarray:
     """Which signatures (rows of 64-bit words) may belong to similar sets, on the last two axes."""
     apart = np.zeros((*bits.shape[:-1], bits.shape[-2]), np.int16)
     for w in range(bits.shape[-1]):
         column = bits[..., w]
         apart += np.bitwise_count(column[..., :, None] ^ column[..., None, :])
-    return 1 - 2 * apart / HASHES >= LOWEST_ESTIMATE
+    return 1 - 2 * apart / HASHES >= lowest
 
 
-def _bucket_stars(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray):
+def _bucket_stars(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, lowest: float):
     """``(member, root)`` of the clusters within each bucket; buckets of one size go together."""
     order = np.lexsort((ids, keys))
     keys, ids, bits = keys[order], ids[order], bits[order]
@@ -164,7 +164,7 @@ def _bucket_stars(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray):
         step = max(1, (1 << 20) // int(size * size))
         for k in range(0, len(starts), step):
             places = starts[k : k + step, None] + np.arange(size)[None, :]
-            near = estimated_near(bits[places])
+            near = estimated_near(bits[places], lowest)
             for group, place in zip(near, places, strict=True):
                 if group.sum() > size:
                     label = components_of(group)
@@ -242,9 +242,12 @@ def _fixed(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1) if raw else np.zeros((0, 4), kind)
 
 
-def _signature_stars(table: pa.Table):
-    bits = _fixed(table.column("bits"), "<u8")
-    return _bucket_stars(table.column("unit").to_numpy(), table.column("id").to_numpy(), bits)
+def _signature_stars(lowest: float):
+    def run(table: pa.Table):
+        bits = _fixed(table.column("bits"), "<u8")
+        return _bucket_stars(table.column("unit").to_numpy(), table.column("id").to_numpy(), bits, lowest)
+
+    return run
 
 
 def _set_stars(percent: int):
@@ -290,7 +293,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     dealt = in_blocks(buckets, "key", "id", SIGNATURE_BLOCK)
     dealt = dealt.select("id", "unit").join(reps.select("id", "bits"), "id")
     bins = max(1, count // 2048)
-    clusters = connected_components(stars(dealt, bins, _signature_stars))
+    clusters = connected_components(stars(dealt, bins, _signature_stars(percent / 100 - ESTIMATE_SLACK)))
     clusters = pin(clusters.withColumnRenamed("component", "cluster"), "clusters")
 
     def full_sets(batch: pa.RecordBatch):

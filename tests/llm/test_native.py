@@ -27,7 +27,7 @@ def fill(budget, nodes):
     return given
 
 
-def mix_by_hand(rows, share, epochs):
+def mix_by_hand(rows, share, epochs, seed="s"):
     leaves = defaultdict(list)
     for doc_id, text, lang, source in rows:
         if text and text.split():
@@ -52,7 +52,7 @@ def mix_by_hand(rows, share, epochs):
         budget, epoch = int(budget + 1e-6), 0
         while budget > 0:
             order = sorted(
-                leaves[leaf], key=lambda d: (hashlib.md5(f"s:{epoch}:{d[0]}".encode()).hexdigest(), d[1])
+                leaves[leaf], key=lambda d: (hashlib.md5(f"{seed}:{epoch}:{d[0]}".encode()).hexdigest(), d[1])
             )
             for doc_id, n in order:
                 if budget > 0:
