@@ -12,6 +12,7 @@ from panelforge.llm.minhash_dedup import near_duplicates
 from panelforge.llm.mixing import mix_sources
 from panelforge.llm.quality_model import quality_scores
 from panelforge.llm.quality_rules import quality_rules
+from panelforge.llm.suffix_dedup import repeat_digests
 from panelforge.llm.url_filter import rule_table, url_filter
 from panelforge.sources import Tables
 
@@ -208,3 +209,8 @@ def op4_minhash_dedup(t: Tables) -> DataFrame:
 @query("op7_quality_model")
 def op7_quality_model(t: Tables) -> DataFrame:
     return quality_scores(t.documents, t.labels)
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(t: Tables) -> DataFrame:
+    return repeat_digests(t.documents)
