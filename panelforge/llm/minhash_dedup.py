@@ -143,17 +143,33 @@ def components_of(near: np.ndarray) -> np.ndarray:
         label = new
 
 
-def estimated_near(bits: np.ndarray, lowest: float) -> np.ndarray:
-    """Which signatures (rows of 64-bit words) may belong to similar sets, on the last two axes."""
-    apart = np.zeros((*bits.shape[:-1], bits.shape[-2]), np.int16)
+def bits_apart(bits: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Differing bits of each pair of signatures (rows of words), on the last two axes."""
+    apart = np.zeros((*bits.shape[:-1], others.shape[-2]), np.int16)
     for w in range(bits.shape[-1]):
-        column = bits[..., w]
-        apart += np.bitwise_count(column[..., :, None] ^ column[..., None, :])
-    return 1 - 2 * apart / HASHES >= lowest
+        apart += np.bitwise_count(bits[..., :, w, None] ^ others[..., None, :, w])
+    return apart
 
 
-def _bucket_stars(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, lowest: float):
-    """``(member, root)`` of the clusters within each bucket; buckets of one size go together."""
+def block_components(bits: np.ndarray, most_apart: float, block: int = 2048) -> np.ndarray:
+    """``components_of`` for many signatures, a block of rows at a time."""
+    label = np.arange(len(bits))
+    while True:
+        new = label.copy()
+        for lo in range(0, len(bits), block):
+            near = bits_apart(bits[lo : lo + block], bits) <= most_apart
+            new[lo : lo + block] = np.where(near, new[None, :], len(bits)).min(axis=1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def bucket_stars(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, most_apart: float):
+    """``(members, roots)``: stars of what may be similar within each bucket of equal keys.
+
+    Signatures with up to ``most_apart`` differing bits may be; buckets of one size are compared together.
+    """
     order = np.lexsort((ids, keys))
     keys, ids, bits = keys[order], ids[order], bits[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
@@ -164,13 +180,17 @@ def _bucket_stars(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, lowest: f
         step = max(1, (1 << 20) // int(size * size))
         for k in range(0, len(starts), step):
             places = starts[k : k + step, None] + np.arange(size)[None, :]
-            near = estimated_near(bits[places], lowest)
-            for group, place in zip(near, places, strict=True):
-                if group.sum() > size:
-                    label = components_of(group)
-                    moved = np.flatnonzero(label != np.arange(size))
-                    members.append(ids[place[moved]])
-                    roots.append(ids[place[label[moved]]])
+            if size > 2048:
+                labels = block_components(bits[places[0]], most_apart)[None, :]
+            elif size == 2:
+                near = bits_apart(bits[places[:, :1]], bits[places[:, 1:]])[:, 0, 0] <= most_apart
+                labels = np.stack([np.zeros(len(near), np.int64), 1 - near.astype(np.int64)], axis=1)
+            else:
+                near = bits_apart(bits[places], bits[places]) <= most_apart
+                labels = np.stack([components_of(group) for group in near])
+            line, moved = np.nonzero(labels != np.arange(size))
+            members.append(ids[places[line, moved]])
+            roots.append(ids[places[line, labels[line, moved]]])
     return members, roots
 
 
@@ -245,23 +265,24 @@ def _fixed(column: pa.ChunkedArray, kind: str) -> np.ndarray:
 def _signature_stars(lowest: float):
     def run(table: pa.Table):
         bits = _fixed(table.column("bits"), "<u8")
-        return _bucket_stars(table.column("unit").to_numpy(), table.column("id").to_numpy(), bits, lowest)
+        most = HASHES * (1 - lowest) / 2  # half of the bits that are not alike agree by chance
+        return bucket_stars(table.column("unit").to_numpy(), table.column("id").to_numpy(), bits, most)
 
     return run
 
 
-def _set_stars(percent: int):
+def set_stars(percent: int, read: Callable[[list], list[np.ndarray]]):
+    """Stars of what is similar in each unit; ``read`` makes sets of the values in column ``content``."""
+
     def run(table: pa.Table):
         units, ids = table.column("unit").to_numpy(), table.column("id").to_numpy()
         order = np.lexsort((ids, units))
         cuts = np.flatnonzero(np.concatenate([[True], units[order][1:] != units[order][:-1], [True]]))
-        sets, members, roots = table.column("shingles"), [], []
+        content, members, roots = table.column("content"), [], []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             place = order[lo:hi]
             mine = ids[place]
-            label = components_of(
-                similar_matrix([np.frombuffer(sets[int(p)].as_py(), np.uint64) for p in place], percent)
-            )
+            label = components_of(similar_matrix(read([content[int(p)].as_py() for p in place]), percent))
             moved = np.flatnonzero(label != np.arange(len(place)))
             members.append(mine[moved])
             roots.append(mine[label[moved]])
@@ -270,6 +291,10 @@ def _set_stars(percent: int):
     return run
 
 
+def _as_sets(raws: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(r, np.uint64) for r in raws]
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -301,12 +326,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         for first, end in chunks([t or "" for t in texts], TOGETHER):
             raw = [s.tobytes() for s in shingle_sets(texts[first:end], size)]
             ahead = [batch.column(i).slice(first, end - first) for i in (0, 1)]
-            yield pa.record_batch([*ahead, pa.array(raw, pa.binary())], names=["id", "cluster", "shingles"])
+            yield pa.record_batch([*ahead, pa.array(raw, pa.binary())], names=["id", "cluster", "content"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(clusters, "id")
-    sets = map_arrow(texts.select("id", "cluster", "text"), full_sets, "id long, cluster long, shingles binary")
+    sets = map_arrow(texts.select("id", "cluster", "text"), full_sets, "id long, cluster long, content binary")
     units = in_blocks(clusters, "cluster", "id", SET_BLOCK).select("id", "unit")
-    linked = stars(sets.select("id", "shingles").join(units, "id"), bins, _set_stars(percent))
+    linked = stars(sets.select("id", "content").join(units, "id"), bins, set_stars(percent, _as_sets))
     components = connected_components(linked)
 
     of_class = classes.join(components, "id", "left").select(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm import bpe, chat
 from panelforge.llm.exact_dedup import exact_dedup
+from panelforge.llm.line_dedup import line_report
 from panelforge.llm.minhash_dedup import near_duplicates
 from panelforge.llm.mixing import mix_sources
 from panelforge.llm.quality_model import quality_scores
@@ -214,3 +215,8 @@ def op7_quality_model(t: Tables) -> DataFrame:
 @query("op3_suffix_dedup")
 def op3_suffix_dedup(t: Tables) -> DataFrame:
     return repeat_digests(t.documents)
+
+
+@query("op2_line_dedup")
+def op2_line_dedup(t: Tables) -> DataFrame:
+    return line_report(t.documents)

@@ -134,7 +134,7 @@ def _unpack(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def _by_bin(bins: np.ndarray, count: int):
+def by_bin(bins: np.ndarray, count: int):
     order = np.argsort(bins, kind="stable")
     cuts = np.searchsorted(bins[order], np.arange(count + 1))
     for b in range(count):
@@ -159,7 +159,7 @@ def send_anchors(bins: int):
             new = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
             several = np.minimum.reduceat(ids, new) < np.maximum.reduceat(ids, new)
             hashes = hashes[new]
-            for b, rows in _by_bin((hashes % np.uint64(bins)).astype(np.int64), bins):
+            for b, rows in by_bin((hashes % np.uint64(bins)).astype(np.int64), bins):
                 out["bin"].append(b)
                 out["chunk"].append(key[0].as_py())
                 out["lone"].append(_pack(hashes[rows[~several[rows]]]))
@@ -224,7 +224,7 @@ def send_contexts(bins: int):
             rows["doc"] = low
             texts = [texts[i] for i in order[new].tolist()]
             pack = zstandard.ZstdCompressor(level=3).compress
-            for b, mine in _by_bin((rows["anchor"] % np.uint64(bins)).astype(np.int64), bins):
+            for b, mine in by_bin((rows["anchor"] % np.uint64(bins)).astype(np.int64), bins):
                 out["bin"].append(b)
                 out["chunk"].append(key[0].as_py())
                 n = np.int64(len(mine)).tobytes()
