@@ -8,7 +8,6 @@ from panelforge.catalog.registry import query
 from panelforge.catalog.scalars import price_band
 from panelforge.catalog.views import (
     BASE_YEAR,
-    FIRST_PERIOD,
     HOUSES_SQL,
     SALES_SQL,
     VISITS_SQL,
@@ -21,7 +20,6 @@ from panelforge.functions import recode
 from panelforge.functions import scalars as sc
 from panelforge.operators import aggregates as ag
 from panelforge.operators import profile as pr
-from panelforge.operators.filters import after
 from panelforge.operators.quantiles import exact_medians, exact_quantiles
 from panelforge.plans import presets
 from panelforge.sources import Tables
@@ -46,17 +44,17 @@ _PANEL_MEASURES = ["sale_quantity", "p_size", "l_discount"]
     + "SELECT class_id, sale_date // 100 - 1994 AS year_delta, "
     "CAST(sale_date % 100 AS INTEGER) AS month, "
     + ", ".join(
-        f"round(sum({c}), 4) AS sum_{c}, round(avg({c}), 5) AS mean_{c}, "
-        f"round(coalesce(stddev_samp({c}), 0), 5) AS std_{c}"
+        f"round(sum({c}), 4) AS sum_{c}, round(avg({c}), 9) AS mean_{c}, "
+        f"round(coalesce(stddev_samp({c}), 0), 9) AS std_{c}"
         for c in ("sale_quantity", "l_discount")
     )
-    + ", CAST(sum(p_size) AS BIGINT) AS sum_p_size, round(avg(p_size), 5) AS mean_p_size, "
-    "round(coalesce(stddev_samp(p_size), 0), 5) AS std_p_size, "
-    "count(DISTINCT sale_quantity) AS record_num FROM sales WHERE sale_date > 199812 "
+    + ", CAST(sum(p_size) AS BIGINT) AS sum_p_size, round(avg(p_size), 9) AS mean_p_size, "
+    "round(coalesce(stddev_samp(p_size), 0), 9) AS std_p_size, "
+    "count(DISTINCT sale_quantity) AS record_num FROM sales "
     "GROUP BY class_id, year_delta, month",
 )
 def panel_statistics(t: Tables):
-    rows = after(sales(t), "sale_date", FIRST_PERIOD).withColumns(
+    rows = sales(t).withColumns(
         {
             "year_delta": sc.year_offset("sale_date", BASE_YEAR),
             "month": sc.period_month("sale_date"),
@@ -65,8 +63,8 @@ def panel_statistics(t: Tables):
     panel = ag.panel_statistics(
         rows, ["class_id", "year_delta", "month"], _PANEL_MEASURES, record_of="sale_quantity"
     )
-    fives = [f"{s}_{c}" for c in _PANEL_MEASURES for s in ("mean", "std")]
-    return rounded(rounded(panel, 5, *fives), 4, "sum_sale_quantity", "sum_l_discount")
+    nines = [f"{s}_{c}" for c in _PANEL_MEASURES for s in ("mean", "std")]
+    return rounded(rounded(panel, 9, *nines), 4, "sum_sale_quantity", "sum_l_discount")
 
 
 @query(
@@ -218,7 +216,10 @@ def wide_statistics(t: Tables):
     return stats.withColumns({f"{c}_sum": F.col(f"{c}_sum").cast("double") for c in _WIDE})
 
 
-_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
+_NUMBERS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax",
+)
 
 
 @query(
@@ -265,6 +266,17 @@ def correlation_matrix_wide(t: Tables):
     return rounded(pr.correlation_matrix(wide), 6, "r")
 
 
+@query(
+    "a24_correlation_constant_columns",
+    "SELECT col_a, col_b, CASE WHEN col_a = 'l_tax' AND col_b = 'l_tax' THEN 1.0::DOUBLE END AS r "
+    "FROM (SELECT unnest(['l_tax'] || list_transform(range(11), lambda i: 'k' || i)) AS col_a), "
+    "(SELECT unnest(['l_tax'] || list_transform(range(11), lambda i: 'k' || i)) AS col_b)",
+)
+def correlation_constant_columns(t: Tables):
+    lines = t.lineitem.select("l_tax", *[F.lit(float(i)).alias(f"k{i}") for i in range(11)])
+    return rounded(pr.correlation_matrix(lines), 6, "r")
+
+
 @query(
     "a25_skewness",
     "SELECT \"column\", round(skew, 6) AS skew FROM ("
@@ -280,7 +292,7 @@ def skewness(t: Tables):
     return rounded(table, 6, "skew").orderBy(F.col("skew").desc())
 
 
-_GAPPED = ("id", "zone", "frontage", "area", "quality")
+_GAPPED = ("id", "neighborhood", "zone", "frontage", "area", "quality", "condition", "price")
 
 
 @query(
@@ -296,7 +308,7 @@ _GAPPED = ("id", "zone", "frontage", "area", "quality")
     + ") WHERE missing_pct > 0 ORDER BY missing_pct DESC, \"column\" LIMIT 30",
 )
 def missing_report(t: Tables):
-    return rounded(pr.missing_report(houses(t).select(*_GAPPED)), 6, "missing_pct")
+    return rounded(pr.missing_report(houses(t)), 6, "missing_pct")
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelforge.catalog.aggregations import rounded
@@ -84,20 +87,20 @@ def replace_categories(t: Tables):
 
 @query(
     "e5_one_hot_vocabulary_fit",
-    "SELECT c_mktsegment, code, n FROM (SELECT c_mktsegment, count(*) AS n, CAST(row_number() "
-    "OVER (ORDER BY c_mktsegment) - 1 AS DOUBLE) AS code FROM customer GROUP BY c_mktsegment)",
+    "WITH s AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS code "
+    "FROM customer GROUP BY c_mktsegment), n AS (SELECT count(*) AS n FROM s) "
+    "SELECT c_custkey, c_mktsegment, CAST(code AS DOUBLE) AS code, list_transform(range(n), "
+    "lambda i: CASE WHEN i = code THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS vector "
+    "FROM customer JOIN s USING (c_mktsegment), n",
 )
 def one_hot_vocabulary_fit(t: Tables):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-
     index = StringIndexer(
         inputCol="c_mktsegment", outputCol="code", stringOrderType="alphabetAsc"
     )
     hot = OneHotEncoder(inputCols=["code"], outputCols=["vector"], dropLast=False)
-    people = t.customer.select("c_mktsegment")
+    people = t.customer.select("c_custkey", "c_mktsegment")
     coded = Pipeline(stages=[index, hot]).fit(people).transform(people)
-    return coded.groupBy("c_mktsegment", "code").agg(F.count(F.lit(1)).alias("n"))
+    return coded.withColumn("vector", vector_to_array("vector"))
 
 
 @query(

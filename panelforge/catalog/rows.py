@@ -27,11 +27,12 @@ def drop_columns(t: Tables):
 
 @query(
     "p2_drop_column_range",
-    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus "
-    "FROM lineitem",
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_linestatus, "
+    "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS l_shipdate FROM lineitem",
 )
 def drop_column_range(t: Tables):
-    return cols.drop_ranges(t.lineitem.drop("l_shipdate"), [("l_quantity", "l_tax")])
+    left = cols.drop_ranges(t.lineitem, [("l_quantity", "l_tax")])
+    return left.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(
@@ -245,7 +246,8 @@ def split_by_period(t: Tables):
 
 @query(
     "f6_split_by_origin",
-    "SELECT c_custkey AS key, c_acctbal AS balance, c_mktsegment AS segment FROM customer",
+    "SELECT c_custkey AS key, c_acctbal AS balance, c_mktsegment AS segment, 'train' AS side "
+    "FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL, 'test' FROM supplier",
 )
 def split_by_origin(t: Tables):
     train = t.customer.select(
@@ -254,7 +256,9 @@ def split_by_origin(t: Tables):
         F.col("c_mktsegment").alias("segment"),
     )
     test = t.supplier.select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance"))
-    return flt.take_tagged(flt.union_tagged({"train": train, "test": test}), "train")
+    both = flt.union_tagged({"train": train, "test": test})
+    sides = [flt.take_tagged(both, s).withColumn("side", F.lit(s)) for s in ("train", "test")]
+    return sides[0].unionByName(sides[1])
 
 
 @query(

@@ -8,6 +8,7 @@ from panelforge.catalog.registry import query
 from panelforge.operators import profile as pr
 from panelforge.session import scratch_path
 from panelforge.sources import (
+    NULL_TOKENS,
     Tables,
     read_csv,
     read_csv_named,
@@ -29,11 +30,32 @@ def csv_scan_inferred(t: Tables):
     return df.withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
 
 
-@query("s2_csv_scan_typed", "SELECT * FROM part WHERE p_size > 25")
+@query("s2_csv_scan_typed", "SELECT * FROM part")
 def csv_scan_typed(t: Tables):
     path = scratch_path(t.spark, "csv")
     write_csv(t.part, path)
-    return read_csv(t.spark, path, PART_DDL, header=True).filter("p_size > 25")
+    return read_csv(t.spark, path, PART_DDL, header=True)
+
+
+@query(
+    "s1_csv_null_tokens",
+    "SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_size END AS p_size, "
+    "CASE WHEN p_size % 7 <> 0 THEN p_retailprice END AS p_retailprice, "
+    "CASE WHEN p_size % 3 <> 0 THEN p_type END AS p_type FROM part",
+)
+def csv_null_tokens(t: Tables):
+    path = scratch_path(t.spark, "csv")
+    marked = t.part.select(
+        "p_partkey",
+        F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("string")).otherwise("NA").alias("p_size"),
+        F.when(F.col("p_size") % 7 != 0, F.col("p_retailprice").cast("string"))
+        .otherwise("N/A")
+        .alias("p_retailprice"),
+        F.when(F.col("p_size") % 3 != 0, F.col("p_type")).otherwise("NA").alias("p_type"),
+    )
+    write_csv(marked, path)
+    df = read_csv(t.spark, path, null_tokens=NULL_TOKENS)
+    return df.withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
 
 
 @query("s3_csv_scan_headerless", "SELECT doc_id AS person, quality AS label FROM labels")
@@ -56,17 +78,17 @@ def csv_scan_keyed(t: Tables):
 
 @query(
     "s5_csv_sink",
-    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
+    "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) FROM orders",
 )
 def csv_sink(t: Tables):
     path = scratch_path(t.spark, "csv")
-    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
-    write_csv(t.orders.select(*columns), path)
+    write_csv(t.orders, path)
     ddl = (
         "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
-        "o_orderpriority string"
+        "o_orderdate timestamp, o_orderpriority string"
     )
-    return read_csv(t.spark, path, ddl)
+    df = read_csv(t.spark, path, ddl)
+    return df.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query(
@@ -99,6 +121,7 @@ _PROFILED = [
     ("l_tax", "double"),
     ("l_returnflag", "string"),
     ("l_linestatus", "string"),
+    ("l_shipdate", "timestamp_ntz"),
 ]
 
 
@@ -112,8 +135,7 @@ _PROFILED = [
     ),
 )
 def profile(t: Tables):
-    lines = t.lineitem.drop("l_shipdate")
-    return pr.profile(lines.withColumn("l_returnflag", F.nullif("l_returnflag", F.lit("A"))))
+    return pr.profile(t.lineitem.withColumn("l_returnflag", F.nullif("l_returnflag", F.lit("A"))))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
 from pyspark.sql import Column, DataFrame
@@ -17,8 +17,9 @@ from panelforge.operators.joins import union_all
 
 def predict(model, df: DataFrame, name: str) -> DataFrame:
     """``df`` with the model's prediction in ``name`` and no other new column."""
-    scored = model.transform(df)
-    return scored.select(*df.columns, F.col("prediction").alias(name))
+    last = model.stages[-1] if isinstance(model, PipelineModel) else model
+    made = last.getPredictionCol() if last.hasParam("predictionCol") else "prediction"
+    return model.transform(df).select(*df.columns, F.col(made).alias(name))
 
 
 def mean_of(columns: Sequence[str]) -> Column:
@@ -46,7 +47,8 @@ class AveragingRegressor(Estimator, HasLabelCol, HasPredictionCol):
     def _fit(self, df: DataFrame) -> AveragingModel:
         with kept(df) as rows:
             tasks = [lambda m=m: m.fit(rows) for m in self.members]
-            return AveragingModel(side_by_side(df.sparkSession, tasks, self.threads))
+            model = AveragingModel(side_by_side(df.sparkSession, tasks, self.threads))
+        return self._copyValues(model)
 
 
 class AveragingModel(Model, HasPredictionCol):
@@ -114,7 +116,7 @@ class StackingRegressor(Estimator, HasLabelCol, HasPredictionCol):
             models = self.fit_folds(rows)
             with kept(self.out_of_fold(rows, models)) as unseen:
                 meta = self.meta(self.base_columns).fit(unseen)
-        return StackingModel(models, meta, self.base_columns)
+        return self._copyValues(StackingModel(models, meta, self.base_columns))
 
 
 class StackingModel(Model, HasPredictionCol):

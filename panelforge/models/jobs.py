@@ -26,7 +26,13 @@ def side_by_side(
 
 @contextmanager
 def kept(df: DataFrame):
-    """Keep a feature table at hand while several fits read it; lost parts are recomputed."""
+    """Keep a feature table at hand while several fits read it; lost parts are recomputed.
+
+    A table that is already kept is left to the block that keeps it.
+    """
+    if df.storageLevel != StorageLevel.NONE:
+        yield df
+        return
     held = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield held

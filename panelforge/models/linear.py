@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from panelforge.models.scaling import QuartileScaler
 
-# widest feature vector whose normal equations Spark solves on the driver
-_NORMAL_WIDTH = 4096
+# Fixed value: the widest feature vector for which Spark solves normal equations.
+NORMAL_WIDTH = 4096
 
 
 def label_spread(df: DataFrame, label: str, sample: bool = False) -> tuple[float, int]:
@@ -42,15 +42,24 @@ def vector_width(df: DataFrame, column: str) -> int:
     return first[0].size if first else 0
 
 
-def solver_settings(width: int) -> dict:
+def solver_settings(width: int, normal_width: int = NORMAL_WIDTH) -> dict:
     """One pass for the normal equations while they fit on the driver, else iterated passes.
 
     The iterations of the normal solver run on the small equations, not on the data, so a tight
-    tolerance costs nothing there.
+    tolerance costs nothing there. ``normal_width`` can only be lowered: beyond ``NORMAL_WIDTH``
+    Spark refuses.
     """
-    if width <= _NORMAL_WIDTH:
+    if width <= min(normal_width, NORMAL_WIDTH):
         return {"solver": "normal", "maxIter": 5000, "tol": 1e-12}
-    return {"solver": "l-bfgs", "maxIter": 200, "tol": 1e-8}
+    return {"solver": "l-bfgs", "maxIter": 2000, "tol": 1e-8}
+
+
+def converged(model):
+    """The fitted linear model; an error if its iterations ended before they converged."""
+    taken = model.summary.totalIterations if model.hasSummary else 0
+    if model.getSolver() == "l-bfgs" and taken >= model.getMaxIter():
+        raise RuntimeError(f"no convergence in {taken} iterations; scale the features or raise maxIter")
+    return model
 
 
 class PenalisedLinear(
@@ -89,7 +98,7 @@ class PenalisedLinear(
             spread, _ = label_spread(df, self.getLabelCol(), settings["solver"] == "l-bfgs")
         absolute, quadratic = alpha * rho, alpha * (1.0 - rho) * spread
         strength = absolute + quadratic
-        return LinearRegression(
+        model = LinearRegression(
             featuresCol=self.getFeaturesCol(),
             labelCol=self.getLabelCol(),
             predictionCol=self.getPredictionCol(),
@@ -98,6 +107,7 @@ class PenalisedLinear(
             standardization=False,
             **settings,
         ).fit(df)
+        return converged(model)
 
 
 def elastic_net(
@@ -186,7 +196,7 @@ class PolynomialRidge(
         weights = Vectors.dense(self.map_weights(len(names)))
         settings = solver_settings(weights.size)
         spread, rows = label_spread(df, self.getLabelCol(), settings["solver"] == "l-bfgs")
-        return Pipeline(
+        fitted = Pipeline(
             stages=[
                 VectorAssembler(inputCols=names, outputCol="_raw"),
                 PolynomialExpansion(
@@ -204,3 +214,5 @@ class PolynomialRidge(
                 ),
             ]
         ).fit(df)
+        converged(fitted.stages[-1])
+        return fitted

@@ -12,25 +12,22 @@ from panelforge.functions.scalars import boxcox1p
 from panelforge.operators.columns import numeric_columns, string_columns
 from panelforge.operators.profile import skewed_columns
 from panelforge.operators.quantiles import exact_quantiles
+from panelforge.operators.ranking import with_position
 
-# more categories than this would make a table wider than Spark can plan
-MAX_CATEGORIES = 5_000
-# values written as one CASE expression; longer code lists are joined
-_LONG_CHAIN = 64
-
-
-def vocabulary(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
+def vocabulary(
+    df: DataFrame, columns: Sequence[str], max_categories: int = 5_000
+) -> dict[str, list]:
     """Sorted distinct non-null values of each column, from one pass.
 
-    The list comes to the driver because it decides the columns of the result; more than
-    ``MAX_CATEGORIES`` values in all raise an error.
+    The list comes to the driver because it decides the columns of a result; more than
+    ``max_categories`` values in all raise an error, since every one becomes a column.
     """
     columns = list(columns)
     sets = df.select(*columns).groupingSets([[c] for c in columns], *columns)
-    seen = sets.agg(F.grouping_id().alias("_set")).limit(MAX_CATEGORIES + len(columns) + 1)
+    seen = sets.agg(F.grouping_id().alias("_set")).limit(max_categories + len(columns) + 1)
     rows = seen.collect()
-    if len(rows) > MAX_CATEGORIES + len(columns):
-        raise ValueError(f"more than {MAX_CATEGORIES} categories in {columns}")
+    if len(rows) > max_categories + len(columns):
+        raise ValueError(f"more than {max_categories} categories in {columns}")
     found: dict[str, list] = {c: [] for c in columns}
     for row in rows:
         for c in columns:
@@ -44,14 +41,16 @@ def one_hot(
     columns: Sequence[str] | None = None,
     words: Mapping[str, list] | None = None,
     keep: bool = False,
+    max_categories: int = 5_000,
 ) -> DataFrame:
     """A 0/1 column ``column_value`` per category; a null gives all zeros.
 
     By default every string column is encoded. Pass ``words`` to share one vocabulary between
-    tables; ``keep`` retains the raw columns.
+    tables; ``keep`` retains the raw columns. A table that would become wider than
+    ``max_categories`` more columns is an error.
     """
     columns = list(columns if columns is not None else string_columns(df))
-    words = words or vocabulary(df, columns)
+    words = words or vocabulary(df, columns, max_categories)
     marks = [
         F.coalesce((F.col(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}")
         for c in columns
@@ -64,22 +63,34 @@ def one_hot(
 def label_codes(
     df: DataFrame, columns: Sequence[str], words: Mapping[str, list] | None = None
 ) -> DataFrame:
-    """Replace each column by the 0-based place of its value in sorted order."""
-    words = words or vocabulary(df, columns)
-    coded, order = {}, df.columns
-    for c in columns:
-        if len(words[c]) > _LONG_CHAIN:
-            # bounded by MAX_CATEGORIES, so the broadcast is too
-            values = F.array(*[F.lit(v) for v in words[c]])
-            codes = df.sparkSession.range(1).select(F.posexplode(values).alias("_code", c))
-            df = df.join(F.broadcast(codes), on=c, how="left").drop(c)
-            df = df.withColumnRenamed("_code", c)
-            continue
-        chain = F.when(F.lit(False), F.lit(0))
-        for i, v in enumerate(words[c]):
-            chain = chain.when(F.col(c) == F.lit(v), F.lit(i))
-        coded[c] = chain
-    return df.withColumns(coded).select(*order) if coded else df.select(*order)
+    """Replace each column by the 0-based place of its value in sorted order.
+
+    The distinct values of all columns, from one pass, are numbered by one range sort and joined
+    back column by column; their number has no bound. A null stays null, and so does a value that
+    is not in ``words``.
+    """
+    columns = list(columns)
+    out = df
+    if not columns:
+        return out
+    if words is None:
+        sets = df.select(*columns).groupingSets([[c] for c in columns], *columns)
+        present = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(True)) for c in columns])
+        seen = sets.agg(F.grouping_id().alias("_set")).where(present)
+        seen = with_position(seen, [F.col("_set"), *[F.col(c) for c in columns]], "_place", "codes")
+        first = seen.groupBy("_set").agg(F.min("_place")).collect()  # one row per column
+        first = {r[0]: r[1] for r in first}
+    for i, c in enumerate(columns):
+        if words is None:
+            # a grouping set is named by the columns it leaves out, the first one highest
+            name = (1 << len(columns)) - 1 - (1 << (len(columns) - 1 - i))
+            codes = seen.where(F.col("_set") == name)
+            codes = codes.select(c, (F.col("_place") - F.lit(first.get(name, 0))).cast("int").alias("_code"))
+        else:
+            listed = F.array(*[F.lit(v) for v in words[c]])
+            codes = df.sparkSession.range(1).select(F.posexplode(listed).alias("_code", c))
+        out = out.join(codes, on=c, how="left").drop(c).withColumnRenamed("_code", c)
+    return out.select(*df.columns)
 
 
 def unskew(

@@ -8,13 +8,26 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.operators.aggregates import most_frequent
 from panelforge.operators.quantiles import exact_medians
 
 
+def filled_with(df: DataFrame, column: str, value: Any) -> Column:
+    """The column with its nulls filled; a text fill turns a column of another type into text."""
+    kept = F.col(column)
+    if isinstance(value, str) and not isinstance(df.schema[column].dataType, T.StringType):
+        kept = kept.cast("string")
+    return F.coalesce(kept, F.lit(value))
+
+
 def fill_constant(df: DataFrame, values: Mapping[str, Any]) -> DataFrame:
-    return df.fillna(dict(values))
+    """Fill nulls with one value per column; numeric fills keep the column's type."""
+    texts = {c: filled_with(df, c, v) for c, v in values.items() if isinstance(v, str)}
+    others = {c: v for c, v in values.items() if not isinstance(v, str)}
+    out = df.fillna(others) if others else df
+    return out.withColumns(texts) if texts else out
 
 
 def fill_rest(df: DataFrame, value: float = 0) -> DataFrame:
@@ -89,7 +102,7 @@ def apply_policy(df: DataFrame, policy: FillPolicy) -> DataFrame:
     modes = column_modes(df, policy.mode) if policy.mode else {}
     filled = {c: F.coalesce(F.col(c), m) for c, m in modes.items()}
     for c, value in policy.constant.items():
-        filled[c] = F.coalesce(F.col(c), F.lit(value))
+        filled[c] = filled_with(df, c, value)
     out = df
     for group in sorted(set(policy.group_median.values())):
         columns = [c for c, g in policy.group_median.items() if g == group]

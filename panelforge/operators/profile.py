@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import isnan
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -127,11 +126,8 @@ def _matrix(values: DataFrame, columns: Sequence[str]) -> DataFrame:
     ]
     table = values.sparkSession.createDataFrame(cells, "col_a string, col_b string, r double")
     # a constant column has none with any other, so its 1 with itself does not count either
-    constant = [
-        a
-        for i, a in enumerate(columns)
-        if all(isnan(matrix[i, j]) for j in range(len(columns)) if j != i)
-    ]
+    spread = values.agg(*[(F.max(c) > F.min(c)).alias(c) for c in columns]).first()
+    constant = [c for c in columns if not spread[c]]
     pointless = F.isnan("r") | F.col("col_a").isin(constant) | F.col("col_b").isin(constant)
     return table.withColumn("r", F.when(~pointless, F.col("r")))
 
@@ -237,7 +233,7 @@ def normal_quantiles(df: DataFrame, column: str, key: str) -> DataFrame:
         F.col("value").isNotNull()
     )
     placed = with_position(values, [F.col("value"), F.col(key)], "_i", label="quantiles")
-    n = float(placed.count())  # the sorted rows are already written: this reads only metadata
+    n = float(values.count())
     last = 0.5 ** (1.0 / n) if n else 0.5
     position = (
         F.when(F.col("_i") == n, F.lit(last))

@@ -51,8 +51,7 @@ def contiguous_folds(
 ) -> DataFrame:
     """Fold 0..k-1 by position: the first ``n mod k`` folds hold one row more."""
     placed = with_position(df, order, "_position", label="folds")
-    # the positions are already written, so this count reads only file footers
-    size, longer = divmod(placed.count(), k)
+    size, longer = divmod(placed.select(F.max("_position")).first()[0] or 0, k)
     at, edge = F.col("_position") - F.lit(1), longer * (size + 1)
     fold = F.when(at < edge, F.floor(at / F.lit(size + 1))).otherwise(
         F.lit(longer) + F.floor((at - F.lit(edge)) / F.lit(max(size, 1)))

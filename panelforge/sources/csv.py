@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BOM = "\ufeff"
+# The texts that the usual table readers take for a missing value.
+NULL_TOKENS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+# from narrow to wide; a column gets the first type that all its values have
+_TYPES = ("int", "bigint", "double", "timestamp")
 
 
 def _as_schema(schema: T.StructType | str | None) -> T.StructType | None:
@@ -22,13 +29,17 @@ def read_csv(
     path: str | list[str],
     schema: T.StructType | str | None = None,
     header: bool = True,
+    null_tokens: Sequence[str] | None = None,
     **options,
 ) -> DataFrame:
     """Scan CSV files.
 
-    Give a schema for large inputs: without one Spark reads the files twice to infer types.
-    A byte-order mark before the first header name is removed.
+    Give a schema for large inputs: without one the files are read twice to infer types. A
+    byte-order mark before the first header name is removed. ``null_tokens`` (``NULL_TOKENS``)
+    are read as null; types are inferred from the other values.
     """
+    if null_tokens is not None:
+        return _read_with_nulls(spark, path, schema, header, null_tokens, options)
     reader = spark.read.option("header", header)
     for name, value in options.items():
         reader = reader.option(name, value)
@@ -40,6 +51,34 @@ def read_csv(
     return df.withColumnRenamed(first, first.lstrip(BOM)) if first.startswith(BOM) else df
 
 
+def _read_with_nulls(spark, path, schema, header, tokens, options) -> DataFrame:
+    """Every field as text, its null tokens as null, then cast."""
+    schema = _as_schema(schema)
+    text = schema and T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    reader = spark.read.option("header", header)
+    for name, value in options.items():
+        reader = reader.option(name, value)
+    raw = (reader.schema(text) if text else reader).csv(path)
+    if not text:
+        raw = raw.toDF(*(c.lstrip(BOM) for c in raw.columns))
+    raw = raw.select(
+        *[F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c) for c in raw.columns]
+    )
+    if schema:
+        return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema])
+    misfits = raw.agg(
+        *[
+            F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull()).alias(f"{i}_{t}")
+            for i, c in enumerate(raw.columns)
+            for t in _TYPES
+        ]
+    ).first()
+    kinds = [next((t for t in _TYPES if not misfits[f"{i}_{t}"]), "string") for i in range(len(raw.columns))]
+    return raw.select(
+        *[F.col(f"`{c}`").try_cast(t).alias(c) for c, t in zip(raw.columns, kinds, strict=True)]
+    )
+
+
 def read_csv_named(
     spark: SparkSession,
     path: str | list[str],

@@ -21,7 +21,8 @@ from panelforge.models import (
 from panelforge.models import validation as va
 from panelforge.models.boosting import weighted_median
 from panelforge.models.ensemble import predict
-from panelforge.models.linear import solver_settings
+from panelforge.models.jobs import kept
+from panelforge.models.linear import converged, solver_settings
 from panelforge.operators.ranking import shuffled_folds
 
 
@@ -65,7 +66,7 @@ def test_penalised_linear_meets_coordinate_descent(table, sample, alpha, rho):
 
 
 def test_both_solvers_agree(table, sample, monkeypatch):
-    monkeypatch.setattr("panelforge.models.linear._NORMAL_WIDTH", 1)
+    monkeypatch.setattr("panelforge.models.linear.NORMAL_WIDTH", 1)
     assert solver_settings(3)["solver"] == "l-bfgs"
     model = sgd_linear(["a", "b", "c"], "y", "elasticnet", 0.4).fit(table)
     assert model.stages[-1].coefficients.toArray() == pytest.approx(
@@ -176,3 +177,38 @@ def test_elimination_drops_noise_first(spark, table):
     assert [s["n_features"] for s in steps] == [3, 2, 1]
     assert steps[0]["dropped"] == "noise"
     assert sum(s["selected"] for s in steps) == 1
+
+
+def test_a_kept_table_is_left_alone(spark):
+    df = spark.range(3)
+    with kept(df) as outer:
+        with kept(outer):
+            pass
+        assert outer.storageLevel.useMemory
+    assert not df.storageLevel.useMemory
+
+
+def test_ensembles_keep_their_prediction_column(spark, table):
+    members = [sgd_linear(["a", "b"], "y"), sgd_linear(["a", "c"], "y")]
+    averaged = AveragingRegressor(members)
+    averaged._set(predictionCol="mine")
+    model = averaged.fit(table)
+    assert "mine" in model.transform(table).columns
+    assert predict(model, table, "p").columns == [*table.columns, "p"]
+
+
+def test_unfinished_iterations_are_an_error():
+    class Summary:
+        totalIterations = 9
+
+    class Model:
+        hasSummary, summary = True, Summary()
+
+        def getSolver(self):
+            return "l-bfgs"
+
+        def getMaxIter(self):
+            return 9
+
+    with pytest.raises(RuntimeError, match="convergence"):
+        converged(Model())

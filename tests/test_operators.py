@@ -9,6 +9,7 @@ from panelforge.operators import aggregates as ag
 from panelforge.operators import columns as cols
 from panelforge.operators import encode, entity, filters, impute, joins, profile, ranking
 from panelforge.operators.quantiles import exact_medians, exact_quantiles
+from panelforge.sources import NULL_TOKENS, read_csv
 
 
 def day(n):
@@ -181,10 +182,45 @@ def test_encodings(spark, rows):
     assert coded.filter(F.col("c") != F.col("raw") - 1000).count() == 0
 
 
-def test_vocabulary_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(encode, "MAX_CATEGORIES", 10)
+def test_vocabulary_is_bounded(spark):
     with pytest.raises(ValueError, match="categories"):
-        encode.vocabulary(spark.range(50), ["id"])
+        encode.vocabulary(spark.range(50), ["id"], max_categories=10)
+
+
+def test_label_codes_have_no_bound(spark):
+    df = spark.range(7_000).select(
+        ((F.col("id") * 37) % 7_000 + 5).alias("a"), (F.col("id") % 3).cast("string").alias("b"), "id"
+    )
+    coded = encode.label_codes(df, ["b", "a"])
+    assert coded.columns == ["a", "b", "id"]
+    assert coded.filter("a <> (id * 37) % 7000 OR b <> id % 3").count() == 0
+    fixed = encode.label_codes(spark.createDataFrame([("y",), ("?",), ("x",)], "c string"), ["c"], {"c": ["x", "y"]})
+    assert sorted(r[0] for r in fixed.where("c IS NOT NULL").collect()) == [0, 1] and fixed.count() == 3
+
+
+@pytest.mark.parametrize("constants", [2, 11])
+def test_constant_columns_do_not_hide_the_others(spark, constants):
+    df = spark.range(20).select(F.col("id").cast("double").alias("a"), *[F.lit(1.0).alias(f"k{i}") for i in range(constants)])
+    got = {(r.col_a, r.col_b): r.r for r in profile.correlation_matrix(df).collect()}
+    assert got.pop(("a", "a")) == pytest.approx(1.0)
+    assert set(got.values()) == {None}
+
+
+def test_text_fills_turn_numbers_into_text(spark, rows):
+    df = spark.createDataFrame([(1, 20), (2, None)], "i int, n int")
+    assert rows(impute.fill_constant(df, {"n": "None"})) == [(1, "20"), (2, "None")]
+    policy = impute.FillPolicy(constant={"n": "None"})
+    assert rows(impute.apply_policy(df, policy)) == [(1, "20"), (2, "None")]
+    assert rows(impute.fill_constant(df, {"n": 0})) == [(1, 20), (2, 0)]
+
+
+def test_csv_null_tokens(spark, rows, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffid,frontage,alley,sub\n1,65,NA,20\n2,NA,Grvl,\n3,1.5,N/A,60\n", "utf-8")
+    df = read_csv(spark, str(tmp_path / "a.csv"), null_tokens=NULL_TOKENS)
+    assert dict(df.dtypes) == {"id": "int", "frontage": "double", "alley": "string", "sub": "int"}
+    assert rows(df) == [(1, 65.0, None, 20), (2, None, "Grvl", None), (3, 1.5, None, 60)]
+    typed = read_csv(spark, str(tmp_path / "a.csv"), "id int, frontage double, alley string, sub int", null_tokens=["NA", ""])
+    assert rows(typed)[1] == (2, None, "Grvl", None)
 
 
 def test_unskew_changes_only_skewed_columns(spark, rows):
