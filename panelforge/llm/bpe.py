@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import chunks, map_arrow, pick
+from panelforge.llm.common import map_arrow, pick, text_parts
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 NO_PAIR = np.iinfo(np.int32).max
@@ -263,9 +263,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batch: pa.RecordBatch):
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for first, end in chunks(texts, TOGETHER):
-            ids, counts = codec(path, pattern).encode(texts[first:end])
+        for first, end, texts in text_parts(batch.column(1), TOGETHER):
+            ids, counts = codec(path, pattern).encode(texts)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
             yield pa.record_batch([batch.column(0).slice(first, end - first), lists], names=["doc_id", "ids"])

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,20 @@ def map_arrow(
     return df.mapInArrow(run, schema)
 
 
+def text_parts(column: pa.Array, limit: int) -> Iterator[tuple[int, int, list[str]]]:
+    """``(first, end, texts)`` of consecutive rows with ``limit`` bytes, or one row, at a time.
+
+    Null texts come as empty ones; only the texts of one part are held as Python strings.
+    """
+    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        before = ends[first] - sizes[first]
+        end = max(first + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield first, end, [t or "" for t in column.slice(first, end - first).to_pylist()]
+        first = end
+
+
 def chunks(texts: list, limit: int) -> Iterator[tuple[int, int]]:
     """``(first, end)`` of consecutive texts, ``limit`` characters or one text at a time."""
     first, held = 0, 0

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import pick, power_of_two
+from panelforge.llm.common import pick, power_of_two, text_parts
 from panelforge.session import pin
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -25,6 +25,8 @@ ENTRY = np.dtype(
     [(f"w{i}", "<u8") for i in range(6)]
     + [("chars", "<i8"), ("no_id", "<i8"), ("id", "<i8"), ("row", "<i8"), ("size", "<i8")]
 )
+#: Bytes of texts held as Python strings at a time.
+TOGETHER = 1 << 20
 RUN_SCHEMA = "slot int, run binary"
 WIN_SCHEMA = "digest binary, keep_id long, keep_row long, group_size long"
 
@@ -40,8 +42,7 @@ def digests(docs: DataFrame) -> DataFrame:
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
             found, chars = [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
+            for text in (t for part in text_parts(batch.column(1), TOGETHER) for t in part[2]):
                 raw = text.encode("utf-8", "surrogatepass").translate(None, BLANKS)
                 found.append(
                     hashlib.sha256(raw).digest() + hashlib.blake2b(raw, digest_size=16).digest()

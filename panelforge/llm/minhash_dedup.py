@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import chunks, map_arrow, pick
+from panelforge.llm.common import map_arrow, pick, text_parts
 from panelforge.llm.components import connected_components
 from panelforge.session import pin
 
@@ -106,9 +106,8 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     def run(batch: pa.RecordBatch):
-        texts = batch.column(1).to_pylist()
-        for first, end in chunks([t or "" for t in texts], TOGETHER):
-            sets = shingle_sets(texts[first:end], size)
+        for first, end, texts in text_parts(batch.column(1), TOGETHER):
+            sets = shingle_sets(texts, size)
             full = [k for k, s in enumerate(sets) if len(s)]
             bits, bands, names = ([None] * len(sets) for _ in range(3))
             if full:
@@ -133,10 +132,10 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 def components_of(near: np.ndarray) -> np.ndarray:
     """The smallest index that each index reaches in a symmetric boolean matrix."""
     n = len(near)
-    label = np.arange(n)
+    label = np.arange(n, dtype=np.int32)
     near = near | np.eye(n, dtype=bool)
     while True:
-        new = np.where(near, label[None, :], n).min(axis=1)
+        new = np.where(near, label[None, :], np.int32(n)).min(axis=1)
         new = new[new]
         if (new == label).all():
             return label
@@ -151,14 +150,14 @@ def bits_apart(bits: np.ndarray, others: np.ndarray) -> np.ndarray:
     return apart
 
 
-def block_components(bits: np.ndarray, most_apart: float, block: int = 2048) -> np.ndarray:
+def block_components(bits: np.ndarray, most_apart: float, block: int = 256) -> np.ndarray:
     """``components_of`` for many signatures, a block of rows at a time."""
-    label = np.arange(len(bits))
+    label = np.arange(len(bits), dtype=np.int32)
     while True:
         new = label.copy()
         for lo in range(0, len(bits), block):
             near = bits_apart(bits[lo : lo + block], bits) <= most_apart
-            new[lo : lo + block] = np.where(near, new[None, :], len(bits)).min(axis=1)
+            new[lo : lo + block] = np.where(near, new[None, :], np.int32(len(bits))).min(axis=1)
         new = new[new]
         if (new == label).all():
             return label
@@ -177,10 +176,10 @@ def bucket_stars(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, most_apart
     members, roots = [], []
     for size in np.unique(sizes[sizes > 1]):
         starts = first[sizes == size]
-        step = max(1, (1 << 20) // int(size * size))
+        step = max(1, (1 << 18) // int(size * size))
         for k in range(0, len(starts), step):
             places = starts[k : k + step, None] + np.arange(size)[None, :]
-            if size > 2048:
+            if size > 512:
                 labels = block_components(bits[places[0]], most_apart)[None, :]
             elif size == 2:
                 near = bits_apart(bits[places[:, :1]], bits[places[:, 1:]])[:, 0, 0] <= most_apart
@@ -211,7 +210,7 @@ def similar_matrix(sets: list[np.ndarray], percent: int) -> np.ndarray:
     owner, column = owner[shared], column[shared]
     _, column = np.unique(column, return_inverse=True)
     common = np.zeros((n, n), np.float32)
-    width = 8192
+    width = 2048
     cuts = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + width, width))
     for k, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if lo == hi:
@@ -219,8 +218,11 @@ def similar_matrix(sets: list[np.ndarray], percent: int) -> np.ndarray:
         part = np.zeros((n, width), np.float32)
         part[owner[lo:hi], column[lo:hi] - k * width] = 1
         common += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - common
-    near = 100 * common.astype(np.float64) >= percent * union
+    near = np.empty((n, n), bool)
+    for lo in range(0, n, 256):
+        rows = common[lo : lo + 256].astype(np.float64)
+        union = sizes[lo : lo + 256, None] + sizes[None, :] - rows
+        near[lo : lo + 256] = 100 * rows >= percent * union
     np.fill_diagonal(near, False)
     return near
 
@@ -322,9 +324,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     clusters = pin(clusters.withColumnRenamed("component", "cluster"), "clusters")
 
     def full_sets(batch: pa.RecordBatch):
-        texts = batch.column(2).to_pylist()
-        for first, end in chunks([t or "" for t in texts], TOGETHER):
-            raw = [s.tobytes() for s in shingle_sets(texts[first:end], size)]
+        for first, end, texts in text_parts(batch.column(2), TOGETHER):
+            raw = [s.tobytes() for s in shingle_sets(texts, size)]
             ahead = [batch.column(i).slice(first, end - first) for i in (0, 1)]
             yield pa.record_batch([*ahead, pa.array(raw, pa.binary())], names=["id", "cluster", "content"])
 

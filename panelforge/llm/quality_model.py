@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import map_arrow, pick
-from panelforge.llm.exact_dedup import BLANKS
+from panelforge.llm.common import map_arrow, pick, text_parts
+from panelforge.llm.exact_dedup import BLANKS, TOGETHER
 from panelforge.session import pin
 
 CAPITALS = bytes(range(65, 91))
@@ -62,7 +62,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     """``doc_id`` and one double per name in ``FEATURES``; a null text counts as empty."""
 
     def run(batch: pa.RecordBatch):
-        rows = np.array([text_statistics(t) for t in batch.column(1).to_pylist()], np.float64)
+        parts = text_parts(batch.column(1), TOGETHER)
+        rows = np.array([text_statistics(t) for part in parts for t in part[2]], np.float64)
         rows = rows.reshape(-1, len(FEATURES))
         columns = [batch.column(0), *(pa.array(rows[:, i]) for i in range(len(FEATURES)))]
         yield pa.record_batch(columns, names=["doc_id", *FEATURES])

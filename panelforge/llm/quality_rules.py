@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.llm.common import chunks, map_arrow, pick
+from panelforge.llm.common import map_arrow, pick, text_parts
 from panelforge.llm.exact_dedup import BLANKS
 from panelforge.llm.suffixes import covered, repeats
 
@@ -105,9 +105,8 @@ def text_stats(texts: list[str | None], rules: RepetitionRules) -> dict[str, np.
 def _judge(batch: pa.RecordBatch, rules: RepetitionRules):
     """The batch without its last column, the text, with the statistics of the text behind."""
     column = batch.num_columns - 1
-    texts = batch.column(column).to_pylist()
-    for first, end in chunks([t or "" for t in texts], TOGETHER):
-        stats = text_stats(texts[first:end], rules)
+    for first, end, texts in text_parts(batch.column(column), TOGETHER):
+        stats = text_stats(texts, rules)
         ahead = [batch.column(i).slice(first, end - first) for i in range(column)]
         columns = ahead + [pa.array(stats[name], kind) for name, kind in STATS.items()]
         yield pa.record_batch(columns, names=[f"c{i}" for i in range(len(columns))])
@@ -133,9 +132,8 @@ def keep_good(docs: DataFrame, rules: RepetitionRules | None = None) -> DataFram
     schema = T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)])
 
     def run(batch: pa.RecordBatch):
-        texts = batch.column(place).to_pylist()
-        for first, end in chunks([t or "" for t in texts], TOGETHER):
-            stats = text_stats(texts[first:end], rules)
+        for first, end, texts in text_parts(batch.column(place), TOGETHER):
+            stats = text_stats(texts, rules)
             yield batch.slice(first, end - first).filter(pa.array(stats["kept"]))
 
     return map_arrow(plain, run, schema).toDF(*docs.columns)
