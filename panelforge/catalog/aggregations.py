@@ -82,7 +82,7 @@ def total_per_key(t: Tables):
     + "SELECT person, count(DISTINCT venue) AS hospital_kinds FROM visits GROUP BY person",
 )
 def distinct_count_per_key(t: Tables):
-    return visits(t).groupBy("person").agg(F.count_distinct("venue").alias("hospital_kinds"))
+    return visits(t, text=False).groupBy("person").agg(F.count_distinct("venue").alias("hospital_kinds"))
 
 
 @query(
@@ -210,7 +210,7 @@ _WIDE = ("drug", "claimed", "paid", "exam")
     + " FROM visits GROUP BY person",
 )
 def wide_statistics(t: Tables):
-    stats = ag.statistics(visits(t), ["person"], _WIDE)
+    stats = ag.statistics(visits(t, text=False), ["person"], _WIDE)
     stats = rounded(stats, 6, *[f"{c}_mean" for c in _WIDE])
     stats = rounded(stats, 4, *[f"{c}_std" for c in _WIDE])
     return stats.withColumns({f"{c}_sum": F.col(f"{c}_sum").cast("double") for c in _WIDE})
@@ -438,7 +438,7 @@ def value_counts(t: Tables):
     "ELSE 0 END AS ratio FROM s",
 )
 def safe_ratio(t: Tables):
-    sums = visits(t).groupBy("visit").agg(
+    sums = visits(t, text=False).groupBy("visit").agg(
         *[F.sum(c).cast("double").alias(c) for c in ("claimed", "paid")]
     )
     return sums.select("visit", F.round(ra.safe_ratio("claimed", "paid"), 6).alias("ratio"))
@@ -454,7 +454,7 @@ def safe_ratio(t: Tables):
     "FROM s",
 )
 def share_of_total(t: Tables):
-    sums = visits(t).groupBy("person").agg(
+    sums = visits(t, text=False).groupBy("person").agg(
         *[F.sum(c).cast("double").alias(c) for c in ("drug", "claimed", "exam")]
     )
     total = ra.null_as_zero_sum("drug", "exam")
@@ -474,7 +474,7 @@ def share_of_total(t: Tables):
     "round((account + other) / (fund + account + other), 6) AS off_fund FROM s",
 )
 def off_fund_share(t: Tables):
-    means = visits(t).groupBy("person").agg(
+    means = visits(t, text=False).groupBy("person").agg(
         F.avg(F.col("drug").cast("double")).alias("fund"),
         F.avg(F.col("claimed").cast("double")).alias("account"),
         F.avg(F.col("paid").cast("double")).alias("other"),

@@ -51,7 +51,7 @@ def _rounded_stats(df, columns, stats, pattern):
     ),
 )
 def daily_statistics(t: Tables):
-    stats = ent.bucket_statistics(visits(t), "person", "day", _MEASURES)
+    stats = ent.bucket_statistics(visits(t, text=False), "person", "day", _MEASURES)
     return _rounded_stats(stats, _MEASURES, _STATS, "{column}_{stat}_byday")
 
 
@@ -80,7 +80,7 @@ def active_days(t: Tables):
 def monthly_statistics(t: Tables):
     pattern = "{column}_{stat}_bymonth"
     stats = ent.bucket_statistics(
-        visits(t), "person", "month", _MEASURES, pattern=pattern, cells_name="month_records_num"
+        visits(t, text=False), "person", "month", _MEASURES, pattern=pattern, cells_name="month_records_num"
     )
     return _rounded_stats(stats, _MEASURES, _STATS, pattern)
 

@@ -22,6 +22,7 @@ from panelforge.operators import profile as pr
 from panelforge.operators import ranking as rk
 from panelforge.operators.aggregates import totals, value_counts
 from panelforge.operators.filters import split_where
+from panelforge.session import pin
 from panelforge.sources import Tables
 
 # ----------------------------------------------------------------------------------- joins
@@ -335,7 +336,7 @@ def rank_classes(t: Tables):
 )
 def group_transform(t: Tables):
     means = t.customer.groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 4).alias("nation_mean"))
-    joined = joins.attach(t.customer, means, "c_nationkey")
+    joined = joins.attach_groups(t.customer, means, "c_nationkey")
     return joined.select("c_custkey", "c_acctbal", "nation_mean")
 
 
@@ -446,7 +447,7 @@ def positions(t: Tables):
     "ON person = c_custkey WHERE c_acctbal < 0 GROUP BY venue",
 )
 def venue_risk(t: Tables):
-    return ent.venue_risk(visits(t), debtors(t), "person", "venue", "label")
+    return ent.venue_risk(visits(t, text=False), debtors(t), "person", "venue", "label")
 
 
 def debtors(t: Tables):
@@ -471,6 +472,7 @@ def entity_risk(t: Tables):
     labels = t.customer.select(
         F.col("c_custkey").alias("person"), (F.col("c_acctbal") < -500).cast("int").alias("label")
     )
-    records = visits(t)
-    risk = ent.venue_risk(records, labels, "person", "venue", "label")
-    return ent.entity_risk(records, risk, "person", "venue")
+    cells = visits(t, text=False).groupBy("person", "venue").agg(F.count(F.lit(1)).alias("n"))
+    cells = pin(cells, "person-venues")
+    risk = ent.venue_risk(cells, labels, "person", "venue", "label")
+    return ent.entity_risk(cells, risk, "person", "venue", count="n")

@@ -9,6 +9,7 @@ from panelforge.functions import recode
 from panelforge.functions import scalars as sc
 from panelforge.operators.aggregates import rmse
 from panelforge.operators.filters import holds
+from panelforge.operators.joins import attach_groups
 from panelforge.sources import Tables
 
 _PERIOD = "(year(o_orderdate) * 100 + month(o_orderdate))"
@@ -236,6 +237,6 @@ def boolean_logic(t: Tables):
 )
 def root_mean_squared_error(t: Tables):
     means = t.orders.groupBy("o_orderstatus").agg(F.avg("o_totalprice").alias("m"))
-    scored = t.orders.join(means, on="o_orderstatus")
+    scored = attach_groups(t.orders, means, "o_orderstatus")
     result = rmse(scored, "o_totalprice", "m", keys=["o_orderpriority"])
     return result.withColumn("rmse", F.round("rmse", 4))

@@ -99,10 +99,11 @@ fee AS (
 """
 
 
-def visits(t: Tables) -> DataFrame:
+def visits(t: Tables, text: bool = True) -> DataFrame:
     """One row per billed line of a visit: person, day, venue, text and amounts.
 
-    The text is null where the line has the return flag ``N``; amounts are whole cents.
+    The text is null where the line has the return flag ``N``; amounts are whole cents. Without
+    ``text`` the parts are not joined (each line has its part).
     """
 
     def hundredths(c: str):
@@ -111,7 +112,13 @@ def visits(t: Tables) -> DataFrame:
     lines = t.lineitem.join(
         t.orders.select("o_orderkey", "o_custkey", "o_orderdate"),
         F.col("l_orderkey") == F.col("o_orderkey"),
-    ).join(t.part.select("p_partkey", "p_name", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    )
+    note = []
+    if text:
+        parts = t.part.select("p_partkey", "p_name", "p_type")
+        lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        words = F.concat_ws(", ", "p_name", F.lower("p_type"))
+        note = [F.when(F.col("l_returnflag") != "N", words).alias("text")]
     price = hundredths("l_extendedprice")
 
     def part_of_price(rate: str):
@@ -123,9 +130,7 @@ def visits(t: Tables) -> DataFrame:
         F.to_date("o_orderdate").alias("day"),
         F.month("o_orderdate").alias("month"),
         F.col("l_suppkey").alias("venue"),
-        F.when(
-            F.col("l_returnflag") != "N", F.concat_ws(", ", "p_name", F.lower("p_type"))
-        ).alias("text"),
+        *note,
         price.alias("drug"),
         part_of_price("l_discount").alias("claimed"),
         part_of_price("l_tax").alias("paid"),

@@ -193,9 +193,14 @@ def entity_risk(
     venue: str,
     prefix: str = "venue_risk",
     weight: str = "weight",
+    count: str | None = None,
 ) -> DataFrame:
-    """Per entity: risky venues, records at risky venues, weight summed over its venues."""
-    visited = records.groupBy(entity, venue).agg(F.count(F.lit(1)).alias("_n"))
+    """Per entity: risky venues, records at risky venues, weight summed over its venues.
+
+    ``count`` names the number of records a row stands for, if the records are grouped already.
+    """
+    held = F.count(F.lit(1)) if count is None else F.sum(count)
+    visited = records.groupBy(entity, venue).agg(held.alias("_n"))
     rated = visited.join(risk.select(venue, weight), on=venue, how="left")
     risky = F.col(weight).isNotNull()
     return rated.groupBy(entity).agg(

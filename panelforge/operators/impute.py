@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.operators.aggregates import most_frequent
+from panelforge.operators.joins import attach_groups
 from panelforge.operators.quantiles import exact_medians
 
 
@@ -67,7 +68,7 @@ def fill_group_median(df: DataFrame, group: str, columns: Sequence[str]) -> Data
     """
     names = {c: f"_median_{c}" for c in columns}
     medians = exact_medians(df, [group], columns).withColumnsRenamed(names)
-    joined = df.join(medians, on=group, how="left")
+    joined = attach_groups(df, medians, group)
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(m)) for c, m in names.items()}
     return joined.withColumns(filled).select(*df.columns)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import period_month, year_offset
+from panelforge.session import pin
 
 
 def inner(left: DataFrame, right: DataFrame, on: str | Sequence[str]) -> DataFrame:
@@ -62,6 +63,16 @@ def attach(df: DataFrame, extra: DataFrame, on: str | Sequence[str]) -> DataFram
     return df.join(extra, on=on, how="left")
 
 
+def attach_groups(df: DataFrame, groups: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Left join of a table with one row per group.
+
+    The groups are written first: their measured size, not a guess from their input, decides
+    whether they are broadcast. Where they are, the rows of ``df`` are not shuffled; beyond the
+    session's limit adaptive execution splits the hot groups of the join.
+    """
+    return df.join(pin(groups, "groups"), on=on, how="left")
+
+
 def member_flag(df: DataFrame, keys: DataFrame, on: str, name: str) -> DataFrame:
     """1 where the key occurs in ``keys``, else 0; rows are neither lost nor repeated."""
     known = keys.select(on).distinct().withColumn(name, F.lit(1))

@@ -1,20 +1,26 @@
 """Exact interpolated quantiles of raw columns, safe for groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task. Here a mergeable sketch
-first brackets each wanted quantile; then one counting pass finds how many rows lie below the
-bracket, and only the distinct values inside it (a tiny share of the rows) are ordered.
+``percentile`` keeps every distinct value of a group in one task. Here a mergeable sketch first
+brackets each wanted quantile, and one pass of plain conditional aggregates counts the rows below and
+inside the bracket. A bracket that missed its quantile is moved and one with many rows is narrowed,
+until every bracket holds at most ``most_inside`` rows; only those rows are ordered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.session import pin
+
 ACCURACY = 10_000
 _MARGIN = 3.0 / ACCURACY
-_SALTS = 8
+# points of the grid that narrows a bracket
+_GRID = 500
+# columns per pass: more would outgrow what the JVM compiles
+_TOGETHER = 12
 
 
 def exact_quantiles(
@@ -22,103 +28,221 @@ def exact_quantiles(
     keys: Sequence[str],
     columns: Sequence[str],
     probabilities: Sequence[float],
+    most_inside: int = 100_000,
 ) -> DataFrame:
     """One row per key; per column an array of its quantiles (null for an all-null group).
 
     Quantiles interpolate linearly between the two nearest values. Without keys the result is
-    one row.
+    one row. No task orders more than ``most_inside`` rows of one group, column and quantile.
     """
     keys, columns = list(keys), list(columns)
-    edges = [e for p in probabilities for e in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))]
     values = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    parts = [
+        _few_columns(values.select(*keys, *part), keys, part, list(probabilities), most_inside)
+        for part in (columns[i : i + _TOGETHER] for i in range(0, len(columns), _TOGETHER))
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        if keys:
+            marks = {k: f"_right_{i}" for i, k in enumerate(keys)}
+            same = F.lit(True)
+            for k, mark in marks.items():
+                same = same & F.col(k).eqNullSafe(F.col(mark))
+            out = out.join(part.withColumnsRenamed(marks), same).drop(*marks.values())
+        else:
+            out = out.join(part.withColumn("_one", F.lit(1)), F.col("_one") == 1).drop("_one")
+    return out
+
+
+def _few_columns(values, keys, columns, probabilities, most_inside) -> DataFrame:
+    cells = [(i, j) for i in range(len(columns)) for j in range(len(probabilities))]
+    edges = [e for p in probabilities for e in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))]
     sketch = values.groupBy(*keys).agg(
-        *[
-            F.percentile_approx(c, [float(e) for e in edges], ACCURACY).alias(f"_b_{c}")
-            for c in columns
-        ]
-    )
-    if keys:
-        # Salted: a group with a third of all rows is spread over several join partitions, and
-        # the counting below starts with a map-side combine instead of reusing the join's layout.
-        # Any salt a row draws finds its bracket, so a retried task changes nothing.
-        salted = values.withColumn("_salt", F.monotonically_increasing_id() % F.lit(_SALTS))
-        salts = F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(_SALTS)]))
-        bounded = salted.join(sketch.withColumn("_salt", salts), on=[*keys, "_salt"])
-        bracket = {c: F.col(f"_b_{c}") for c in columns}
-    else:
-        # the brackets of a whole table are one short row: they become literals
-        bounded, row = values, sketch.first()
-        bracket = {
-            c: [F.lit(b).cast("double") for b in row[f"_b_{c}"] or [None] * len(edges)]
-            for c in columns
-        }
-
-    entries = []
-    for i, c in enumerate(columns):
-        for j in range(len(probabilities)):
-            v, low, high = F.col(c), bracket[c][2 * j], bracket[c][2 * j + 1]
-            side = F.when(v < low, F.lit(-1)).when(v > high, F.lit(1)).otherwise(F.lit(0))
-            entries.append(
-                F.when(
-                    v.isNotNull(),
-                    F.struct(
-                        F.lit(i).alias("_c"),
-                        F.lit(j).alias("_q"),
-                        side.alias("_side"),
-                        F.when(side == 0, v).alias("_at"),
-                        v.alias("_v"),
-                    ),
-                )
-            )
-    long = bounded.select(*keys, F.explode(F.array(*entries)).alias("_e")).filter(
-        F.col("_e").isNotNull()
-    )
-    counted = (
-        long.select(*keys, "_e.*")
-        .groupBy(*keys, "_c", "_q", "_side", "_at")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        *[F.percentile_approx(c, [float(e) for e in edges], ACCURACY).alias(f"_{i}") for i, c in enumerate(columns)]
     )
-    group = Window.partitionBy(*keys, "_c", "_q")
-    running = group.orderBy("_side", "_at").rowsBetween(Window.unboundedPreceding, 0)
-    spans = counted.select(
-        *keys, "_c", "_q", "_side", "_lo", "_hi", "_n", F.sum("_n").over(running).alias("_end")
+    brackets = sketch.select(
+        *keys,
+        *[F.col(f"_{i}")[2 * j].alias(f"_l_{i}_{j}") for i, j in cells],
+        *[F.col(f"_{i}")[2 * j + 1].alias(f"_h_{i}_{j}") for i, j in cells],
     )
-    spans = spans.withColumn("_size", F.max("_end").over(group))
-    wanted = F.element_at(F.array(*[F.lit(float(p)) for p in probabilities]), F.col("_q") + 1)
-    rank = (F.col("_size") - 1) * wanted
-    start, end = F.col("_end") - F.col("_n"), F.col("_end")
-
-    def value_at(k):
-        inside = (F.col("_side") == 0) & (start <= k) & (k < end)
-        last_below = (F.col("_side") == -1) & (k == end - 1)
-        first_above = (F.col("_side") == 1) & (k == start)
-        return F.max(
-            F.when(inside | first_above, F.col("_lo")).when(last_below, F.col("_hi"))
-        )
+    state = _Brackets(values, keys, columns, probabilities, brackets)
+    while True:
+        missed, widest = state.check(most_inside)
+        if missed:
+            state.move()
+        elif widest > most_inside and not state.stuck(widest):
+            state.narrow(most_inside)
+        else:
+            return state.result()
 
-    found = spans.groupBy(*keys, "_c", "_q").agg(
-        F.max(rank).alias("_rank"),
-        value_at(F.floor(rank)).alias("_a"),
-        value_at(F.ceil(rank)).alias("_z"),
-    )
-    a, z = F.col("_a"), F.col("_z")
-    exact = a + (z - a) * (F.col("_rank") - F.floor(F.col("_rank")))
-    checked = F.when(a.isNotNull() & z.isNotNull(), exact).otherwise(
-        F.raise_error(F.lit("quantile outside its bracket")).cast("double")
-    )
-    result = found.select(*keys, "_c", "_q", checked.alias("_value"))
-    per_key = result.groupBy(*keys).agg(
-        *[
-            F.array(
-                *[
-                    F.max(F.when((F.col("_c") == i) & (F.col("_q") == j), F.col("_value")))
-                    for j in range(len(probabilities))
-                ]
-            ).alias(c)
-            for i, c in enumerate(columns)
+
+class _Brackets:
+    """One row per key: the bracket of every column and quantile, and how many rows lie where.
+
+    The row's fields are ``_n_i`` (rows with a value), ``_l, _h`` (bracket), ``_b`` (rows below), ``_m``
+    (rows inside), ``_t`` (largest below), ``_u`` (smallest above), each with column and quantile.
+    """
+
+    def __init__(self, values, keys, columns, probabilities, brackets):
+        self.values, self.keys, self.columns, self.probabilities = values, keys, columns, probabilities
+        self.cells = [(i, j) for i in range(len(columns)) for j in range(len(probabilities))]
+        self.last = None
+        self.count(brackets)
+
+    def with_rows(self, table: DataFrame) -> DataFrame:
+        """The raw rows beside their key's row of a small table.
+
+        The table is written, so that its size decides whether the join broadcasts it; the rows are
+        then not shuffled.
+        """
+        if not self.keys:
+            row = table.first()
+            return self.values.withColumns({c: F.lit(row[c]).cast(table.schema[c].dataType) for c in table.columns})
+        marks = {k: f"_key_{i}" for i, k in enumerate(self.keys)}
+        same = F.lit(True)
+        for k, mark in marks.items():
+            same = same & F.col(k).eqNullSafe(F.col(mark))
+        return self.values.join(table.withColumnsRenamed(marks), same).drop(*marks.values())
+
+    def count(self, brackets: DataFrame) -> None:
+        if self.keys:
+            brackets = pin(brackets, "brackets")
+        rows, found = self.with_rows(brackets), []
+        for i, c in enumerate(self.columns):
+            found.append(F.count(c).alias(f"_n_{i}"))
+        for i, j in self.cells:
+            v, low, high = F.col(self.columns[i]), F.col(f"_l_{i}_{j}"), F.col(f"_h_{i}_{j}")
+            found += [
+                F.first(low).alias(f"_l_{i}_{j}"),
+                F.first(high).alias(f"_h_{i}_{j}"),
+                F.count_if(v < low).alias(f"_b_{i}_{j}"),
+                F.count_if((v >= low) & (v <= high)).alias(f"_m_{i}_{j}"),
+                F.max(F.when(v < low, v)).alias(f"_t_{i}_{j}"),
+                F.min(F.when(v > high, v)).alias(f"_u_{i}_{j}"),
+            ]
+        counted = rows.groupBy(*self.keys).agg(*found)
+        if self.keys:
+            self.table = pin(counted, "bracket-counts")
+        else:
+            # one row: its fields become literals
+            row = counted.first()
+            fields = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in counted.schema]
+            self.table = counted.sparkSession.range(1).select(*fields)
+
+    def rank(self, i: int, j: int) -> Column:
+        return (F.col(f"_n_{i}") - 1) * F.lit(float(self.probabilities[j]))
+
+    def misses(self, i: int, j: int) -> tuple[Column, Column]:
+        """Whether a wanted value lies below the bracket's neighbour on either side."""
+        low, high = F.floor(self.rank(i, j)), F.ceil(self.rank(i, j))
+        some = F.col(f"_n_{i}") > 0
+        below = F.col(f"_b_{i}_{j}")
+        return some & (low < below - 1), some & (high > below + F.col(f"_m_{i}_{j}"))
+
+    def check(self, most_inside: int) -> tuple[bool, int]:
+        sides = [s for i, j in self.cells for s in self.misses(i, j)]
+        any_miss = sides[0]
+        for s in sides[1:]:
+            any_miss = any_miss | s
+        inside = [F.col(f"_m_{i}_{j}") for i, j in self.cells]
+        widest = F.greatest(*inside) if len(inside) > 1 else inside[0]
+        row = self.table.agg(F.max(any_miss.cast("int")), F.max(widest)).first()
+        return bool(row[0]), int(row[1] or 0)
+
+    def stuck(self, widest: int) -> bool:
+        """Whether narrowing has stopped to help: the brackets hold one value many times."""
+        same, self.last = self.last == widest, widest
+        return same
+
+    def move(self) -> None:
+        """Brackets that missed take everything on the side where their value lies."""
+        new = {}
+        for i, j in self.cells:
+            left, right = self.misses(i, j)
+            low, high = F.col(f"_l_{i}_{j}"), F.col(f"_h_{i}_{j}")
+            infinity = F.lit(float("inf"))
+            new[f"_l_{i}_{j}"] = F.when(left, -infinity).when(right, high).otherwise(low)
+            new[f"_h_{i}_{j}"] = F.when(left, low).when(right, infinity).otherwise(high)
+        self.count(self.table.select(*self.keys, *[c.alias(n) for n, c in new.items()]))
+
+    def narrow(self, most_inside: int) -> None:
+        """Brackets with many rows shrink to a few steps of a grid over the rows inside."""
+        names = [f"_{x}_{i}_{j}" for i, j in self.cells for x in "lhbm"] + [f"_n_{i}" for i in range(len(self.columns))]
+        state = self.table.select(*self.keys, *names)
+        rows = self.with_rows(state)
+        steps = [k / _GRID for k in range(_GRID + 1)]
+        grids = []
+        for i, j in self.cells:
+            v = F.col(self.columns[i])
+            held = (v >= F.col(f"_l_{i}_{j}")) & (v <= F.col(f"_h_{i}_{j}")) & (F.col(f"_m_{i}_{j}") > most_inside)
+            grids.append(F.percentile_approx(F.when(held, v), steps, ACCURACY).alias(f"_g_{i}_{j}"))
+        found = rows.groupBy(*self.keys).agg(*grids, *[F.first(n).alias(n) for n in names])
+        new = []
+        for i, j in self.cells:
+            grid, inside = F.col(f"_g_{i}_{j}"), F.col(f"_m_{i}_{j}")
+            at = (self.rank(i, j) - F.col(f"_b_{i}_{j}")) / F.greatest(inside, F.lit(1)) * _GRID
+            low = F.get(grid, F.greatest(F.floor(at) - 2, F.lit(0)).cast("int"))
+            high = F.get(grid, F.least(F.ceil(at) + 2, F.lit(_GRID)).cast("int"))
+            new.append(F.coalesce(low, F.col(f"_l_{i}_{j}")).alias(f"_l_{i}_{j}"))
+            new.append(F.coalesce(high, F.col(f"_h_{i}_{j}")).alias(f"_h_{i}_{j}"))
+        self.count(found.select(*self.keys, *new))
+
+    def result(self) -> DataFrame:
+        names = [f"_{x}_{i}_{j}" for i, j in self.cells for x in "lhb"] + [f"_n_{i}" for i in range(len(self.columns))]
+        rows = self.with_rows(self.table.select(*self.keys, *names))
+        entries = []
+        for i, j in self.cells:
+            v = F.col(self.columns[i])
+            inside = (v >= F.col(f"_l_{i}_{j}")) & (v <= F.col(f"_h_{i}_{j}"))
+            entry = F.struct(
+                F.lit(i).alias("_c"), F.lit(j).alias("_q"), v.alias("_v"),
+                F.col(f"_b_{i}_{j}").alias("_below"), self.rank(i, j).alias("_rank"),
+            )
+            entries.append(F.when(inside, entry))
+        held = rows.select(*self.keys, F.filter(F.array(*entries), lambda e: e.isNotNull()).alias("_e"))
+        held = held.select(*self.keys, F.explode("_e").alias("_e")).select(*self.keys, "_e.*")
+        group = [*self.keys, "_c", "_q"]
+        counted = held.groupBy(*group, "_v", "_below", "_rank").agg(F.count(F.lit(1)).alias("_k"))
+        running = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counted.withColumn("_end", F.col("_below") + F.sum("_k").over(running))
+
+        def value_at(k):
+            here = (F.col("_end") - F.col("_k") <= k) & (k < F.col("_end"))
+            return F.max(F.when(here, F.col("_v")))
+
+        found = placed.groupBy(*group).agg(
+            value_at(F.floor("_rank")).alias("_a"), value_at(F.ceil("_rank")).alias("_z")
+        )
+        pairs = [
+            F.max(F.when((F.col("_c") == i) & (F.col("_q") == j), F.col(x))).alias(f"{x}_{i}_{j}")
+            for i, j in self.cells
+            for x in ("_a", "_z")
         ]
-    )
-    return per_key
+        ordered = found.groupBy(*self.keys).agg(*pairs)
+        if self.keys:
+            marks = {k: f"_key_{i}" for i, k in enumerate(self.keys)}
+            same = F.lit(True)
+            for k, mark in marks.items():
+                same = same & F.col(k).eqNullSafe(F.col(mark))
+            both = self.table.join(ordered.withColumnsRenamed(marks), same, "left")
+        else:
+            both = self.table.join(ordered, F.lit(True), "left")
+        out = []
+        for i, c in enumerate(self.columns):
+            quantiles = []
+            for j in range(len(self.probabilities)):
+                rank, below = self.rank(i, j), F.col(f"_b_{i}_{j}")
+                above = below + F.col(f"_m_{i}_{j}")
+
+                def at(k, inside, i=i, j=j, below=below, above=above):
+                    outside = F.when(k == below - 1, F.col(f"_t_{i}_{j}")).when(k == above, F.col(f"_u_{i}_{j}"))
+                    return F.coalesce(F.col(inside), outside)
+
+                a, z = at(F.floor(rank), f"_a_{i}_{j}"), at(F.ceil(rank), f"_z_{i}_{j}")
+                value = a + (z - a) * (rank - F.floor(rank))
+                quantiles.append(F.when(F.col(f"_n_{i}") > 0, value))
+            out.append(F.array(*quantiles).alias(c))
+        return both.select(*self.keys, *out)
 
 
 def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

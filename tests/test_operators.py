@@ -152,6 +152,38 @@ def test_quantiles_match_numpy_under_skew(spark):
     assert medians[0] == pytest.approx(np.median(value[group == 0]))
 
 
+@pytest.mark.parametrize(("margin", "accuracy"), [(0.0003, 10_000), (0.0, 8), (0.2, 10_000)])
+def test_quantile_brackets_move_and_shrink(spark, monkeypatch, margin, accuracy):
+    from panelforge.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "_MARGIN", margin)
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)  # a coarse sketch misses
+    monkeypatch.setattr(quantiles, "_TOGETHER", 1)
+    rng = np.random.default_rng(7)
+    n = 4_000
+    group = np.where(rng.random(n) < 0.5, 0, rng.integers(1, 4, n))
+    df = spark.createDataFrame(
+        [(int(g), float(v), float(v) // 40) for g, v in zip(group, rng.normal(0, 100, n))], "g int, v double, w double"
+    )
+    value = {c: np.array([r[c] for r in df.select(c).collect()]) for c in "vw"}
+    cuts = [0.0, 0.3, 0.5, 1.0]
+    whole = exact_quantiles(df, [], ["v", "w"], cuts, most_inside=20).first()
+    for c in "vw":
+        assert whole[c] == pytest.approx(list(np.quantile(value[c], cuts)))
+    got = exact_quantiles(df, ["g"], ["v", "w"], cuts, most_inside=20).collect()
+    assert len(got) == 4
+    for row in got:
+        for c in "vw":
+            assert row[c] == pytest.approx(list(np.quantile(value[c][group == row["g"]], cuts)))
+
+
+def test_group_statistics_do_not_shuffle_the_rows(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    out = joins.attach_groups(df, df.groupBy("g").agg(F.avg("v").alias("m")), "g")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_quantiles_of_small_and_null_groups(spark):
     df = spark.createDataFrame(
         [("a", 1.0), ("b", 1.0), ("b", 2.0), ("c", None), ("d", 4.0), ("d", 1.0), ("d", 9.0)],
