@@ -508,6 +508,88 @@ def polynomial_ridge_model(t: Tables):
     return _in_sample(rows, model, "polynomial_ridge", digits=3)
 
 
+# Trees are exact where nothing is drawn at random: one feature with fewer values than bins, depth 1.
+_STUMP_ROWS = (
+    "WITH r0 AS (SELECT o_orderkey, CAST(month(o_orderdate) AS DOUBLE) AS x, "
+    "o_totalprice / 1000 AS y, 1.0::DOUBLE AS w FROM orders)"
+)
+
+
+def stump_rows(t: Tables) -> DataFrame:
+    return t.orders.select(
+        "o_orderkey",
+        F.month("o_orderdate").cast("double").alias("x"),
+        (F.col("o_totalprice") / F.lit(1000.0)).alias("y"),
+    )
+
+
+def _stump_sql(source: str, label: str, out: str) -> str:
+    """``source`` with ``out``: the prediction of the tree of depth 1 on ``x`` with least squared error."""
+    return (
+        f", {out}_g AS (SELECT x AS cut, sum(w) AS n, sum(w * ({label})) AS s FROM {source} GROUP BY x), "
+        f"{out}_c AS (SELECT cut, sum(n) OVER (ORDER BY cut) AS n_left, sum(s) OVER (ORDER BY cut) AS s_left, "
+        f"sum(n) OVER () AS n_all, sum(s) OVER () AS s_all FROM {out}_g), "
+        f"{out}_b AS (SELECT cut, s_left / n_left AS below, (s_all - s_left) / (n_all - n_left) AS above "
+        f"FROM {out}_c WHERE n_left < n_all ORDER BY s_left * s_left / n_left "
+        "+ (s_all - s_left) * (s_all - s_left) / (n_all - n_left) DESC LIMIT 1), "
+        f"{out}_r AS (SELECT {source}.*, CASE WHEN x <= cut THEN below ELSE above END AS {out} FROM {source}, {out}_b)"
+    )
+
+
+def _boosted_sql(rate: float) -> str:
+    """Two rounds: the second tree learns twice the residual and counts ``rate``."""
+    return _STUMP_ROWS + _stump_sql("r0", "y", "p1") + _stump_sql("p1_r", "2 * (y - p1)", "p2") + (
+        f" SELECT o_orderkey, round(p1 + {rate} * p2, 6) AS p FROM p2_r"
+    )
+
+
+def _stump_query(t: Tables, model) -> DataFrame:
+    rows = stump_rows(t)
+    return rounded(predict(model.fit(rows), rows, "p").select("o_orderkey", "p"), 6, "p")
+
+
+@query(
+    "m4_random_forest_stump",
+    _STUMP_ROWS + _stump_sql("r0", "y", "p1") + " SELECT o_orderkey, round(p1, 6) AS p FROM p1_r",
+)
+def random_forest_stump(t: Tables):
+    return _stump_query(t, random_forest(["x"], "y", trees=1, depth=1, bootstrap=False))
+
+
+@query("m5_gradient_boosting_stumps", _boosted_sql(0.193069))
+def gradient_boosting_stumps(t: Tables):
+    return _stump_query(t, gradient_boosting(["x"], "y", trees=2, depth=1))
+
+
+@query("m6_regularised_boosting_stumps", _boosted_sql(0.0373))
+def regularised_boosting_stumps(t: Tables):
+    return _stump_query(t, regularised_boosting(["x"], "y", trees=2, depth=1, row_share=1.0))
+
+
+@query("m7_histogram_boosting_stumps", _boosted_sql(0.33598))
+def histogram_boosting_stumps(t: Tables):
+    return _stump_query(t, histogram_boosting(["x"], "y", trees=2, depth=1, row_share=1.0))
+
+
+@query(
+    "m8_adaboost_stumps",
+    _STUMP_ROWS
+    + _stump_sql("r0", "y", "p1")
+    + ", e1 AS (SELECT *, abs(p1 - y) AS e FROM p1_r), "
+    "s1 AS (SELECT max(e) AS worst, sum(w * e) / max(e) / sum(w) AS loss FROM e1), "
+    "r1 AS (SELECT o_orderkey, x, y, p1, loss / (1 - loss) AS beta1, "
+    "w * pow(loss / (1 - loss), 1 - e / worst) AS w FROM e1, s1)"
+    + _stump_sql("r1", "y", "p2")
+    + ", e2 AS (SELECT *, abs(p2 - y) AS e FROM p2_r), "
+    "s2 AS (SELECT sum(w * e) / max(e) / sum(w) AS loss FROM e2), "
+    "v AS (SELECT o_orderkey, p1, p2, ln(1 / beta1) AS w1, ln((1 - loss) / loss) AS w2 FROM e2, s2) "
+    "SELECT o_orderkey, round(CASE WHEN (CASE WHEN p1 <= p2 THEN w1 ELSE w2 END) >= 0.5 * (w1 + w2) "
+    "THEN least(p1, p2) ELSE greatest(p1, p2) END, 6) AS p FROM v",
+)
+def adaboost_stumps(t: Tables):
+    return _stump_query(t, AdaBoostR2(inputCols=["x"], labelCol="y", trees=2, depth=1))
+
+
 @query("m4_random_forest")
 def random_forest_model(t: Tables):
     rows = cells(t)

@@ -14,11 +14,26 @@ def _with_features(features: Sequence[str], learner) -> Pipeline:
     return Pipeline(stages=[assembler, learner])
 
 
+def _share(part: float) -> str:
+    """A share of the features, as Spark names it."""
+    return "all" if part >= 1.0 else str(part)
+
+
 def random_forest(
-    features: Sequence[str], label: str, trees: int = 10, depth: int = 10, seed: int = 0
+    features: Sequence[str],
+    label: str,
+    trees: int = 10,
+    depth: int = 10,
+    seed: int = 0,
+    bootstrap: bool = True,
 ) -> Pipeline:
     learner = RandomForestRegressor(
-        labelCol=label, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed
+        labelCol=label,
+        numTrees=trees,
+        maxDepth=depth,
+        featureSubsetStrategy="all",
+        seed=seed,
+        bootstrap=bootstrap,
     )
     return _with_features(features, learner)
 
@@ -60,8 +75,9 @@ def regularised_boosting(
     min_gain: float = 0.0,
     leaf_rows: int = 1,
     seed: int = 7,
+    feature_share: float = 1.0,
 ) -> Pipeline:
-    """Boosting on row samples with a least gain per split.
+    """Boosting on row and feature samples with a least gain per split.
 
     Spark has no weight penalty on leaves; row sampling and ``min_gain`` are what it offers.
     """
@@ -72,6 +88,7 @@ def regularised_boosting(
         maxDepth=depth,
         subsamplingRate=row_share,
         minInfoGain=min_gain,
+        featureSubsetStrategy=_share(feature_share),
         minInstancesPerNode=leaf_rows,
         seed=seed,
     )
@@ -88,6 +105,7 @@ def histogram_boosting(
     row_share: float = 0.8,
     leaf_rows: int = 6,
     seed: int = 9,
+    feature_share: float = 1.0,
 ) -> Pipeline:
     """Boosting on coarse histograms. Depth 3 is the least that holds five leaves."""
     learner = GBTRegressor(
@@ -96,6 +114,7 @@ def histogram_boosting(
         stepSize=rate,
         maxDepth=depth,
         maxBins=bins,
+        featureSubsetStrategy=_share(feature_share),
         subsamplingRate=row_share,
         minInstancesPerNode=leaf_rows,
         seed=seed,
