@@ -701,6 +701,73 @@ def grid_search_forest(t: Tables):
     return va.grid_search(folded_cells(t, 3), estimator, grid, "y", folds=3, name="forest")
 
 
+@query(
+    "m12_model_comparison_linear",
+    "WITH "
+    + _FOLDED_SQL
+    + "".join(
+        _fit_sql(f"{x}m{i}", "training", x=x, quadratic=a, by="hold")
+        for x in ("x1", "x2")
+        for i, a in enumerate(_ALPHAS)
+    )
+    + ", scores AS ("
+    + " UNION ALL ".join(
+        f"SELECT 'ridge_{x}' AS model, '{{\"alpha\": {a}}}' AS params, avg(r2) AS score FROM (SELECT fold, "
+        f"1 - sum(pow(y - (w * {x} + b), 2)) / (var_pop(y) * count(*)) AS r2 FROM folded "
+        f"JOIN {x}m{i} ON hold = fold GROUP BY fold)"
+        for x in ("x1", "x2")
+        for i, a in enumerate(_ALPHAS)
+    )
+    + ") SELECT model, params, round(score, 6) AS score FROM scores s "
+    "WHERE score = (SELECT max(score) FROM scores o WHERE o.model = s.model)",
+)
+def model_comparison_linear(t: Tables):
+    candidates = {}
+    for x in ("x1", "x2"):
+        estimator = sgd_linear([x], "y", "l2")
+        alpha = estimator.getStages()[-1].alpha
+        candidates[f"ridge_{x}"] = (estimator, [{alpha: a} for a in _ALPHAS])
+    return rounded(va.compare_models(folded_cells(t), candidates, "y", folds=5), 6, "score")
+
+
+def _plane_sql(name: str, source: str, by: str = "") -> str:
+    """Least squares of ``y`` on ``x1`` and ``x2``."""
+    keys, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+    return (
+        f", {name}_s AS (SELECT {keys}covar_pop(y, x1) AS c1, covar_pop(y, x2) AS c2, var_pop(x1) AS v1, "
+        f"var_pop(x2) AS v2, covar_pop(x1, x2) AS v12, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2 FROM {source}{group}), "
+        f"{name} AS (SELECT {keys}w1, w2, my - w1 * m1 - w2 * m2 AS b FROM (SELECT *, "
+        f"(c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) AS w1, (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) AS w2 FROM {name}_s))"
+    )
+
+
+@query(
+    "m14_feature_elimination_linear",
+    "WITH "
+    + _FOLDED_SQL
+    + _plane_sql("p", "training", "hold")
+    + _plane_sql("whole", "folded")
+    + _fit_sql("a", "training", x="x1", by="hold")
+    + _fit_sql("z", "training", x="x2", by="hold")
+    + ", e2 AS (SELECT avg(r) AS rmse FROM (SELECT fold, sqrt(avg(pow(y - (w1 * x1 + w2 * x2 + b), 2))) AS r "
+    "FROM folded JOIN p ON hold = fold GROUP BY fold)), "
+    "ea AS (SELECT avg(r) AS rmse FROM (SELECT fold, sqrt(avg(pow(y - (w * x1 + b), 2))) AS r "
+    "FROM folded JOIN a ON hold = fold GROUP BY fold)), "
+    "ez AS (SELECT avg(r) AS rmse FROM (SELECT fold, sqrt(avg(pow(y - (w * x2 + b), 2))) AS r "
+    "FROM folded JOIN z ON hold = fold GROUP BY fold)), "
+    "steps AS (SELECT 2 AS n_features, 'x1,x2' AS features, CASE WHEN abs(w1) <= abs(w2) THEN 'x1' ELSE 'x2' END AS dropped, "
+    "e2.rmse FROM e2, whole UNION ALL SELECT 1, CASE WHEN abs(w1) <= abs(w2) THEN 'x2' ELSE 'x1' END, NULL, "
+    "CASE WHEN abs(w1) <= abs(w2) THEN ez.rmse ELSE ea.rmse END FROM whole, ea, ez) "
+    "SELECT n_features, features, dropped, round(rmse, 5) AS rmse, "
+    "CAST(rmse = (SELECT min(rmse) FROM steps) AS INTEGER) AS selected FROM steps",
+)
+def feature_elimination_linear(t: Tables):
+    table = va.eliminate_features(
+        folded_cells(t), ["x1", "x2"], "y", lambda names: sgd_linear(names, "y", "l2", 0.0), folds=5
+    )
+    return rounded(table, 5, "rmse")
+
+
 @query("m12_model_comparison")
 def model_comparison(t: Tables):
     linear = sgd_linear(["x1", "x2"], "y", "l2")

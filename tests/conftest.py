@@ -1,6 +1,6 @@
 import pytest
 
-from panelforge.session import build_session
+from panelforge.session import build_session, clear_scratch
 
 
 @pytest.fixture(scope="session")
@@ -8,6 +8,7 @@ def spark():
     session = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "8"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 
