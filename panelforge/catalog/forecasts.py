@@ -40,8 +40,10 @@ from panelforge.models import (
 )
 from panelforge.models import validation as va
 from panelforge.models.ensemble import predict
+from panelforge.models.jobs import kept
 from panelforge.operators import ranking as rk
 from panelforge.operators.aggregates import rmse
+from panelforge.operators.columns import numeric_columns
 from panelforge.operators.entity import venue_risk
 from panelforge.operators.filters import after
 from panelforge.operators.impute import FillPolicy
@@ -922,23 +924,26 @@ def submission(t: Tables):
 
 @query("panel_forecast")
 def panel_forecast(t: Tables):
-    """Stacked, boosted and blended forecast of one month for every class."""
+    """Averaged, stacked, boosted and blended forecast of one month for every class.
+
+    All features of the panel are used. The tree counts are small to keep the query short.
+    """
     table, ranks = panel.build_panel(_panel_records(t), PANEL_ROLES)
     split = panel.split_panel(table, PANEL_ROLES, TARGET_PERIOD // 100 - BASE_YEAR, TARGET_PERIOD % 100)
     train = rk.shuffled_folds(split.train, panel.CELL, 3, seed=156)
-    x, y = ["sum_p_size", "sum_l_discount", "record_num", "month"], split.label
-    stack = StackingRegressor(folds=3).of(
-        [elastic_net(x, y, 0.001, 0.5), gradient_boosting(x, y, trees=5)],
-        lambda names: lasso(names, y, 0.00001),
-    )
+    x, y = split.features, split.label
+    ridge = PolynomialRidge(inputCols=x, labelCol=y, alpha=0.6, degree=1, coef0=2.5)
+    bases = [elastic_net(x, y, 0.001, 0.5), gradient_boosting(x, y, trees=5), ridge]
+    stack = StackingRegressor(folds=3).of(bases, lambda names: lasso(names, y, 0.00001))
     models = {
+        "average": AveragingRegressor([*bases, lasso(x, y, 0.00001)]),
         "stack": stack,
         "regularised": regularised_boosting(x, y, trees=5, rate=0.3),
         "histogram": histogram_boosting(x, y, trees=5),
     }
     folded = panel.PanelSplit(train, split.predict, split.features, split.label)
     predictions = panel.fit_predict(folded, models)
-    weights = dict(zip(models, presets.BLEND_WEIGHTS, strict=True))
+    weights = dict(zip(["stack", "regularised", "histogram"], presets.BLEND_WEIGHTS, strict=True))
     return blend(predictions, weights, "predict_quantity").join(ranks, on="class_trans").select(
         "class_id", "class_trans", *models, "predict_quantity"
     )
@@ -946,13 +951,35 @@ def panel_forecast(t: Tables):
 
 @query("house_forecast")
 def house_forecast(t: Tables):
-    """Price per unseen listing: log target, two models averaged, back to prices."""
+    """Price per unseen listing: log target, average, stack, boosters, blend, back to prices.
+
+    Every numeric feature is used, the one-hots too. Tree counts are small to keep the query short.
+    """
     features = pin(_house_features(t), "houses")
+    features = rk.shuffled_folds(features, ["id"], 3, seed=156)
     train, test = listings.train_and_test(features, HOUSE_ROLES)
-    x = ["quality", "condition", "frontage", "area", "total_area"]
-    members = [lasso(x, "price", 0.0005), gradient_boosting(x, "price", trees=5)]
-    scored = predict(AveragingRegressor(members).fit(train), test, "p")
-    return listings.prices(scored, "id", "p", "price")
+    y = "price"
+    x = [c for c in numeric_columns(train) if c not in ("id", "fold", y, *HOUSE_ROLES.extra_keys)]
+    bases = [
+        elastic_net(x, y, 0.0005, 0.9),
+        gradient_boosting(x, y, trees=5, loss="absolute"),
+        PolynomialRidge(inputCols=x, labelCol=y, alpha=0.6, degree=1, coef0=2.5),
+    ]
+    members = {
+        "average": AveragingRegressor([*bases, lasso(x, y, 0.0005)]),
+        "stack": StackingRegressor(folds=3).of(bases, lambda names: lasso(names, y, 0.0005)),
+        "regularised": regularised_boosting(x, y, trees=5, rate=0.3, feature_share=0.4603),
+        "histogram": histogram_boosting(x, y, trees=5, feature_share=0.2319),
+    }
+    scored = test
+    with kept(train) as rows:
+        for name, member in members.items():
+            scored = predict(member.fit(rows), scored, name)
+    weights = dict(zip(["stack", "regularised", "histogram"], presets.BLEND_WEIGHTS, strict=True))
+    blended = blend(scored, weights, "p")
+    return blended.select(
+        "id", *[F.expm1(m).alias(m) for m in members], F.expm1("p").alias("price")
+    )
 
 
 @query(

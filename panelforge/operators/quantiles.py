@@ -3,7 +3,8 @@
 ``percentile`` keeps every distinct value of a group in one task. Here a mergeable sketch first
 brackets each wanted quantile, and one pass of plain conditional aggregates counts the rows below and
 inside the bracket. A bracket that missed its quantile is moved and one with many rows is narrowed,
-until every bracket holds at most ``most_inside`` rows; only those rows are ordered.
+until every bracket holds at most ``most_inside`` rows; only those rows are ordered. A table with no
+more rows than that needs no brackets.
 """
 
 from __future__ import annotations
@@ -37,6 +38,13 @@ def exact_quantiles(
     """
     keys, columns = list(keys), list(columns)
     values = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    if values.limit(most_inside + 1).count() <= most_inside:
+        # so few rows that one task may hold them all: the same values without brackets
+        cuts = F.array(*[F.lit(float(p)) for p in probabilities])
+        none = F.array(*[F.lit(None).cast("double") for _ in probabilities])
+        return values.groupBy(*keys).agg(
+            *[F.coalesce(F.percentile(c, cuts), none).alias(c) for c in columns]
+        )
     parts = [
         _few_columns(values.select(*keys, *part), keys, part, list(probabilities), most_inside)
         for part in (columns[i : i + _TOGETHER] for i in range(0, len(columns), _TOGETHER))
