@@ -44,6 +44,11 @@ def node_weight(weights: dict[str, dict[str, float]], level: str) -> Column:
     return column
 
 
+def seeded_key(seed: str, epoch: Column, doc_id: Column) -> Column:
+    """The digest that orders the documents of a leaf in one epoch."""
+    return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), doc_id.cast("string")).cast("binary"))
+
+
 def share(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     """Adds ``given``: each node's part of ``budget`` among the siblings of one parent.
 
@@ -138,9 +143,7 @@ def mix_sources(
     whole = both.where("passes > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     whole = whole.withColumn("taken_tokens", F.col("n_tokens"))
 
-    key = F.md5(
-        F.concat_ws(":", F.lit(seed), F.col("passes").cast("string"), F.col("doc_id").cast("string")).cast("binary")
-    )
+    key = seeded_key(seed, F.col("passes"), F.col("doc_id"))
     spread = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
     buckets = F.ceil(F.sqrt("n_docs")).cast("long")
     last = both.where("rest > 0").withColumn("key", key)
@@ -160,3 +163,26 @@ def mix_sources(
     columns = ["doc_id", *LEVELS, "epoch", "n_tokens", "taken_tokens"]
     part = inside.drop("held", "ahead").unionByName(cut.drop("held", "ahead", "place"))
     return whole.select(columns).unionByName(part.withColumn("epoch", F.col("passes")).select(columns))
+
+
+def keep_mixture(
+    docs: DataFrame, weights: dict[str, dict[str, float]], budget_share: float, seed: str = "mix"
+) -> DataFrame:
+    """The rows of ``docs`` that ``mix_sources`` takes within one epoch, whole and with all their columns.
+
+    A leaf's choice is everything up to its last document in seeded order, so one row per leaf says
+    it, and the texts are not shuffled. Rows repeated under one doc_id with as many words share their fate.
+    """
+    chosen = mix_sources(docs, weights, budget_share, max_epochs=1, seed=seed)
+    order = F.struct(seeded_key(seed, F.lit(0), F.col("doc_id")).alias("key"), "n_tokens")
+    last = pin(chosen.groupBy(*LEVELS).agg(F.max(order).alias("last")), "mix-last")
+
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    doc_id, text, lang, source = (F.col(f"c{docs.columns.index(n)}") for n in ("doc_id", "text", "lang", "source"))
+    named = plain.withColumns(
+        {"domain": source_domain(source), "lang": F.coalesce(lang, F.lit("")), "source": F.coalesce(source, F.lit(""))}
+    )
+    key = seeded_key(seed, F.lit(0), doc_id.cast("long"))
+    tied = (key == F.col("last.key")) & (word_count(text) <= F.col("last.n_tokens"))
+    kept = named.join(last, list(LEVELS)).where(((key < F.col("last.key")) | tied) & text.rlike(WORD))
+    return kept.select(*plain.columns).toDF(*docs.columns)
