@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -21,14 +22,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"_{i}").alias(n) for i, n in zip(places, names, strict=True)))
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores in front until no column of ``df`` is called so."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def power_of_two(n: float) -> int:
     """The smallest power of two that is at least ``n``."""
     out = 1
@@ -37,6 +30,30 @@ def power_of_two(n: float) -> int:
     return out
 
 
+def release() -> None:
+    """Gives freed memory back to the system: Python workers wait idle between tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def releasing(fn: Callable) -> Callable:
+    """``fn`` of one or two tables, for ``applyInArrow``, with ``release`` after it."""
+
+    def run(table):
+        out = fn(table)
+        release()
+        return out
+
+    def run_with_key(key, table):
+        out = fn(key, table)
+        release()
+        return out
+
+    return run if fn.__code__.co_argcount == 1 else run_with_key
+
+
 def map_arrow(
     df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str
 ) -> DataFrame:
@@ -45,6 +62,8 @@ def map_arrow(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from fn(batch)
+            del batch
+            release()
 
     return df.mapInArrow(run, schema)
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import pick, power_of_two, text_parts
+from panelforge.llm.common import pick, power_of_two, release, text_parts
 from panelforge.session import pin
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -54,6 +54,8 @@ def digests(docs: DataFrame) -> DataFrame:
                 [batch.column(0), rows, pa.array(chars, pa.int64()), pa.array(found, pa.binary())],
                 names=["doc_id", "row", "chars", "digest"],
             )
+            del batch
+            release()
 
     plain = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return plain.mapInArrow(run, "doc_id long, row long, chars long, digest binary")

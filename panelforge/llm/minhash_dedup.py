@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import map_arrow, pick, text_parts
+from panelforge.llm.common import map_arrow, pick, releasing, text_parts
 from panelforge.llm.components import connected_components
 from panelforge.session import pin
 
@@ -250,13 +250,13 @@ def in_blocks(rows: DataFrame, group: str, member: str, block: int) -> DataFrame
 def stars(rows: DataFrame, bins: int, fn: Callable[[pa.Table], tuple[list, list]]) -> DataFrame:
     """``a, b``: the members and roots that ``fn`` finds in each bin of units."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table):
         members, roots = fn(table)
         empty = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([empty, *members]), "b": np.concatenate([empty, *roots])})
 
     binned = rows.withColumn("bin", F.pmod(F.xxhash64("unit", F.lit("bin")), F.lit(bins)))
-    return binned.groupBy("bin").applyInArrow(run, "a long, b long")
+    return binned.groupBy("bin").applyInArrow(releasing(run), "a long, b long")
 
 
 def _fixed(column: pa.ChunkedArray, kind: str) -> np.ndarray:
