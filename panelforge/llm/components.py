@@ -17,8 +17,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     repeated edges and null ends do no harm; nodes without an edge are not in the result.
     """
     ends = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    ends = pin(ends.where("a >= b").distinct(), "edges")  # what makes the edges runs once
     loops = ends.where("a = b").select("a", "b")
-    current = pin(ends.where("a > b").distinct(), "edges")
+    current = ends.where("a > b")
     known = _state(current)
     while known[0]:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
