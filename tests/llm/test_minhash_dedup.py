@@ -1,7 +1,9 @@
 import random
 import re
+from math import comb
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelforge.llm import minhash_dedup as m
@@ -108,3 +110,21 @@ def test_components_of_paths_stars_and_loops(spark):
     found = {r.id: r.component for r in got.collect()}
     assert all(found[i] == 0 for i in range(61)) and all(found[k] == 100 for k in [*range(100, 140), 150])
     assert found[200] == 200 and len(found) == 61 + 41 + 1
+
+
+@pytest.mark.parametrize(("similarity", "most"), [(0.85, 1.2e-6), (0.8, 2.2e-4)])
+def test_bits_miss_less_than_bands(similarity, most):
+    bands = (1 - similarity**m.ROWS) ** m.BANDS
+    apart, p, n = int(m.HASHES * (1 - similarity + m.ESTIMATE_SLACK) / 2), (1 - similarity) / 2, m.HASHES - m.ROWS
+    bits = sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(apart + 1, n + 1))
+    assert bits < bands and bands + bits < most
+
+
+def test_unlucky_signature_of_a_pair_at_the_threshold_is_let_through():
+    bits = np.zeros((2, m.HASHES), np.uint8)
+    for apart, percent in ((42, 85), (48, 80)):
+        bits[1] = np.arange(m.HASHES) < apart
+        packed = np.packbits(np.pad(bits, ((0, 0), (0, -m.HASHES % 64))), axis=1)
+        table = pa.table({"unit": [1, 1], "id": [3, 4], "bits": [row.tobytes() for row in packed]})
+        members, roots = m._signature_stars(percent / 100 - m.ESTIMATE_SLACK)(table)
+        assert [x.tolist() for x in members] == [[4]] and [x.tolist() for x in roots] == [[3]]
