@@ -15,6 +15,7 @@ from panelforge.llm.quality_model import quality_scores
 from panelforge.llm.quality_rules import quality_rules
 from panelforge.llm.suffix_dedup import repeat_digests
 from panelforge.llm.url_filter import rule_table, url_filter
+from panelforge.llm.whitening import whiten
 from panelforge.sources import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,7 +87,8 @@ MIX_SQL = rf"""
         SELECT doc_id, CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'd-'
                  ELSE 'd' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::BIGINT % 4) END AS domain,
                coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-               len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS n_tokens
+               len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS n_tokens
         FROM documents),
     leaves AS (
         SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply FROM rows_ WHERE n_tokens > 0 GROUP BY ALL),
@@ -220,3 +222,8 @@ def op3_suffix_dedup(t: Tables) -> DataFrame:
 @query("op2_line_dedup")
 def op2_line_dedup(t: Tables) -> DataFrame:
     return line_report(t.documents)
+
+
+@query("op13_whitening")
+def op13_whitening(t: Tables) -> DataFrame:
+    return whiten(t.embeddings, components=4)
