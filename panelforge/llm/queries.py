@@ -15,6 +15,7 @@ from panelforge.llm.quality_model import quality_scores
 from panelforge.llm.quality_rules import quality_rules
 from panelforge.llm.suffix_dedup import repeat_digests
 from panelforge.llm.url_filter import rule_table, url_filter
+from panelforge.llm.vantage import nearest_neighbours
 from panelforge.llm.whitening import whiten
 from panelforge.sources import Tables
 
@@ -227,3 +228,22 @@ def op2_line_dedup(t: Tables) -> DataFrame:
 @query("op13_whitening")
 def op13_whitening(t: Tables) -> DataFrame:
     return whiten(t.embeddings, components=4)
+
+
+@query(
+    "op11_nearest_neighbours",
+    """
+    WITH v AS (
+        SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    d AS (
+        SELECT q.r AS query, q.vec_id AS query_id, v.vec_id, v.r,
+               sqrt(list_sum(list_transform(list_zip(q.e, v.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS score
+        FROM v q JOIN v ON q.r <> v.r WHERE q.vec_id % 100 = 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score, vec_id, r)::INT AS rank FROM d)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """,
+)
+def op11_nearest_neighbours(t: Tables) -> DataFrame:
+    return nearest_neighbours(t.embeddings, "vec_id % 100 = 0", k=10, factor=1.0)
