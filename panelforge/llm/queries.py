@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm import bpe, chat
 from panelforge.llm.exact_dedup import exact_dedup
+from panelforge.llm.lexical import ranked_search
 from panelforge.llm.line_dedup import line_report
 from panelforge.llm.minhash_dedup import near_duplicates
 from panelforge.llm.mixing import mix_sources
@@ -247,3 +248,40 @@ def op13_whitening(t: Tables) -> DataFrame:
 )
 def op11_nearest_neighbours(t: Tables) -> DataFrame:
     return nearest_neighbours(t.embeddings, "vec_id % 100 = 0", k=10, factor=1.0)
+
+
+@query(
+    "op12_ranked_search",
+    r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS r, doc_id,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents WHERE text IS NOT NULL),
+    sizes AS (SELECT r, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+    totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS tokens FROM sizes),
+    i AS (
+        SELECT row_number() OVER () AS item, item_id,
+               regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM benchmark WHERE text IS NOT NULL),
+    asked AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(terms) AS term FROM i) GROUP BY ALL),
+    found AS (
+        SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d)
+        WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+        FROM (SELECT term, count(*) AS df FROM found GROUP BY term), totals),
+    hits AS (
+        SELECT item, item_id, r, doc_id,
+               sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // tokens))))::BIGINT AS score
+        FROM asked JOIN weights USING (term) JOIN found USING (term) JOIN sizes USING (r), totals
+        GROUP BY ALL),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, r)::INT AS rank
+        FROM hits WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
+)
+def op12_ranked_search(t: Tables) -> DataFrame:
+    return ranked_search(t.documents, t.benchmark, k=20)
