@@ -59,11 +59,21 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.pinned_at = path
+    return out
+
+
+def unpin(df: DataFrame) -> None:
+    """Delete what ``pin`` has written for ``df``; frames built on it can no longer be read."""
+    _delete(df.sparkSession, df.pinned_at)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application has pinned; frames built on it can no longer be read."""
-    folder = f"{scratch_root(spark)}/panelforge/{spark.sparkContext.applicationId}"
+    _delete(spark, f"{scratch_root(spark)}/panelforge/{spark.sparkContext.applicationId}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
