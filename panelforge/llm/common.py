@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.session import pin
+
 #: Words are runs of anything but space, tab, newline, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,6 +24,17 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"_{i}").alias(n) for i, n in zip(places, names, strict=True)))
 
 
+def numbered(df: DataFrame, label: str) -> DataFrame:
+    """``df`` with a number ``row`` for each of its rows, written so that the numbers stay; its columns are ``c0, c1, ...``."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return pin(plain.withColumn("row", F.monotonically_increasing_id()), label)
+
+
+def rows_of(kept: DataFrame, numbers: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of a ``numbered`` frame whose ``row`` is in ``numbers``, which is written so that its size decides the join."""
+    return kept.join(pin(numbers.select("row"), "kept-rows"), "row", "left_semi").drop("row").toDF(*columns)
+
+
 def power_of_two(n: float) -> int:
     """The smallest power of two that is at least ``n``."""
     out = 1

@@ -1,44 +1,54 @@
-"""Connected components by alternating stars: a distributed union-find on edge tables."""
+"""Connected components by contraction: a distributed union-find on edge tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.session import pin
+from panelforge.session import pin, unpin
+
+#: After so many rounds the order in which nodes are preferred is drawn anew.
+ROUNDS_OF_AN_ORDER = 4
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``id, component`` of every node in ``edges`` (``a, b`` long): the smallest id it can reach.
 
-    A large star hangs each node's larger neighbours on its smallest neighbour, a small star its smaller ones;
-    both are joins with one minimum per node, so a node with very many neighbours is split like any skewed
-    key and no list of neighbours is built. Rounds end when a round changes nothing. Loops,
-    repeated edges and null ends do no harm; nodes without an edge are not in the result.
+    In each round a node hooks to the one of its neighbours and itself that comes first in a hashed order, and the edges
+    of the next round are those between what their ends hook to. Neighbourhoods shrink to single nodes, so edges
+    become loops and go: few are left after a round, and rounds end with the last. Then the hooks are followed
+    backwards. A node with very many neighbours is one minimum with partial aggregation and a skewed key of joins; no
+    list of neighbours is built. Loops and repeated edges do no harm, edges with a null end are not looked at; nodes without an edge are not in
+    the result, which is written.
     """
-    ends = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    ends = pin(ends.where("a >= b").distinct(), "edges")  # what makes the edges runs once
-    loops = ends.where("a = b").select("a", "b")
-    current = ends.where("a > b")
-    known = _state(current)
-    while known[0]:
+    ends = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    first = pin(ends.distinct(), "edges")  # what makes the edges runs once
+    current, hooks = first.where("a > b"), []
+    while current.head(1):
+        order = F.lit(len(hooks) // ROUNDS_OF_AN_ORDER)
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        current = pin(small, "edges")
-        now = _state(current)
-        if now == known:
-            break
-        known = now
-    roots = current.select(F.col("b").alias("a"), "b").unionByName(loops)
-    return (
-        current.unionByName(roots).groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
-    )
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        best = both.groupBy("a").agg(F.min_by("b", F.xxhash64("b", order)).alias("b"))
+        up = F.when(F.xxhash64("a", order) < F.xxhash64("b", order), F.col("a")).otherwise(F.col("b"))
+        hooks.append(pin(best.select(F.col("a").alias("id"), up.alias("up")), "hooks"))
+        left = hooks[-1].withColumnRenamed("id", "a").withColumnRenamed("up", "x")
+        right = hooks[-1].withColumnRenamed("id", "b").withColumnRenamed("up", "y")
+        moved = current.join(left, "a").join(right, "b").where("x <> y")
+        moved = moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        last, current = current if len(hooks) > 1 else None, pin(moved, "edges")
+        if last is not None:
+            unpin(last)
+    loops = first.where("a = b").select(F.col("a").alias("id"), F.col("b").alias("component"))
+    if not hooks:
+        return loops
+    found = hooks[-1].withColumnRenamed("up", "top")
+    for hook in hooks[-2::-1]:
+        above = found.withColumnRenamed("id", "up")
+        found = hook.join(above, "up", "left").select("id", F.coalesce("top", "up").alias("top"))
+    if len(hooks) > 1:
+        found = pin(found, "tops")
+    least = found.groupBy("top").agg(F.min("id").alias("component"))
+    named = found.join(least, "top").select("id", "component").unionByName(loops)
+    out = pin(named.groupBy("id").agg(F.min("component").alias("component")), "components")
+    for frame in (first, current, *hooks, *([found] if len(hooks) > 1 else [])):
+        unpin(frame)
+    return out

@@ -14,10 +14,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import pick, power_of_two, release, text_parts
+from panelforge.llm.common import numbered, pick, power_of_two, release, rows_of, text_parts
 from panelforge.session import pin
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -34,9 +34,10 @@ WIN_SCHEMA = "digest binary, keep_id long, keep_row long, group_size long"
 def digests(docs: DataFrame) -> DataFrame:
     """``doc_id, row, chars, digest``: SHA-256 and BLAKE2b of each text without its blanks.
 
-    A null text counts as empty. ``row`` tells repeated rows apart; it is stable only once the
-    result is written.
+    A null text counts as empty. ``row`` tells repeated rows apart: the column ``row`` of ``docs`` if ``docs`` is
+    ``doc_id, text, row``, else a number that is stable only once the result is written.
     """
+    has_row = docs.columns == ["doc_id", "text", "row"]
 
     def run(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -48,7 +49,8 @@ def digests(docs: DataFrame) -> DataFrame:
                     hashlib.sha256(raw).digest() + hashlib.blake2b(raw, digest_size=16).digest()
                 )
                 chars.append(len(text))
-            rows = pa.array(range((part << 32) + n, (part << 32) + n + len(chars)), pa.int64())
+            first = (part << 32) + n
+            rows = batch.column(2) if has_row else pa.array(range(first, first + len(chars)), pa.int64())
             n += len(chars)
             yield pa.record_batch(
                 [batch.column(0), rows, pa.array(chars, pa.int64()), pa.array(found, pa.binary())],
@@ -57,7 +59,7 @@ def digests(docs: DataFrame) -> DataFrame:
             del batch
             release()
 
-    plain = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    plain = (docs if has_row else pick(docs, "doc_id", "text")).withColumn("doc_id", F.col("doc_id").cast("long"))
     return plain.mapInArrow(run, "doc_id long, row long, chars long, digest binary")
 
 
@@ -161,10 +163,7 @@ def exact_dedup(docs: DataFrame, fan: int = 4, rows_per_slot: int = 16_384) -> D
     ids last; of rows repeated under one doc_id exactly one stays. An empty table gives no rows; other
     columns of ``docs`` are not looked at.
     """
-    found = pin(digests(docs), "digests")
-    won = merge_runs(found, found.count(), fan, rows_per_slot).where("group_size > 1")
-    both = found.join(won, "digest", "left")
-    lone = F.col("group_size").isNull()
+    both, lone = _with_winners(digests(docs), fan, rows_per_slot)
     return both.select(
         "doc_id",
         F.when(lone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -172,3 +171,21 @@ def exact_dedup(docs: DataFrame, fan: int = 4, rows_per_slot: int = 16_384) -> D
         (lone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         F.lower(F.hex(F.substring("digest", 1, 32))).alias("text_sha256"),
     )
+
+
+def _with_winners(found: DataFrame, fan: int, rows_per_slot: int) -> tuple[DataFrame, Column]:
+    found = pin(found, "digests")
+    won = merge_runs(found, found.count(), fan, rows_per_slot).where("group_size > 1")
+    return found.join(won, "digest", "left"), F.col("group_size").isNull()
+
+
+def keep_distinct(docs: DataFrame, fan: int = 4, rows_per_slot: int = 16_384) -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+
+    Exactly one row of each group of equal texts stays, also among rows without a doc_id or repeated under one.
+    """
+    rows = numbered(docs, "exact-rows")
+    doc_id, text = (f"c{docs.columns.index(name)}" for name in ("doc_id", "text"))
+    plain = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "row")
+    both, lone = _with_winners(digests(plain), fan, rows_per_slot)
+    return rows_of(rows, both.where(lone | (F.col("row") == F.col("keep_row"))), docs.columns)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import map_arrow, pick, releasing, text_parts
+from panelforge.llm.common import map_arrow, numbered, pick, releasing, rows_of, text_parts
 from panelforge.llm.components import connected_components
 from panelforge.session import pin
 
@@ -33,14 +33,14 @@ HASHES = ROWS * BANDS
 #: Estimates may be so much below a true similarity: of a pair that meets in a band 2e-7 have more differing bits at
 #: 0.85 (42 are let through) and 2e-6 at 0.8 (48), less than the bands miss.
 ESTIMATE_SLACK = 0.185
-SIGNATURE_BLOCK, SET_BLOCK = 4096, 1024
+SIGNATURE_BLOCK, SET_BLOCK = 1024, 1024
 TOGETHER = 1 << 19
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20240229)
 FLIPS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 FACTORS = _random.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-SIG_SCHEMA = "doc_id long, n_shingles long, class binary, bits binary, bands binary"
+SIG_SCHEMA = "row long, doc_id long, n_shingles long, class binary, bits binary, bands binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -105,9 +105,11 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return keys.astype(np.int64)
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
+def signatures(rows: DataFrame, size: int) -> DataFrame:
+    """``SIG_SCHEMA`` of ``row, doc_id, text``."""
+
     def run(batch: pa.RecordBatch):
-        for first, end, texts in text_parts(batch.column(1), TOGETHER):
+        for first, end, texts in text_parts(batch.column(2), TOGETHER):
             sets = shingle_sets(texts, size)
             full = [k for k, s in enumerate(sets) if len(s)]
             bits, bands, names = ([None] * len(sets) for _ in range(3))
@@ -119,15 +121,14 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     bits[k], bands[k] = b.tobytes(), keys.tobytes()
             yield pa.record_batch(
                 [
-                    batch.column(0).slice(first, end - first),
+                    *(batch.column(i).slice(first, end - first) for i in (0, 1)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     *(pa.array(x, pa.binary()) for x in (names, bits, bands)),
                 ],
-                names=["doc_id", "n_shingles", "class", "bits", "bands"],
+                names=["row", "doc_id", "n_shingles", "class", "bits", "bands"],
             )
 
-    plain = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return map_arrow(plain, run, SIG_SCHEMA)
+    return map_arrow(rows, run, SIG_SCHEMA)
 
 
 def components_of(near: np.ndarray) -> np.ndarray:
@@ -298,21 +299,19 @@ def _as_sets(raws: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(r, np.uint64) for r in raws]
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+def near_rows(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """``row, doc_id, n_shingles, first`` of ``row, doc_id, text``, which have been written with their numbers.
 
-    Texts are linked when their sets of ``size``-word shingles have a Jaccard similarity of ``percent`` / 100 or
-    more (at least 80); ``component_id`` is the smallest doc_id that links reach, and that row is kept.
-    Empty and null texts have no shingles and are linked with nothing. Rows repeated under one doc_id
-    share their result; rows without a doc_id are linked with nothing and kept, with a null component. Other columns
-    are not looked at; an empty table gives no rows.
+    ``first`` is the ``no_id, doc_id, row`` of the row that comes first among those that links reach: by doc_id (null
+    last), then row.
     """
-    docs = pick(docs, "doc_id", "text")
-    signed = pin(signatures(docs, size), "signatures")
-    solid = signed.where("class IS NOT NULL AND doc_id IS NOT NULL")
-    classes = pin(solid.groupBy("class").agg(F.min("doc_id").alias("id")), "classes")
-    reps = solid.join(classes.withColumnRenamed("class", "its_class"), (F.col("class") == F.col("its_class")) & (F.col("doc_id") == F.col("id")))
-    reps = pin(reps.select("id", "bits", "bands").dropDuplicates(["id"]), "representatives")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    signed = pin(signatures(rows, size), "signatures")
+    solid = signed.where("class IS NOT NULL")
+    classes = solid.groupBy("class").agg(F.min(place).alias("first"))
+    classes = pin(classes.withColumn("id", F.col("first.row")), "classes")
+    reps = solid.select(F.col("row").alias("id"), "bits", "bands").join(classes.select("id"), "id", "left_semi")
+    reps = pin(reps, "representatives")
     count = reps.count()
 
     words = F.array(*(F.substring("bands", 8 * i + 1, 8) for i in range(BANDS)))
@@ -322,27 +321,53 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     dealt = dealt.select("id", "unit").join(reps.select("id", "bits"), "id")
     bins = max(1, count // 2048)
     clusters = connected_components(stars(dealt, bins, _signature_stars(percent / 100 - ESTIMATE_SLACK)))
-    clusters = pin(clusters.withColumnRenamed("component", "cluster"), "clusters")
+    clusters = clusters.withColumnRenamed("component", "cluster")
 
     def full_sets(batch: pa.RecordBatch):
-        for first, end, texts in text_parts(batch.column(2), TOGETHER):
+        for first, end, texts in text_parts(batch.column(1), TOGETHER):
             raw = [s.tobytes() for s in shingle_sets(texts, size)]
-            ahead = [batch.column(i).slice(first, end - first) for i in (0, 1)]
-            yield pa.record_batch([*ahead, pa.array(raw, pa.binary())], names=["id", "cluster", "content"])
+            yield pa.record_batch([batch.column(0).slice(first, end - first), pa.array(raw, pa.binary())], names=["id", "content"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(clusters, "id")
-    sets = map_arrow(texts.select("id", "cluster", "text"), full_sets, "id long, cluster long, content binary")
+    texts = rows.select(F.col("row").alias("id"), "text").join(clusters.select("id"), "id", "left_semi")
+    sets = map_arrow(texts, full_sets, "id long, content binary")
     units = in_blocks(clusters, "cluster", "id", SET_BLOCK).select("id", "unit")
-    linked = stars(sets.select("id", "content").join(units, "id"), bins, set_stars(percent, _as_sets))
+    linked = stars(sets.join(units, "id"), bins, set_stars(percent, _as_sets))
     components = connected_components(linked)
 
-    of_class = classes.join(components, "id", "left").select(
-        "class", F.coalesce("component", "id").alias("component_id")
-    )
-    out = signed.join(of_class, "class", "left").select(
+    joined = classes.join(components, "id", "left")
+    firsts = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("its_first"))
+    of_class = joined.join(firsts, "component", "left").select("class", F.coalesce("its_first", "first").alias("first"))
+    out = signed.select("row", "doc_id", "n_shingles", "class").join(of_class, "class", "left")
+    return out.select("row", "doc_id", "n_shingles", F.coalesce("first", place).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Texts are linked when their sets of ``size``-word shingles have a Jaccard similarity of ``percent`` / 100 or
+    more (at least 80); ``component_id`` is the smallest doc_id that links reach, null if no row there has one.
+    Rows with that doc_id are kept, and the first row of a component without doc_ids. Empty and null texts have no
+    shingles and are linked with nothing. Each row has its own links, also among rows repeated under one doc_id. Other
+    columns are not looked at; an empty table gives no rows.
+    """
+    docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = numbered(docs, "near-rows").toDF("doc_id", "text", "row").select("row", "doc_id", "text")
+    component = F.col("first.doc_id")
+    return near_rows(rows, size, percent).select(
         "doc_id",
         "n_shingles",
-        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        component.alias("component_id"),
+        F.coalesce(F.col("doc_id") == component, F.col("row") == F.col("first.row")).alias("kept"),
     )
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that come first in their component: exactly one of each.
+
+    First is the smallest doc_id (null last); of rows repeated under it, or without one, any one stays.
+    """
+    rows = numbered(docs, "near-rows")
+    doc_id, text = (f"c{docs.columns.index(name)}" for name in ("doc_id", "text"))
+    plain = rows.select("row", F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = near_rows(plain, size, percent)
+    return rows_of(rows, found.where(F.col("row") == F.col("first.row")), docs.columns)

@@ -85,7 +85,7 @@ def test_odd_rows(docs_of):
     got = m.near_duplicates(docs, 3, 85).collect()
     found = sorted(((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got))
     assert found == [
-        (-1, 1, None, True), (0, 1, 0, True), (1, 1, 0, False), (2, 1, 2, True), (3, 1, 3, True), (4, 1, 4, True), (5, 0, 5, True),
+        (-1, 1, 4, False), (0, 1, 0, True), (1, 1, 0, False), (2, 1, 2, True), (3, 1, 3, True), (4, 1, 4, True), (5, 0, 5, True),
         (6, 0, 6, True), (7, 0, 7, True), (8, 1, 4, False), (8, 1, 4, False), (9, 1, 9, True),
     ]
     assert m.near_duplicates(docs_of([]), 3, 85).collect() == []
@@ -128,3 +128,25 @@ def test_unlucky_signature_of_a_pair_at_the_threshold_is_let_through():
         table = pa.table({"unit": [1, 1], "id": [3, 4], "bits": [row.tobytes() for row in packed]})
         members, roots = m._signature_stars(percent / 100 - m.ESTIMATE_SLACK)(table)
         assert [x.tolist() for x in members] == [[4]] and [x.tolist() for x in roots] == [[3]]
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)]
+    edges += [(1000 + i, 1000 + i + 1) for i in range(300)] + [(5000, 5000 + i) for i in range(1, 400)]
+    edges += edges[:50] + [(None, 3), (9999, None)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.id: r.component for r in got} == {x: root(x) for x in parent} and len(got) == len(parent)
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []

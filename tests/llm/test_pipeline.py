@@ -49,9 +49,8 @@ def test_odd_tables(spark, docs_of):
     docs = docs_of(rows).selectExpr("*", "1 AS TEXT_SHA256", "2 AS kept", "3 AS id", "4 AS component_id")
     for name, stage in pipeline.STAGES[:-1]:
         docs = pipeline.pin(stage(spark, docs, SF), name)
-    # of equal texts the most characters stay, then the smallest doc_id; rows without an id are not named
-    found = [r.doc_id for r in docs.collect()]
-    assert {1, 6} <= set(found) <= {1, 6, None} and len(found) == len(set(found))
+    # of equal texts the most characters stay, then the smallest doc_id (null last)
+    assert sorted(r.doc_id for r in docs.collect()) == [1, 6]
     empty = docs_of([])
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, SF).collect() == []
@@ -60,3 +59,19 @@ def test_odd_tables(spark, docs_of):
 def test_run_gives_tokens(spark):
     got = pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 0
+
+
+def test_rows_without_or_with_repeated_ids_have_their_own_fate(spark, docs_of):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    cases = [
+        ([(1, one), (None, one)], [(1, one)]),
+        ([(None, one), (None, one + "  ")], [(None, one + "  ")]),
+        ([(5, one), (5, two), (7, two + " more"), (None, three), (None, three + " x"), (5, one)], [(5, one), (5, two), (None, None)]),
+    ]
+    for rows, want in cases:
+        docs = docs_of(rows).repartition(3)
+        for stage in (pipeline.exact_stage, pipeline.near_stage):
+            docs = pipeline.pin(stage(spark, docs, SF), "odd")
+        got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+        assert [i for i, _ in got] == [i for i, _ in sorted(want, key=repr)]
+        assert all(t in (None, text) for (_, text), (_, t) in zip(got, sorted(want, key=repr), strict=True))
