@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import cache
@@ -69,6 +70,15 @@ def unpin(df: DataFrame) -> None:
     _delete(df.sparkSession, df.pinned_at)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files that no frame can need any more.
+
+    Spark does so once the driver has collected its own garbage, which may not happen for half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application has pinned; frames built on it can no longer be read."""
     _delete(spark, f"{scratch_root(spark)}/panelforge/{spark.sparkContext.applicationId}")
