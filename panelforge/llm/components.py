@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.session import pin, unpin
+from panelforge.session import forget_shuffles, pin, unpin
 
 #: After so many rounds the order in which nodes are preferred is drawn anew.
 ROUNDS_OF_AN_ORDER = 4
@@ -23,6 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     ends = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     first = pin(ends.distinct(), "edges")  # what makes the edges runs once
+    forget_shuffles(first.sparkSession)
     current, hooks = first.where("a > b"), []
     while current.head(1):
         order = F.lit(len(hooks) // ROUNDS_OF_AN_ORDER)
@@ -51,4 +52,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
     out = pin(named.groupBy("id").agg(F.min("component").alias("component")), "components")
     for frame in (first, current, *hooks, *([found] if len(hooks) > 1 else [])):
         unpin(frame)
+    forget_shuffles(out.sparkSession)
     return out

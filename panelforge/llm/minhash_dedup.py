@@ -166,16 +166,16 @@ def block_components(bits: np.ndarray, most_apart: float, block: int = 256) -> n
         label = new
 
 
-def bucket_stars(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, most_apart: float):
-    """``(members, roots)``: stars of what may be similar within each bucket of equal keys.
+def bucket_roots(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, most_apart: float) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` sorted by key and id, and for each the place of the first one that it is joined with within its key.
 
-    Signatures with up to ``most_apart`` differing bits may be; buckets of one size are compared together.
+    Signatures with up to ``most_apart`` differing bits may be similar; buckets of one size are compared together.
     """
     order = np.lexsort((ids, keys))
     keys, ids, bits = keys[order], ids[order], bits[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.concatenate([first, [len(keys)]]))
-    members, roots = [], []
+    root = np.arange(len(keys))
     for size in np.unique(sizes[sizes > 1]):
         starts = first[sizes == size]
         step = max(1, (1 << 18) // int(size * size))
@@ -189,10 +189,15 @@ def bucket_stars(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, most_apart
             else:
                 near = bits_apart(bits[places], bits[places]) <= most_apart
                 labels = np.stack([components_of(group) for group in near])
-            line, moved = np.nonzero(labels != np.arange(size))
-            members.append(ids[places[line, moved]])
-            roots.append(ids[places[line, labels[line, moved]]])
-    return members, roots
+            root[places] = np.take_along_axis(places, labels.astype(np.int64), axis=1)
+    return ids, root
+
+
+def bucket_stars(keys: np.ndarray, ids: np.ndarray, bits: np.ndarray, most_apart: float):
+    """``(members, roots)``: stars of what may be similar within each bucket of equal keys."""
+    ids, root = bucket_roots(keys, ids, bits, most_apart)
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return [ids[moved]], [ids[root[moved]]]
 
 
 def similar_matrix(sets: list[np.ndarray], percent: int) -> np.ndarray:
