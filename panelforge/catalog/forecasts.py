@@ -34,8 +34,10 @@ from panelforge.models import (
     gradient_boosting,
     histogram_boosting,
     lasso,
+    leaf_wise_boosting,
     random_forest,
     regularised_boosting,
+    second_order_boosting,
     sgd_linear,
 )
 from panelforge.models import validation as va
@@ -573,6 +575,71 @@ def histogram_boosting_stumps(t: Tables):
     return _stump_query(t, histogram_boosting(["x"], "y", trees=2, depth=1, row_share=1.0))
 
 
+# Penalties of the second-order queries: on absolute and squared leaf weights, least gain and least curvature.
+_PENALTIES = {"l1": 40.0, "l2": 300.0, "min_gain": 5.0, "min_curvature": 20.0}
+
+
+def _penalised(gradient: str) -> str:
+    return f"(sign({gradient}) * greatest(abs({gradient}) - {_PENALTIES['l1']}, 0))"
+
+
+def _score(gradient: str, curvature: str) -> str:
+    return f"pow({_penalised(gradient)}, 2) / ({curvature} + {_PENALTIES['l2']})"
+
+
+def _penalised_stump_sql(source: str, k: int, rate: float) -> str:
+    """``r{k}``: ``source`` with one more tree of depth 1 in its prediction ``p``."""
+    return (
+        f", g{k} AS (SELECT x AS cut, sum(p - y) AS g, count(*) AS h FROM {source} GROUP BY x), "
+        f"c{k} AS (SELECT cut, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER () AS ga, sum(h) OVER () AS ha "
+        f"FROM g{k} WINDOW w AS (ORDER BY cut)), "
+        f"b{k} AS (SELECT *, {_score('gl', 'hl')} + {_score('(ga - gl)', '(ha - hl)')} - {_score('ga', 'ha')} AS gain FROM c{k} "
+        f"WHERE hl >= {_PENALTIES['min_curvature']} AND ha - hl >= {_PENALTIES['min_curvature']} ORDER BY gain DESC, cut LIMIT 1), "
+        f"r{k} AS (SELECT o_orderkey, x, y, p - {rate} * CASE WHEN gain < {_PENALTIES['min_gain']} THEN {_penalised('ga')} / (ha + {_PENALTIES['l2']}) "
+        f"WHEN x <= cut THEN {_penalised('gl')} / (hl + {_PENALTIES['l2']}) "
+        f"ELSE {_penalised('(ga - gl)')} / (ha - hl + {_PENALTIES['l2']}) END AS p FROM {source}, b{k})"
+    )
+
+
+@query(
+    "m6_second_order_boosting",
+    _STUMP_ROWS
+    + ", s0 AS (SELECT o_orderkey, x, y, 0.5 AS p FROM r0)"
+    + _penalised_stump_sql("s0", 1, 0.5)
+    + _penalised_stump_sql("r1", 2, 0.5)
+    + " SELECT o_orderkey, round(p, 6) AS p FROM r2",
+)
+def second_order_stumps(t: Tables):
+    return _stump_query(t, second_order_boosting(["x"], "y", trees=2, rate=0.5, depth=1, **_PENALTIES))
+
+
+def _leaf_step_sql(k: int) -> str:
+    """``l{k}``: the segments of ``x`` after the split that gains most among those of ``l{k-1}``."""
+    square = "pow({0}, 2) / {1}".format
+    return (
+        f", c{k} AS (SELECT seg, x, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER a AS ga, sum(h) OVER a AS ha "
+        f"FROM l{k - 1} WINDOW w AS (PARTITION BY seg ORDER BY x), a AS (PARTITION BY seg)), "
+        f"b{k} AS (SELECT seg AS best, x AS cut FROM c{k} WHERE hl >= 11 AND ha - hl >= 11 "
+        f"ORDER BY {square('gl', 'hl')} + {square('(ga - gl)', '(ha - hl)')} - {square('ga', 'ha')} DESC LIMIT 1), "
+        f"l{k} AS (SELECT CASE WHEN seg = best AND x > cut THEN {k} ELSE seg END AS seg, x, g, h FROM l{k - 1}, b{k})"
+    )
+
+
+@query(
+    "m7_leaf_wise_boosting",
+    _STUMP_ROWS
+    + ", m AS (SELECT avg(y) AS base FROM r0), "
+    "l0 AS (SELECT 0 AS seg, x, sum(base - y) AS g, count(*) AS h FROM r0, m GROUP BY x)"
+    + "".join(_leaf_step_sql(k) for k in range(1, 5))
+    + ", leaf AS (SELECT seg, sum(g) / sum(h) AS step FROM l4 GROUP BY seg) "
+    "SELECT o_orderkey, round(base - 0.33598 * step, 6) AS p FROM r0, m JOIN l4 ON l4.x = r0.x JOIN leaf USING (seg)".replace(
+        "FROM r0, m JOIN l4", "FROM r0 CROSS JOIN m JOIN l4"
+    ),
+)
+def leaf_wise_tree(t: Tables):
+    return _stump_query(t, leaf_wise_boosting(["x"], "y", trees=1, row_share=1.0))
+
+
 @query(
     "m8_adaboost_stumps",
     _STUMP_ROWS

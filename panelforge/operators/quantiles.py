@@ -1,256 +1,130 @@
 """Exact interpolated quantiles of raw columns, safe for groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task. Here a mergeable sketch first
-brackets each wanted quantile, and one pass of plain conditional aggregates counts the rows below and
-inside the bracket. A bracket that missed its quantile is moved and one with many rows is narrowed,
-until every bracket holds at most ``most_inside`` rows; only those rows are ordered. A table with no
-more rows than that needs no brackets.
+``percentile`` keeps every distinct value of a group in one task. Here each wanted rank is found by radix selection:
+doubles become 64-bit integers of the same order, and a pass counts the rows per (group, column, leading bits), with
+partial sums in every task, so that no row is moved. The cell that holds a rank is looked into with ``DIGIT`` more bits in
+the next pass, for all wanted ranks at once, until the rank is that of the cell's least or largest value; after the last of
+five passes a cell is one value. Tables of any size take this one way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.session import pin
 
-ACCURACY = 10_000
-_MARGIN = 3.0 / ACCURACY
-# points of the grid that narrows a bracket
-_GRID = 500
-# columns per pass: more would outgrow what the JVM compiles
-_TOGETHER = 12
+#: Bits that a pass adds: a group and column has at most ``2 ** DIGIT`` cells for each of its wanted ranks.
+DIGIT = 13
+_BITS = 64
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    most_inside: int = 100_000,
-) -> DataFrame:
-    """One row per key; per column an array of its quantiles (null for an all-null group).
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``k, s``: per column a long that orders like its double; both zeros are one value, nan is the largest.
 
-    Quantiles interpolate linearly between the two nearest values. Without keys the result is
-    one row. No task orders more than ``most_inside`` rows of one group, column and quantile.
+    Spark has no expression for the bits of a double, hence the Arrow batches.
     """
-    keys, columns = list(keys), list(columns)
-    values = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    if values.limit(most_inside + 1).count() <= most_inside:
-        # so few rows that one task may hold them all: the same values without brackets
-        cuts = F.array(*[F.lit(float(p)) for p in probabilities])
-        none = F.array(*[F.lit(None).cast("double") for _ in probabilities])
-        return values.groupBy(*keys).agg(
-            *[F.coalesce(F.percentile(c, cuts), none).alias(c) for c in columns]
-        )
-    parts = [
-        _few_columns(values.select(*keys, *part), keys, part, list(probabilities), most_inside)
-        for part in (columns[i : i + _TOGETHER] for i in range(0, len(columns), _TOGETHER))
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        if keys:
-            marks = {k: f"_right_{i}" for i, k in enumerate(keys)}
-            same = F.lit(True)
-            for k, mark in marks.items():
-                same = same & F.col(k).eqNullSafe(F.col(mark))
-            out = out.join(part.withColumnsRenamed(marks), same).drop(*marks.values())
-        else:
-            out = out.join(part.withColumn("_one", F.lit(1)), F.col("_one") == 1).drop("_one")
-    return out
+    for batch in batches:
+        rows, columns = batch.num_rows, batch.columns[1:]
+        bits = np.empty((rows, len(columns)), np.int64)
+        gaps = np.empty((rows, len(columns)), bool)
+        for i, column in enumerate(columns):
+            gaps[:, i] = column.is_null().to_numpy(zero_copy_only=False)
+            x = column.fill_null(0.0).to_numpy(zero_copy_only=False) + 0.0
+            bits[:, i] = np.where(np.isnan(x), np.nan, x).view(np.int64)
+        bits = np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+        ends = pa.array(np.arange(rows + 1, dtype=np.int32) * len(columns))
+        lists = pa.ListArray.from_arrays(ends, pa.array(bits.reshape(-1), mask=gaps.reshape(-1)))
+        yield pa.record_batch([batch.column(0), lists], ["k", "s"])
 
 
-def _few_columns(values, keys, columns, probabilities, most_inside) -> DataFrame:
-    cells = [(i, j) for i in range(len(columns)) for j in range(len(probabilities))]
-    edges = [e for p in probabilities for e in (max(p - _MARGIN, 0.0), min(p + _MARGIN, 1.0))]
-    sketch = values.groupBy(*keys).agg(
-        *[F.percentile_approx(c, [float(e) for e in edges], ACCURACY).alias(f"_{i}") for i, c in enumerate(columns)]
-    )
-    brackets = sketch.select(
-        *keys,
-        *[F.col(f"_{i}")[2 * j].alias(f"_l_{i}_{j}") for i, j in cells],
-        *[F.col(f"_{i}")[2 * j + 1].alias(f"_h_{i}_{j}") for i, j in cells],
-    )
-    state = _Brackets(values, keys, columns, probabilities, brackets)
-    while True:
-        missed, widest = state.check(most_inside)
-        if missed:
-            state.move()
-        elif widest > most_inside and not state.stuck(widest):
-            state.narrow(most_inside)
-        else:
-            return state.result()
+def _double(ordered: Column) -> Column:
+    bits = F.when(ordered < 0, ordered.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(ordered)
+    return F.reflect(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
 
 
-class _Brackets:
-    """One row per key: the bracket of every column and quantile, and how many rows lie where.
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], probabilities: Sequence[float]
+) -> DataFrame:
+    """One row per key; per column an array of its quantiles (null for an all-null group).
 
-    The row's fields are ``_n_i`` (rows with a value), ``_l, _h`` (bracket), ``_b`` (rows below), ``_m``
-    (rows inside), ``_t`` (largest below), ``_u`` (smallest above), each with column and quantile.
+    Quantiles interpolate linearly between the two nearest values. Without keys the result is one row.
     """
-
-    def __init__(self, values, keys, columns, probabilities, brackets):
-        self.values, self.keys, self.columns, self.probabilities = values, keys, columns, probabilities
-        self.cells = [(i, j) for i in range(len(columns)) for j in range(len(probabilities))]
-        self.last = None
-        self.count(brackets)
-
-    def with_rows(self, table: DataFrame) -> DataFrame:
-        """The raw rows beside their key's row of a small table.
-
-        The table is written, so that its size decides whether the join broadcasts it; the rows are
-        then not shuffled.
-        """
-        if not self.keys:
-            row = table.first()
-            return self.values.withColumns({c: F.lit(row[c]).cast(table.schema[c].dataType) for c in table.columns})
-        marks = {k: f"_key_{i}" for i, k in enumerate(self.keys)}
-        same = F.lit(True)
-        for k, mark in marks.items():
-            same = same & F.col(k).eqNullSafe(F.col(mark))
-        return self.values.join(table.withColumnsRenamed(marks), same).drop(*marks.values())
-
-    def count(self, brackets: DataFrame) -> None:
-        if self.keys:
-            brackets = pin(brackets, "brackets")
-        rows, found = self.with_rows(brackets), []
-        for i, c in enumerate(self.columns):
-            found.append(F.count(c).alias(f"_n_{i}"))
-        for i, j in self.cells:
-            v, low, high = F.col(self.columns[i]), F.col(f"_l_{i}_{j}"), F.col(f"_h_{i}_{j}")
-            found += [
-                F.first(low).alias(f"_l_{i}_{j}"),
-                F.first(high).alias(f"_h_{i}_{j}"),
-                F.count_if(v < low).alias(f"_b_{i}_{j}"),
-                F.count_if((v >= low) & (v <= high)).alias(f"_m_{i}_{j}"),
-                F.max(F.when(v < low, v)).alias(f"_t_{i}_{j}"),
-                F.min(F.when(v > high, v)).alias(f"_u_{i}_{j}"),
-            ]
-        counted = rows.groupBy(*self.keys).agg(*found)
-        if self.keys:
-            self.table = pin(counted, "bracket-counts")
-        else:
-            # one row: its fields become literals
-            row = counted.first()
-            fields = [F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in counted.schema]
-            self.table = counted.sparkSession.range(1).select(*fields)
-
-    def rank(self, i: int, j: int) -> Column:
-        return (F.col(f"_n_{i}") - 1) * F.lit(float(self.probabilities[j]))
-
-    def misses(self, i: int, j: int) -> tuple[Column, Column]:
-        """Whether a wanted value lies below the bracket's neighbour on either side."""
-        low, high = F.floor(self.rank(i, j)), F.ceil(self.rank(i, j))
-        some = F.col(f"_n_{i}") > 0
-        below = F.col(f"_b_{i}_{j}")
-        return some & (low < below - 1), some & (high > below + F.col(f"_m_{i}_{j}"))
-
-    def check(self, most_inside: int) -> tuple[bool, int]:
-        sides = [s for i, j in self.cells for s in self.misses(i, j)]
-        any_miss = sides[0]
-        for s in sides[1:]:
-            any_miss = any_miss | s
-        inside = [F.col(f"_m_{i}_{j}") for i, j in self.cells]
-        widest = F.greatest(*inside) if len(inside) > 1 else inside[0]
-        row = self.table.agg(F.max(any_miss.cast("int")), F.max(widest)).first()
-        return bool(row[0]), int(row[1] or 0)
-
-    def stuck(self, widest: int) -> bool:
-        """Whether narrowing has stopped to help: the brackets hold one value many times."""
-        same, self.last = self.last == widest, widest
-        return same
-
-    def move(self) -> None:
-        """Brackets that missed take everything on the side where their value lies."""
-        new = {}
-        for i, j in self.cells:
-            left, right = self.misses(i, j)
-            low, high = F.col(f"_l_{i}_{j}"), F.col(f"_h_{i}_{j}")
-            infinity = F.lit(float("inf"))
-            new[f"_l_{i}_{j}"] = F.when(left, -infinity).when(right, high).otherwise(low)
-            new[f"_h_{i}_{j}"] = F.when(left, low).when(right, infinity).otherwise(high)
-        self.count(self.table.select(*self.keys, *[c.alias(n) for n, c in new.items()]))
-
-    def narrow(self, most_inside: int) -> None:
-        """Brackets with many rows shrink to a few steps of a grid over the rows inside."""
-        names = [f"_{x}_{i}_{j}" for i, j in self.cells for x in "lhbm"] + [f"_n_{i}" for i in range(len(self.columns))]
-        state = self.table.select(*self.keys, *names)
-        rows = self.with_rows(state)
-        steps = [k / _GRID for k in range(_GRID + 1)]
-        grids = []
-        for i, j in self.cells:
-            v = F.col(self.columns[i])
-            held = (v >= F.col(f"_l_{i}_{j}")) & (v <= F.col(f"_h_{i}_{j}")) & (F.col(f"_m_{i}_{j}") > most_inside)
-            grids.append(F.percentile_approx(F.when(held, v), steps, ACCURACY).alias(f"_g_{i}_{j}"))
-        found = rows.groupBy(*self.keys).agg(*grids, *[F.first(n).alias(n) for n in names])
-        new = []
-        for i, j in self.cells:
-            grid, inside = F.col(f"_g_{i}_{j}"), F.col(f"_m_{i}_{j}")
-            at = (self.rank(i, j) - F.col(f"_b_{i}_{j}")) / F.greatest(inside, F.lit(1)) * _GRID
-            low = F.get(grid, F.greatest(F.floor(at) - 2, F.lit(0)).cast("int"))
-            high = F.get(grid, F.least(F.ceil(at) + 2, F.lit(_GRID)).cast("int"))
-            new.append(F.coalesce(low, F.col(f"_l_{i}_{j}")).alias(f"_l_{i}_{j}"))
-            new.append(F.coalesce(high, F.col(f"_h_{i}_{j}")).alias(f"_h_{i}_{j}"))
-        self.count(found.select(*self.keys, *new))
-
-    def result(self) -> DataFrame:
-        names = [f"_{x}_{i}_{j}" for i, j in self.cells for x in "lhb"] + [f"_n_{i}" for i in range(len(self.columns))]
-        rows = self.with_rows(self.table.select(*self.keys, *names))
-        entries = []
-        for i, j in self.cells:
-            v = F.col(self.columns[i])
-            inside = (v >= F.col(f"_l_{i}_{j}")) & (v <= F.col(f"_h_{i}_{j}"))
-            entry = F.struct(
-                F.lit(i).alias("_c"), F.lit(j).alias("_q"), v.alias("_v"),
-                F.col(f"_b_{i}_{j}").alias("_below"), self.rank(i, j).alias("_rank"),
-            )
-            entries.append(F.when(inside, entry))
-        held = rows.select(*self.keys, F.filter(F.array(*entries), lambda e: e.isNotNull()).alias("_e"))
-        held = held.select(*self.keys, F.explode("_e").alias("_e")).select(*self.keys, "_e.*")
-        group = [*self.keys, "_c", "_q"]
-        counted = held.groupBy(*group, "_v", "_below", "_rank").agg(F.count(F.lit(1)).alias("_k"))
-        running = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-        placed = counted.withColumn("_end", F.col("_below") + F.sum("_k").over(running))
-
-        def value_at(k):
-            here = (F.col("_end") - F.col("_k") <= k) & (k < F.col("_end"))
-            return F.max(F.when(here, F.col("_v")))
-
-        found = placed.groupBy(*group).agg(
-            value_at(F.floor("_rank")).alias("_a"), value_at(F.ceil("_rank")).alias("_z")
-        )
-        pairs = [
-            F.max(F.when((F.col("_c") == i) & (F.col("_q") == j), F.col(x))).alias(f"{x}_{i}_{j}")
-            for i, j in self.cells
-            for x in ("_a", "_z")
-        ]
-        ordered = found.groupBy(*self.keys).agg(*pairs)
-        if self.keys:
-            marks = {k: f"_key_{i}" for i, k in enumerate(self.keys)}
-            same = F.lit(True)
-            for k, mark in marks.items():
-                same = same & F.col(k).eqNullSafe(F.col(mark))
-            both = self.table.join(ordered.withColumnsRenamed(marks), same, "left")
+    keys, columns, probabilities = list(keys), list(columns), [float(p) for p in probabilities]
+    group = F.struct(*keys) if keys else F.struct(F.lit(0))
+    values = df.select(group.alias("k"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    schema = T.StructType([values.schema["k"], T.StructField("s", T.ArrayType(T.LongType()))])
+    values = values.mapInArrow(_ordered, schema)
+    flat = values.select("k", F.posexplode("s").alias("c", "s"))  # nulls stay: they show that a group is there
+    shift = _BITS - DIGIT
+    cells = pin(_cells(flat, ["k", "c"], shift), "quantile-cells")
+    groups = cells.select("k").distinct() if keys else df.sparkSession.range(1).select(F.struct(F.lit(0)).alias("k"))
+    running = Window.partitionBy("k", "c").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    placed = cells.where("cell IS NOT NULL").withColumn("end", F.sum("n").over(running))
+    placed = placed.withColumn("total", F.sum("n").over(Window.partitionBy("k", "c")))
+    ranks = []
+    for j, p in enumerate(probabilities):
+        exact = (F.col("total") - 1) * F.lit(p)
+        for side, rank in enumerate((F.floor(exact), F.ceil(exact))):
+            fields = {"j": F.lit(j), "side": F.lit(side), "rank": rank.cast("long"), "part": exact - F.floor(exact)}
+            ranks.append(F.struct(*[v.alias(n) for n, v in fields.items()]))
+    wanted = placed.select("*", F.explode(F.array(*ranks)).alias("r")).select("k", "c", "cell", "lo", "hi", "n", "end", "r.*")
+    wanted = wanted.where("end - n <= rank AND rank < end").withColumn("rest", F.col("rank") - (F.col("end") - F.col("n")))
+    found = [pin(_ranks(wanted), "quantile-ranks")]
+    while True:
+        open_ = found[-1].where("v IS NULL")
+        asked = open_.collect() if not keys else open_.head(1)  # without keys a few rows for each column
+        if not asked:
+            break
+        before, shift = shift, max(0, shift - DIGIT)
+        if keys:
+            here = open_.groupBy("k", "c").agg(F.collect_set("cell").alias("asked"))
+            inside = flat.join(here, ["k", "c"])
         else:
-            both = self.table.join(ordered, F.lit(True), "left")
-        out = []
-        for i, c in enumerate(self.columns):
-            quantiles = []
-            for j in range(len(self.probabilities)):
-                rank, below = self.rank(i, j), F.col(f"_b_{i}_{j}")
-                above = below + F.col(f"_m_{i}_{j}")
-
-                def at(k, inside, i=i, j=j, below=below, above=above):
-                    outside = F.when(k == below - 1, F.col(f"_t_{i}_{j}")).when(k == above, F.col(f"_u_{i}_{j}"))
-                    return F.coalesce(F.col(inside), outside)
-
-                a, z = at(F.floor(rank), f"_a_{i}_{j}"), at(F.ceil(rank), f"_z_{i}_{j}")
-                value = a + (z - a) * (rank - F.floor(rank))
-                quantiles.append(F.when(F.col(f"_n_{i}") > 0, value))
-            out.append(F.array(*quantiles).alias(c))
-        return both.select(*self.keys, *out)
+            here = [F.array(*[F.lit(r.cell) for r in asked if r.c == i]).cast("array<long>") for i in range(len(columns))]
+            inside = flat.withColumn("asked", F.get(F.array(*here), F.col("c")))
+        inside = inside.withColumn("parent", F.shiftright("s", before)).where(F.array_contains("asked", F.col("parent")))
+        running = Window.partitionBy("k", "c", "parent").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+        placed = _cells(inside, ["k", "c", "parent"], shift).withColumn("end", F.sum("n").over(running))
+        still = open_.select("k", "c", "j", "side", "part", "rest", F.col("cell").alias("parent"))
+        wanted = still.join(placed, ["k", "c", "parent"]).where("end - n <= rest AND rest < end")
+        wanted = wanted.withColumn("rest", F.col("rest") - (F.col("end") - F.col("n")))
+        found.append(pin(_ranks(wanted), "quantile-ranks"))
+    known = found[0].where("v IS NOT NULL")
+    for more in found[1:]:
+        known = known.unionByName(more.where("v IS NOT NULL"))
+    known = known.withColumn("v", _double(F.col("v")))
+    quantiles = []
+    for i in range(len(columns)):
+        at = []
+        for j in range(len(probabilities)):
+            here = (F.col("c") == i) & (F.col("j") == j)
+            low, high = (F.max(F.when(here & (F.col("side") == side), F.col("v"))) for side in (0, 1))
+            part = F.max(F.when(here, F.col("part")))
+            at.append(F.when((part == 0) | (low == high), low).otherwise(low + (high - low) * part))
+        quantiles.append(F.array(*at).alias(f"q{i}"))
+    solved = known.groupBy("k").agg(*quantiles)
+    out = groups.join(known.groupBy("k").agg(*quantiles), "k", "left")
+    nothing = F.array(*[F.lit(None).cast("double") for _ in probabilities])
+    answers = [F.coalesce(f"q{i}", nothing).alias(c) for i, c in enumerate(columns)]
+    return out.select(*[F.col("k").getField(name).alias(name) for name in keys], *answers)
+
+
+def _cells(rows: DataFrame, by: list[str], shift: int) -> DataFrame:
+    """Rows, least and largest value of each cell: of the values that agree in all but the last ``shift`` bits."""
+    cell = F.shiftright("s", shift).alias("cell")
+    return rows.groupBy(*by, cell).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+
+
+def _ranks(wanted: DataFrame) -> DataFrame:
+    """Wanted ranks with their value ``v``, null where it is neither the least nor the largest of its cell."""
+    v = F.when((F.col("rest") == 0) | (F.col("lo") == F.col("hi")), F.col("lo")).when(F.col("rest") == F.col("n") - 1, F.col("hi"))
+    return wanted.select("k", "c", "j", "side", "part", "rest", "cell", v.alias("v"))
 
 
 def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

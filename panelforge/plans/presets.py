@@ -175,3 +175,21 @@ HOUSE_TOTAL_AREA = ["TotalBsmtSF", "1stFlrSF", "2ndFlrSF"]
 HOUSE_TARGET = "SalePrice"
 HOUSE_OUTLIER_AREA, HOUSE_OUTLIER_PRICE = 4000, 300000
 BLEND_WEIGHTS = (0.70, 0.15, 0.15)
+
+# Settings of ``second_order_boosting`` and ``leaf_wise_boosting`` for vehicles and houses.
+VEHICLE_SECOND_ORDER = {
+    "trees": 2200, "rate": 0.0373, "depth": 3, "row_share": 0.71268, "feature_share": 1.0, "min_curvature": 1.05,
+    "min_gain": 13.895, "l1": 0.37276, "l2": 1.63789, "seed": 7,
+}
+VEHICLE_LEAF_WISE = {
+    "trees": 800, "rate": 0.33598, "leaves": 5, "bins": 55, "row_share": 0.8, "bagging_interval": 5, "feature_share": 1.0,
+    "leaf_rows": 6, "min_curvature": 11.0, "seed": 9,
+}
+HOUSE_SECOND_ORDER = {
+    "trees": 2200, "rate": 0.05, "depth": 3, "row_share": 0.5213, "feature_share": 0.4603, "min_curvature": 1.7817,
+    "min_gain": 0.0468, "l1": 0.4640, "l2": 0.8571, "seed": 7,
+}
+HOUSE_LEAF_WISE = {
+    "trees": 720, "rate": 0.05, "leaves": 5, "bins": 55, "row_share": 0.8, "bagging_interval": 5, "feature_share": 0.2319,
+    "leaf_rows": 6, "min_curvature": 11.0, "seed": 9,
+}

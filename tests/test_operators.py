@@ -152,29 +152,45 @@ def test_quantiles_match_numpy_under_skew(spark):
     assert medians[0] == pytest.approx(np.median(value[group == 0]))
 
 
-@pytest.mark.parametrize(("margin", "accuracy"), [(0.0003, 10_000), (0.0, 8), (0.2, 10_000)])
-def test_quantile_brackets_move_and_shrink(spark, monkeypatch, margin, accuracy):
+@pytest.mark.parametrize("digit", [9, 12, 40])
+def test_quantiles_descend_through_every_digit(spark, monkeypatch, digit):
     from panelforge.operators import quantiles
 
-    monkeypatch.setattr(quantiles, "_MARGIN", margin)
-    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)  # a coarse sketch misses
-    monkeypatch.setattr(quantiles, "_TOGETHER", 1)
+    monkeypatch.setattr(quantiles, "DIGIT", digit)
     rng = np.random.default_rng(7)
-    n = 4_000
+    n = 3_000
     group = np.where(rng.random(n) < 0.5, 0, rng.integers(1, 4, n))
-    df = spark.createDataFrame(
-        [(int(g), float(v), float(v) // 40) for g, v in zip(group, rng.normal(0, 100, n))], "g int, v double, w double"
-    )
-    value = {c: np.array([r[c] for r in df.select(c).collect()]) for c in "vw"}
+    near = 1.0 + rng.integers(0, 40, n) * 2.0**-52  # values that differ in their last bits only
+    wide = rng.normal(0, 1, n) * 10.0 ** rng.integers(-300, 300, n)
+    rows = [(int(g), float(v), float(w), float(z)) for g, v, w, z in zip(group, near, wide, rng.normal(0, 9, n) // 4)]
+    df = spark.createDataFrame(rows, "g int, v double, w double, z double").repartition(5)
+    value = {c: np.array([r[i] for r in rows]) for i, c in enumerate("vwz", 1)}
     cuts = [0.0, 0.3, 0.5, 1.0]
-    whole = exact_quantiles(df, [], ["v", "w"], cuts, most_inside=20).first()
-    for c in "vw":
-        assert whole[c] == pytest.approx(list(np.quantile(value[c], cuts)))
-    got = exact_quantiles(df, ["g"], ["v", "w"], cuts, most_inside=20).collect()
+    whole = exact_quantiles(df, [], ["v", "w", "z"], cuts).first()
+    for c in "vwz":
+        assert whole[c] == pytest.approx(list(np.quantile(value[c], cuts)), rel=1e-15)
+    got = exact_quantiles(df, ["g"], ["v", "w", "z"], cuts).collect()
     assert len(got) == 4
     for row in got:
-        for c in "vw":
-            assert row[c] == pytest.approx(list(np.quantile(value[c][group == row["g"]], cuts)))
+        for c in "vwz":
+            assert row[c] == pytest.approx(list(np.quantile(value[c][group == row["g"]], cuts)), rel=1e-15)
+
+
+def test_quantiles_of_null_keys_zeros_infinities_and_no_rows(spark):
+    rows = [(None, None, -0.0), (None, None, 0.0), ("a", None, float("inf")), ("a", "b", float("-inf")), ("a", "b", 4.0), ("c", "d", None)]
+    df = spark.createDataFrame(rows, "k string, v string, x double")
+    got = {(r.k, r.v): r.x for r in exact_quantiles(df, ["k", "v"], ["x"], [0.0, 1.0]).collect()}
+    inf = float("inf")
+    assert got == {(None, None): [0, 0], ("a", None): [inf, inf], ("a", "b"): [-inf, 4.0], ("c", "d"): [None, None]}
+    empty = df.where("k = 'q'")
+    assert exact_quantiles(empty, ["k"], ["x"], [0.5]).collect() == []
+    assert [r.x for r in exact_quantiles(empty, [], ["x"], [0.5]).collect()] == [[None]]
+
+
+def test_quantiles_move_no_rows(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS g", "CAST(id AS double) AS v")
+    plan = exact_quantiles(df, ["g"], ["v"], [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Range" not in plan  # only written ranks are read
 
 
 def test_group_statistics_do_not_shuffle_the_rows(spark):
