@@ -266,6 +266,41 @@ def correlation_matrix_wide(t: Tables):
     return rounded(pr.correlation_matrix(wide), 6, "r")
 
 
+_GAPPY = 40
+
+
+@query(
+    "a24_correlation_matrix_gaps",
+    "WITH w AS (SELECT "
+    + ", ".join(
+        f"CASE WHEN l_linenumber % {3 + 2 * (i % 2)} <> {i % 3} THEN l_quantity * {i} + l_discount * {(i * 7) % 12} "
+        f"* 100 + l_linenumber * {i % 5} END AS v{i}"
+        for i in range(_GAPPY)
+    )
+    + " FROM lineitem) SELECT c.a AS col_a, c.b AS col_b, round(c.r, 6) AS r FROM (SELECT unnest(["
+    + ", ".join(
+        f"{{'a': 'v{a}', 'b': 'v{b}', 'r': CASE WHEN regr_sxx(v{a}, v{b}) > 0 AND regr_syy(v{a}, v{b}) > 0 "
+        f"THEN corr(v{a}, v{b}) END}}"
+        for a in range(_GAPPY)
+        for b in range(_GAPPY)
+    )
+    + "]) AS c FROM w)",
+)
+def correlation_matrix_gaps(t: Tables):
+    line = F.col("l_linenumber")
+    value = F.col("l_quantity").cast("double")
+    wide = t.lineitem.select(
+        *[
+            F.when(
+                line % (3 + 2 * (i % 2)) != i % 3,
+                value * i + F.col("l_discount") * ((i * 7) % 12) * 100 + line * (i % 5),
+            ).alias(f"v{i}")
+            for i in range(_GAPPY)
+        ]
+    )
+    return rounded(pr.correlation_matrix(wide), 6, "r")
+
+
 @query(
     "a24_correlation_constant_columns",
     "SELECT col_a, col_b, CASE WHEN col_a = 'l_tax' AND col_b = 'l_tax' THEN 1.0::DOUBLE END AS r "

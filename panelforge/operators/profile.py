@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.operators.aggregates import correlation
-from panelforge.operators.columns import complete_columns, numeric_columns
-from panelforge.operators.joins import union_all
+from panelforge.operators.columns import numeric_columns
+from panelforge.operators.moments import pair_moments
 from panelforge.operators.ranking import with_position
 
 
@@ -90,76 +88,24 @@ def skewed_columns(df: DataFrame, columns: Sequence[str] | None = None, limit: f
     return [c for c in df.columns if c in found]
 
 
-# from this many pairs on, gap-free columns are correlated by one matrix product
-_MATRIX_PAIRS = 60
-
-
-def _pairwise(values: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Correlation per pair over the rows where both are present.
-
-    Every row becomes one short row per pair, combined on the map side: one aggregate per pair
-    in a single wide ``agg`` would outgrow what the JVM compiles.
-    """
-    entries = [
-        F.struct(F.lit(i).alias("_i"), F.col(a).alias("x"), F.col(b).alias("y"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    return (
-        values.select(F.inline(F.array(*entries)))
-        .groupBy("_i")
-        .agg(correlation(F.col("x"), F.col("y")).alias("r"))
-        .withColumn("_pair", F.get(names, F.col("_i")))
-        .select(F.col("_pair.a").alias("col_a"), F.col("_pair.b").alias("col_b"), "r")
-    )
-
-
-def _matrix(values: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Correlation of gap-free columns: Spark's distributed Gram matrix, one cell per pair."""
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(values)
-    matrix = Correlation.corr(vectors.select("_v"), "_v").first()[0]
-    cells = [
-        (a, b, float(matrix[i, j]))
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-        if j >= i
-    ]
-    table = values.sparkSession.createDataFrame(cells, "col_a string, col_b string, r double")
-    # a constant column has none with any other, so its 1 with itself does not count either
-    spread = values.agg(*[(F.max(c) > F.min(c)).alias(c) for c in columns]).first()
-    constant = [c for c in columns if not spread[c]]
-    pointless = F.isnan("r") | F.col("col_a").isin(constant) | F.col("col_b").isin(constant)
-    return table.withColumn("r", F.when(~pointless, F.col("r")))
-
-
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(col_a, col_b, r)`` for every ordered pair; null where a column is constant.
+    """``(col_a, col_b, r)`` for every ordered pair; null where a column is constant or no row has both.
 
-    Pairs use the rows where both columns are present. Wide tables go through one Gram matrix,
-    except for the columns that have gaps.
+    Pairs use the rows where both columns hold a finite number. One scan gives the moments of all pairs.
     """
     columns = list(columns or numeric_columns(df))
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    parts = []
-    if len(pairs) > _MATRIX_PAIRS:
-        whole = complete_columns(values)
-        if len(whole) > 1:
-            parts.append(_matrix(values, whole))
-            pairs = [p for p in pairs if not (p[0] in whole and p[1] in whole)]
-    if pairs:
-        parts.append(_pairwise(values, pairs))
-    half = union_all(parts)
-    mirrored = F.when(
-        F.col("col_a") == F.col("col_b"),
-        F.array(F.struct("col_a", "col_b", "r")),
-    ).otherwise(
-        F.array(
-            F.struct("col_a", "col_b", "r"),
-            F.struct(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "r"),
-        )
-    )
-    return half.select(F.inline(mirrored))
+    n = len(columns)
+    first = df.sparkSession.range(n).select(F.col("id").cast("int").alias("i"))
+    pairs = first.select("i", F.explode(F.sequence(F.col("i"), F.lit(n - 1))).alias("j"))
+    stats = pairs.join(pair_moments(df, columns), ["i", "j"], "left")
+    # a deviation of 1e-12 of the mean is what rounding leaves of a constant
+    spread = [F.col(f"ss_{s}") > F.col("n") * F.col(f"mean_{s}") * F.col(f"mean_{s}") * 1e-24 for s in "ij"]
+    r = F.when(spread[0] & spread[1], F.col("ss_ij") / F.sqrt("ss_i") / F.sqrt("ss_j"))
+    names = F.array(*[F.lit(c) for c in columns])
+    half = stats.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), r.alias("r"))
+    once = F.struct(F.col("a").alias("col_a"), F.col("b").alias("col_b"), "r")
+    back = F.struct(F.col("b").alias("col_a"), F.col("a").alias("col_b"), "r")
+    return half.select(F.inline(F.when(F.col("a") == F.col("b"), F.array(once)).otherwise(F.array(once, back))))
 
 
 def normal_fit(df: DataFrame, column: str) -> DataFrame:
