@@ -368,6 +368,22 @@ def density_table(t: Tables):
     return rounded(rounded(table, 4, "low", "high"), 12, "density")
 
 
+@query(
+    "a28_kernel_density",
+    "WITH s AS (SELECT *, lo - 3 * h AS g0, (hi - lo + 6 * h) / 99 AS step FROM (SELECT min(o_totalprice)::DOUBLE AS lo, "
+    "max(o_totalprice)::DOUBLE AS hi, count(*) AS n, stddev_samp(o_totalprice) * pow(count(*), -0.2) AS h FROM orders)), "
+    "placed AS (SELECT (o_totalprice - g0) / step AS pos, CAST(least(floor((o_totalprice - g0) / step), 98) AS INTEGER) AS k "
+    "FROM orders, s), w AS (SELECT k, sum(w) AS w FROM (SELECT k, k + 1 - pos AS w FROM placed UNION ALL "
+    "SELECT k + 1, pos - k FROM placed) GROUP BY k) "
+    "SELECT p.i::INTEGER AS point, round(any_value(g0 + p.i * step), 4) AS x, "
+    "round(sum(w * exp(-0.5 * pow((p.i - k) * step / h, 2))) / any_value(n * h * sqrt(2 * pi())), 12) AS density "
+    "FROM w, s, range(100) p(i) GROUP BY p.i",
+)
+def kernel_density(t: Tables):
+    table = pr.kernel_density(t.orders, "o_totalprice", points=100)
+    return rounded(rounded(table, 4, "x"), 12, "density")
+
+
 def _poly_sql(coefficients, x: str) -> str:
     out = repr(coefficients[0]) + "::DOUBLE"
     for c in coefficients[1:]:

@@ -43,6 +43,7 @@ from panelforge.models import (
 from panelforge.models import validation as va
 from panelforge.models.ensemble import predict
 from panelforge.models.jobs import kept
+from panelforge.models.linear import PENALTIES
 from panelforge.operators import ranking as rk
 from panelforge.operators.aggregates import rmse
 from panelforge.operators.columns import numeric_columns
@@ -762,6 +763,36 @@ def grid_search(t: Tables):
     return rounded(table, 6, "score")
 
 
+_GRID = [(a, n) for a in (0.001, 0.01, 0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 500.0, 1000.0) for n in PENALTIES]
+
+
+@query(
+    "m11_grid_search_penalties",
+    "WITH "
+    + _FOLDED_SQL
+    + "".join(
+        _fit_sql(f"m{i}", "training", x="x1", absolute=a * PENALTIES[n], quadratic=a * (1.0 - PENALTIES[n]), by="hold")
+        for i, (a, n) in enumerate(_GRID)
+    )
+    + ", scores AS ("
+    + " UNION ALL ".join(
+        f"SELECT '{{\"alpha\": {a}, \"l1Ratio\": {PENALTIES[n]}}}' AS params, avg(r2) AS score FROM (SELECT fold, "
+        f"1 - sum(pow(y - (w * x1 + b), 2)) / (var_pop(y) * count(*)) AS r2 FROM folded "
+        f"JOIN m{i} ON hold = fold GROUP BY fold)"
+        for i, (a, n) in enumerate(_GRID)
+    )
+    + ") SELECT 'linear' AS model, params, round(score, 6) AS score, "
+    "CAST(score = (SELECT max(score) FROM scores) AS INTEGER) AS best FROM scores",
+)
+def grid_search_penalties(t: Tables):
+    """Thirteen strengths of three penalties on five folds, from one scan."""
+    estimator = sgd_linear(["x1"], "y", "l2")
+    linear = estimator.getStages()[-1]
+    grid = [{linear.alpha: a, linear.l1Ratio: PENALTIES[n]} for a, n in _GRID]
+    table = va.grid_search(folded_cells(t), estimator, grid, "y", folds=5, name="linear")
+    return rounded(table, 6, "score")
+
+
 @query("m11_grid_search_forest")
 def grid_search_forest(t: Tables):
     estimator = random_forest(["x1", "x2"], "y", depth=5)

@@ -1,7 +1,8 @@
 """Cross-validation, grid search, comparison and feature elimination.
 
 The results are one row per fit, so they are small whatever the size of the data; the fits
-themselves are Spark jobs over a table whose folds are fixed in a column beforehand.
+themselves are Spark jobs over a table whose folds are fixed in a column beforehand. Linear models of
+plain columns share one scan (``fold_statistics``), however many folds, penalties and steps there are.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.models.ensemble import predict
+from panelforge.models.fold_statistics import FoldStatistics, linear_terms
 from panelforge.models.jobs import kept, side_by_side
 
 
@@ -36,6 +38,39 @@ def fold_score(
     return scored.agg(score_columns(label, "_p")[metric].alias("score")).first()["score"]
 
 
+def fold_scores(
+    df: DataFrame,
+    estimators: Sequence[Estimator],
+    label: str,
+    fold_col: str,
+    folds: int,
+    metric: str,
+    threads: int = 4,
+) -> list[list[float]]:
+    """The score of every estimator on every fold."""
+    terms = [linear_terms(e, df) for e in estimators]
+    plain = [t for t in terms if t and t.label == label]
+    found: list[list[float] | None] = [None] * len(estimators)
+    if plain:
+        columns = list(dict.fromkeys(c for t in plain for c in t.columns))
+        statistics = FoldStatistics(df, columns, label, fold_col, folds)
+        for k, t in enumerate(terms):
+            if t in plain:
+                found[k] = [statistics.score(t, i, metric) for i in range(folds)]
+    others = [k for k, scores in enumerate(found) if scores is None]
+    if others:
+        with kept(df) as rows:
+            tasks = [
+                lambda k=k, i=i: fold_score(rows, estimators[k], label, fold_col, i, metric)
+                for k in others
+                for i in range(folds)
+            ]
+            scores = side_by_side(df.sparkSession, tasks, threads)
+        for place, k in enumerate(others):
+            found[k] = scores[place * folds : (place + 1) * folds]
+    return found
+
+
 def cross_validate(
     df: DataFrame,
     models: Mapping[str, Estimator],
@@ -45,13 +80,8 @@ def cross_validate(
     threads: int = 4,
 ) -> DataFrame:
     """``(model, fold, rmse)`` for every model and fold."""
-    with kept(df) as rows:
-        names = [(m, i) for m in models for i in range(folds)]
-        tasks = [
-            lambda m=m, i=i: fold_score(rows, models[m], label, fold_col, i) for m, i in names
-        ]
-        scores = side_by_side(df.sparkSession, tasks, threads)
-    data = [(m, i, s) for (m, i), s in zip(names, scores, strict=True)]
+    found = fold_scores(df, list(models.values()), label, fold_col, folds, "rmse", threads)
+    data = [(m, i, s) for m, scores in zip(models, found, strict=True) for i, s in enumerate(scores)]
     return df.sparkSession.createDataFrame(data, "model string, fold int, rmse double")
 
 
@@ -79,14 +109,8 @@ def grid_search(
     the parameter sets here keeps every row in the JVM.
     """
     candidates = [estimator.copy(dict(params)) for params in grid]
-    with kept(df) as rows:
-        tasks = [
-            lambda c=c, i=i: fold_score(rows, c, label, fold_col, i, metric)
-            for c in candidates
-            for i in range(folds)
-        ]
-        scores = side_by_side(df.sparkSession, tasks, threads)
-    means = [sum(scores[j * folds : (j + 1) * folds]) / folds for j in range(len(candidates))]
+    found = fold_scores(df, candidates, label, fold_col, folds, metric, threads)
+    means = [sum(scores) / folds for scores in found]
     first = means.index(max(means) if metric == "r2" else min(means))
     data = [
         (name, _params_text(p), float(s), int(i == first))
@@ -134,6 +158,18 @@ def importances(model) -> list[float]:
     return [abs(float(v)) for v in last.coefficients.toArray()]
 
 
+def _elimination_steps(features: Sequence[str], measure: Callable, least: int) -> list[list]:
+    """One step per feature that goes; ``measure`` gives the fold scores and importances of some features."""
+    left, steps = list(features), []
+    while True:
+        scores, weights = measure(list(left))
+        steps.append([len(left), ",".join(left), None, sum(scores) / len(scores)])
+        if len(left) <= least:
+            return steps
+        steps[-1][2] = left[min(range(len(left)), key=lambda i: (weights[i], i))]
+        left.remove(steps[-1][2])
+
+
 def eliminate_features(
     df: DataFrame,
     features: Sequence[str],
@@ -148,23 +184,26 @@ def eliminate_features(
     ``(n_features, features, dropped, rmse, selected)``; ``selected`` marks the step with the
     smallest error.
     """
-    left, steps = list(features), []
-    with kept(df) as rows:
-        while True:
-            estimator = make(list(left))
-            tasks = [
-                lambda i=i, e=estimator: fold_score(rows, e, label, fold_col, i)
-                for i in range(folds)
-            ]
-            scores = side_by_side(df.sparkSession, tasks)
-            step = [len(left), ",".join(left), None, sum(scores) / len(scores)]
-            if len(left) > least:
-                weights = importances(estimator.fit(rows))
-                step[2] = left[min(range(len(left)), key=lambda i: (weights[i], i))]
-            steps.append(step)
-            if step[2] is None:
-                break
-            left.remove(step[2])
+    whole = linear_terms(make(list(features)), df)
+    if whole and whole.label == label:
+        statistics = FoldStatistics(df, features, label, fold_col, folds)
+
+        def measure(names: list[str]) -> tuple[list[float], list[float]]:
+            terms = linear_terms(make(names), df)
+            scores = [statistics.score(terms, i) for i in range(folds)]
+            return scores, [abs(float(w)) for w in statistics.weights(terms)]
+
+        steps = _elimination_steps(features, measure, least)
+    else:
+        with kept(df) as rows:
+
+            def measure(names: list[str]) -> tuple[list[float], list[float]]:
+                estimator = make(names)
+                tasks = [lambda i=i: fold_score(rows, estimator, label, fold_col, i) for i in range(folds)]
+                scores = side_by_side(df.sparkSession, tasks)
+                return scores, importances(estimator.fit(rows)) if len(names) > least else []
+
+            steps = _elimination_steps(features, measure, least)
     best = min(range(len(steps)), key=lambda i: steps[i][3])
     data = [(*s, int(i == best)) for i, s in enumerate(steps)]
     schema = "n_features int, features string, dropped string, rmse double, selected int"
