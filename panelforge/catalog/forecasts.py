@@ -57,18 +57,22 @@ from panelforge.sources import Tables
 # -------------------------------------------------------------------------- feature tables
 
 PANEL_ROLES = panel.PanelRoles(
-    categories=["l_returnflag", "l_linestatus"],
-    measures=["p_size", "l_discount"],
+    categories=["l_returnflag", "l_linestatus", "p_type", "p_brand"],
+    measures=["p_retailprice", "p_size", "l_extendedprice", "l_discount", "l_tax"],
     base_year=BASE_YEAR,
     first_period=FIRST_PERIOD,
 )
 
+# What the categories of the test tables hold.
+_PANEL_VOCABULARY = {
+    "l_returnflag": ["A", "N", "R"],
+    "l_linestatus": ["F", "O"],
+    "p_type": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"],
+    "p_brand": [f"Brand#{i}" for i in range(1, 26)],
+}
 _PANEL_VALUES = {
-    "sale_quantity": "sale_quantity",
-    "p_size": "p_size",
-    "l_discount": "l_discount",
-    **{f"l_returnflag_{v}": f"CAST(l_returnflag = '{v}' AS INTEGER)" for v in "ANR"},
-    **{f"l_linestatus_{v}": f"CAST(l_linestatus = '{v}' AS INTEGER)" for v in "FO"},
+    **{m: m for m in ("sale_quantity", *PANEL_ROLES.measures)},
+    **{f"{c}_{v}": f"CAST({c} = '{v}' AS INTEGER)" for c, values in _PANEL_VOCABULARY.items() for v in values},
 }
 
 _RECENT_SQL = SALES_SQL + f", recent AS (SELECT * FROM sales WHERE sale_date > {FIRST_PERIOD})"
