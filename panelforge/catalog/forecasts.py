@@ -27,6 +27,7 @@ from panelforge.catalog.views import (
 from panelforge.models import (
     AdaBoostR2,
     AveragingRegressor,
+    HuberBoosting,
     PolynomialRidge,
     StackingRegressor,
     blend,
@@ -570,6 +571,32 @@ def gradient_boosting_stumps(t: Tables):
     return _stump_query(t, gradient_boosting(["x"], "y", trees=2, depth=1))
 
 
+def _huber_sql(source: str, out: str, rate: float, quantile: float) -> str:
+    """``out``: the residuals ``d`` that one stump of Huber's loss leaves of those in ``source``."""
+    clip = "greatest(least({}, turn), -turn)"
+    return (
+        f", {out}_t AS (SELECT *, (SELECT quantile_cont(abs(d), {quantile}) FROM {source}) AS turn FROM {source})"
+        + _stump_sql(f"{out}_t", clip.format("d"), f"{out}_leaf")
+        + f", {out}_m AS (SELECT {out}_leaf AS leaf, median(d) AS m FROM {out}_leaf_r GROUP BY leaf), "
+        f"{out}_v AS (SELECT leaf, any_value(m) + avg({clip.format('d - m')}) AS v FROM {out}_leaf_r "
+        f"JOIN {out}_m ON leaf = {out}_leaf GROUP BY leaf), "
+        f"{out} AS (SELECT o_orderkey, x, y, w, d - {rate} * v AS d FROM {out}_leaf_r JOIN {out}_v ON leaf = {out}_leaf)"
+    )
+
+
+@query(
+    "m5_huber_boosting_stumps",
+    _STUMP_ROWS
+    + ", d0 AS (SELECT *, y - (SELECT median(y) FROM r0) AS d FROM r0)"
+    + _huber_sql("d0", "d1", 0.5, 0.6)
+    + _huber_sql("d1", "d2", 0.5, 0.6)
+    + " SELECT o_orderkey, round(y - d, 6) AS p FROM d2",
+)
+def huber_boosting_stumps(t: Tables):
+    """Two rounds whose turn lies at the 0.6-quantile of the absolute residuals."""
+    return _stump_query(t, HuberBoosting(inputCols=["x"], labelCol="y", trees=2, depth=1, rate=0.5, quantile=0.6))
+
+
 @query("m6_regularised_boosting_stumps", _boosted_sql(0.0373))
 def regularised_boosting_stumps(t: Tables):
     return _stump_query(t, regularised_boosting(["x"], "y", trees=2, depth=1, row_share=1.0))

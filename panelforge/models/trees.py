@@ -50,7 +50,7 @@ def gradient_boosting(
 ) -> Pipeline:
     """Boosting over random halves of the features; ``loss`` is ``squared`` or ``absolute``.
 
-    A Huber loss has no counterpart in Spark; ``absolute`` is its robust limit.
+    Huber's loss, which Spark lacks, is that of ``HuberBoosting``.
     """
     learner = GBTRegressor(
         labelCol=label,
