@@ -1,10 +1,10 @@
 """Exact duplicates by a tree merge of sorted digest runs.
 
-Every partition sorts the digests of its rows into a run with one entry per distinct text. In each
-round of a ``fan``-way exchange a slot splits its run by the next bits of the digest, sends
-each part to the partner that owns those bits, and merges what it gets, keeping the best identifier
-of equal entries. After the last round each slot owns one range of digests. A text that a third of
-all rows share is one entry of each run, so no slot holds more than its share.
+Every partition sorts the digests of its rows into a run with one entry per distinct text. The slots then
+exchange runs in binomial rounds: a slot splits its run by the next bit of the digest, sends each half to the slot of
+its pair that owns this bit, and merges the sorted runs it gets, keeping the best identifier of equal entries. After
+the last round each slot owns one range of digests. A text that a third of all rows share is one entry of each
+run, so no slot holds more than its share. Entries are sorted once, where they arise; from then on runs are merged.
 """
 
 from __future__ import annotations
@@ -22,8 +22,7 @@ from panelforge.session import pin
 
 BLANKS = b" \t\n\x0b\x0c\r"
 ENTRY = np.dtype(
-    [(f"w{i}", "<u8") for i in range(6)]
-    + [("chars", "<i8"), ("no_id", "<i8"), ("id", "<i8"), ("row", "<i8"), ("size", "<i8")]
+    [("digest", "S48"), ("chars", "<i8"), ("no_id", "<i8"), ("id", "<i8"), ("row", "<i8"), ("size", "<i8")]
 )
 #: Bytes of texts held as Python strings at a time.
 TOGETHER = 1 << 20
@@ -63,28 +62,56 @@ def digests(docs: DataFrame) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, row long, chars long, digest binary")
 
 
-def merge(run: np.ndarray) -> np.ndarray:
-    """One entry per digest: most characters, then smallest identifier (null last), then row."""
-    order = np.lexsort(
-        [run["row"], run["id"], run["no_id"], -run["chars"]] + [run[f"w{i}"] for i in range(5, -1, -1)]
-    )
-    run = run[order]
+def sorted_run(entries: np.ndarray) -> np.ndarray:
+    """One entry per digest, by digest: most characters, then smallest identifier (null last), then row."""
+    order = np.lexsort([entries["row"], entries["id"], entries["no_id"], -entries["chars"], entries["digest"]])
+    run = entries[order]
     if not len(run):
         return run
-    words = np.stack([run[f"w{i}"] for i in range(6)])
-    first = np.concatenate([[True], (words[:, 1:] != words[:, :-1]).any(axis=0)])
-    starts = np.flatnonzero(first)
+    starts = np.flatnonzero(np.concatenate([[True], run["digest"][1:] != run["digest"][:-1]]))
     out = run[starts]
     out["size"] = np.add.reduceat(run["size"], starts)
     return out
 
 
+def _better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where the entry of ``a`` stays rather than that of ``b`` for the same digest."""
+    ahead, tied = a["chars"] > b["chars"], a["chars"] == b["chars"]
+    for name in ("no_id", "id", "row"):
+        ahead |= tied & (a[name] < b[name])
+        tied &= a[name] == b[name]
+    return ahead
+
+
+def merge_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sorted run of two sorted runs; of equal digests the better entry stays, with the rows of both."""
+    if not len(a) or not len(b):
+        return a if len(a) else b
+    place = np.searchsorted(a["digest"], b["digest"])
+    same = a["digest"][np.minimum(place, len(a) - 1)] == b["digest"]
+    ours, theirs = a[place[same]], b[same]
+    met = np.where(_better(theirs, ours), theirs, ours)
+    met["size"] = ours["size"] + theirs["size"]
+    out = a.copy()
+    out[place[same]] = met
+    return np.insert(out, place[~same], b[~same])
+
+
+def merge_runs_of(runs: list[np.ndarray]) -> np.ndarray:
+    """Many sorted runs as one, merged in pairs, pairs of pairs and so on."""
+    while len(runs) > 1:
+        runs = [merge_two(*runs[i : i + 2]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
+    return runs[0] if runs else np.zeros(0, ENTRY)
+
+
+def _words(run: np.ndarray) -> np.ndarray:
+    """The digests as six 64-bit numbers each."""
+    return np.ascontiguousarray(run["digest"]).view(">u8").reshape(-1, 6)
+
+
 def _entries(batch: pa.RecordBatch) -> np.ndarray:
     run = np.zeros(batch.num_rows, ENTRY)
-    raw = b"".join(batch.column(3).to_pylist())
-    words = np.frombuffer(raw, ">u8").reshape(-1, 6)
-    for i in range(6):
-        run[f"w{i}"] = words[:, i]
+    run["digest"] = np.frombuffer(b"".join(batch.column(3).to_pylist()), "S48")
     ids = batch.column(0)
     run["no_id"] = ids.is_null().to_numpy(zero_copy_only=False)
     run["id"] = ids.fill_null(0).to_numpy(zero_copy_only=False)
@@ -97,7 +124,7 @@ def _entries(batch: pa.RecordBatch) -> np.ndarray:
 def _send(slot: int, run: np.ndarray, level: int, bits: int):
     """The parts of a run with the slots that own the bits of this level."""
     mask = (1 << bits) - 1
-    digit = (run["w0"].astype(np.uint64) >> np.uint64(64 - bits * (level + 1))).astype(np.int64) & mask
+    digit = (_words(run)[:, 0].astype(np.uint64) >> np.uint64(64 - bits * (level + 1))).astype(np.int64) & mask
     for x in np.unique(digit):
         part = run[digit == x]
         yield (slot & ~(mask << (bits * level))) | (int(x) << (bits * level)), part.tobytes()
@@ -112,7 +139,7 @@ def _runs(rows) -> pa.RecordBatch:
 
 
 def _winners(run: np.ndarray) -> pa.Table:
-    raw = np.stack([run[f"w{i}"] for i in range(6)], axis=1).astype(">u8").tobytes()
+    raw = _words(run).tobytes()
     return pa.table(
         {
             "digest": pa.array([raw[i : i + 48] for i in range(0, len(raw), 48)], pa.binary()),
@@ -123,10 +150,10 @@ def _winners(run: np.ndarray) -> pa.Table:
     )
 
 
-def merge_runs(found: DataFrame, count: int, fan: int = 4, rows_per_slot: int = 16_384) -> DataFrame:
+def merge_runs(found: DataFrame, count: int, fan: int = 2, rows_per_slot: int = 16_384) -> DataFrame:
     """One row per distinct digest, after as many rounds as the slots need.
 
-    ``fan`` is a power of two: the number of runs a slot merges at a time.
+    ``fan`` is a power of two: the number of slots that exchange runs with each other in a round.
     """
     bits = fan.bit_length() - 1
     levels = max(1, -(-(power_of_two(count / rows_per_slot).bit_length() - 1) // bits))
@@ -134,13 +161,12 @@ def merge_runs(found: DataFrame, count: int, fan: int = 4, rows_per_slot: int =
 
     def first(batches):
         slot = TaskContext.get().partitionId() % slots
-        held = [merge(_entries(b)) for b in batches]
+        held = [sorted_run(_entries(b)) for b in batches]
         if held:
-            yield _runs(_send(slot, merge(np.concatenate(held)), 0, bits))
+            yield _runs(_send(slot, merge_runs_of(held), 0, bits))
 
     def gathered(table: pa.Table) -> np.ndarray:
-        runs = [np.frombuffer(r, ENTRY) for r in table.column("run").to_pylist()]
-        return merge(np.concatenate(runs))
+        return merge_runs_of([np.frombuffer(r, ENTRY) for r in table.column("run").to_pylist()])
 
     def step(level):
         def exchange(key, table):
@@ -155,7 +181,7 @@ def merge_runs(found: DataFrame, count: int, fan: int = 4, rows_per_slot: int =
     return runs.groupBy("slot").applyInArrow(lambda t: _winners(gathered(t)), WIN_SCHEMA)
 
 
-def exact_dedup(docs: DataFrame, fan: int = 4, rows_per_slot: int = 16_384) -> DataFrame:
+def exact_dedup(docs: DataFrame, fan: int = 2, rows_per_slot: int = 16_384) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when they are identical without blanks; a null text counts as empty, and empty
@@ -179,7 +205,7 @@ def _with_winners(found: DataFrame, fan: int, rows_per_slot: int) -> tuple[DataF
     return found.join(won, "digest", "left"), F.col("group_size").isNull()
 
 
-def keep_distinct(docs: DataFrame, fan: int = 4, rows_per_slot: int = 16_384) -> DataFrame:
+def keep_distinct(docs: DataFrame, fan: int = 2, rows_per_slot: int = 16_384) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
 
     Exactly one row of each group of equal texts stays, also among rows without a doc_id or repeated under one.

@@ -1,6 +1,8 @@
 from collections import defaultdict
 
-from panelforge.llm.exact_dedup import exact_dedup
+import numpy as np
+
+from panelforge.llm.exact_dedup import ENTRY, digests, exact_dedup, merge_runs, merge_runs_of, sorted_run
 
 BLANK = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
@@ -32,6 +34,33 @@ def test_matches_brute_force_at_any_number_of_rounds(docs_of):
         assert sum(r.kept for r in got) == len({r.text_sha256 for r in got})
 
 
+def random_entries(rng, n, kinds=40):
+    entries = np.zeros(n, ENTRY)
+    # digests that end in zero bytes are digests like any other
+    entries["digest"] = [bytes([rng.integers(kinds), 0, rng.integers(2)]).ljust(48, b"\0") for _ in range(n)]
+    entries["chars"], entries["no_id"] = rng.integers(0, 3, n), rng.integers(0, 2, n)
+    entries["id"] = np.where(entries["no_id"] == 1, 0, rng.integers(-3, 3, n))
+    entries["row"], entries["size"] = rng.permutation(n), 1
+    return entries
+
+
+def test_merged_runs_equal_one_sort():
+    rng = np.random.default_rng(2)
+    for parts in (1, 2, 3, 7, 16):
+        entries = random_entries(rng, 400)
+        runs = [sorted_run(part) for part in np.array_split(entries, parts)] + [sorted_run(entries[:0])]
+        merged = merge_runs_of(runs)
+        assert merged.tolist() == sorted_run(entries).tolist() and merged["size"].sum() == 400
+    assert len(merge_runs_of([])) == 0
+
+
+def test_rounds_are_binomial(docs_of):
+    docs = docs_of([(i, f"t{i % 500}") for i in range(1000)]).repartition(4)
+    found = digests(docs)
+    plan = merge_runs(found, 1000, rows_per_slot=125)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 3
+
+
 def test_most_characters_stay_then_smallest_id(docs_of):
     kept = {r.doc_id for r in exact_dedup(docs_of(ROWS)).collect() if r.kept}
     assert kept == {5, 1, 2, 4, 6, 10, 12}
