@@ -1,8 +1,8 @@
 """Quality rules on repetition, from a suffix array of each text's words.
 
-Neighbours in the suffix array share the maximal repeated word sequences of a text. The spans of all repeats of at
-least ``least_words`` words are united; a text is rejected if they cover too much of its characters,
-or if one repeat alone is too long. Suffix arrays are built for many texts at a time, but never across texts.
+The intervals of the longest common prefixes are the repeated word sequences of a text; those that no longer repeat
+contains at the same places are maximal. The spans of all maximal repeats of at least ``least_words`` words are
+united; a text is rejected if they cover too much of its characters, or if one repeat alone is too long. Suffix arrays are built for many texts at a time, but never across texts.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from panelforge.llm.common import map_arrow, pick, text_parts
 from panelforge.llm.exact_dedup import BLANKS
-from panelforge.llm.suffixes import covered, repeats
+from panelforge.llm.suffixes import covered, longest_repeats, maximal_repeats, suffix_array
 
 SYMBOLS = b"#*$%&|<>"
 #: Characters of texts whose suffixes are sorted together.
@@ -77,14 +77,16 @@ def text_stats(texts: list[str | None], rules: RepetitionRules) -> dict[str, np.
     starts = np.concatenate([[0], np.cumsum(sizes)])
     codes = np.array(codes, np.int64)
     doc = np.repeat(np.arange(n), sizes)
-    longest = repeats(codes, doc, np.repeat(starts[1:], sizes))
+    suffixes, common = suffix_array(codes, doc, np.repeat(starts[1:], sizes))
+    longest = longest_repeats(suffixes, common)
+    _, spans = maximal_repeats(codes, doc, suffixes, common, rules.least_words)
     weight = np.array(chars, np.int64)[codes] if len(codes) else codes
 
     def per_text(values):
         return np.diff(np.concatenate([[0], np.cumsum(values)])[starts])
 
     window = covered(np.where(longest >= 3, 3, 0), 3)
-    passages = covered(longest, rules.least_words)
+    passages = covered(spans, rules.least_words)
     out["n_words"] = sizes
     out["n_repeat_words"] = per_text(window)
     some = np.maximum(out["word_chars"], 1)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from panelforge.llm.quality_rules import RepetitionRules, keep_good, quality_rules
-from panelforge.llm.suffixes import covered, repeats
+from panelforge.llm.suffixes import covered, maximal_repeats, prefix_intervals, repeats, suffix_array
 
 RULES = RepetitionRules(min_words=5, least_words=4)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -81,6 +81,48 @@ def test_repeats_within_and_never_across_texts():
     assert covered(np.array([0, 2, 0, 1, 0]), 2).tolist() == [False, True, True, False, False]
 
 
+def substrings_by_hand(words):
+    """Every repeated sequence with its places, and those of them that are maximal."""
+    places = {}
+    for i in range(len(words)):
+        for j in range(i + 1, len(words) + 1):
+            places.setdefault(tuple(words[i:j]), []).append(i)
+    found = {s: p for s, p in places.items() if len(p) > 1}
+
+    def maximal(s, p):
+        ahead = {words[i - 1] if i else None for i in p}
+        after = {words[i + len(s)] if i + len(s) < len(words) else None for i in p}
+        return (len(ahead) > 1 or None in ahead) and (len(after) > 1 or None in after)
+
+    return found, {s: p for s, p in found.items() if maximal(s, p)}
+
+
+def test_prefix_intervals_are_the_maximal_repeats():
+    rng = np.random.default_rng(3)
+    for least in (1, 2, 4):
+        for size, letters in [(0, 1), (1, 1), (30, 1), (40, 2), (40, 3), (40, 9)] * 3:
+            words = rng.integers(0, letters, size)
+            doc, ends = np.zeros(size, int), np.full(size, size)
+            suffixes, common = suffix_array(words, doc, ends)
+            assert [words[s:].tolist() for s in suffixes] == sorted(words[s:].tolist() for s in range(size))
+            everything, want = substrings_by_hand(words.tolist())
+            right = {tuple(sorted(p)) for s, p in everything.items() if len(s) >= least}
+            assert {tuple(sorted(suffixes[f : e + 1])) for _, f, e in prefix_intervals(common, least)} == right
+            found, spans = maximal_repeats(words, doc, suffixes, common, least)
+            got = {tuple(words[suffixes[f] :][:n].tolist()): sorted(suffixes[f : e + 1]) for n, f, e in found}
+            assert got == {s: p for s, p in want.items() if len(s) >= least}
+            inside = {i + k for s, p in want.items() if len(s) >= least for i in p for k in range(len(s))}
+            assert set(np.flatnonzero(covered(spans, least))) == inside
+
+
+def test_one_word_over_and_over_takes_linear_work():
+    words = np.zeros(200_000, int)
+    suffixes, common = suffix_array(words, words, np.full(len(words), len(words)))
+    found, spans = maximal_repeats(words, words, suffixes, common, 8)
+    assert len(found) == len(words) - 8 and found[:, 0].max() == len(words) - 1
+    assert covered(spans, 8).all()
+
+
 def test_good_rows_keep_all_columns(docs_of):
     texts = random_texts(60) + [t for t in ODD if t is None or len(t) < 5000]
     docs = docs_of(list(enumerate(texts))).selectExpr("*", "doc_id AS c0", "'q' AS KEPT", "array(1) AS extra")
