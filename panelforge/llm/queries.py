@@ -89,8 +89,7 @@ MIX_SQL = rf"""
         SELECT doc_id, CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1) = '' THEN 'd-'
                  ELSE 'd' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::BIGINT % 4) END AS domain,
                coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-               len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+'))::BIGINT AS n_tokens
+               len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens
         FROM documents),
     leaves AS (
         SELECT domain, lang, source, sum(n_tokens)::BIGINT AS supply FROM rows_ WHERE n_tokens > 0 GROUP BY ALL),
