@@ -28,6 +28,7 @@ from panelforge.models import (
     AdaBoostR2,
     AveragingRegressor,
     HuberBoosting,
+    KernelRidge,
     PolynomialRidge,
     StackingRegressor,
     blend,
@@ -526,6 +527,37 @@ def polynomial_ridge_model(t: Tables):
     return _in_sample(rows, model, "polynomial_ridge", digits=3)
 
 
+# Two landmarks, the least and the largest x1: ridge regression on two kernel values, penalised by their own kernel.
+@query(
+    "m3_kernel_ridge",
+    "WITH "
+    + _CELLS_SQL
+    + ", z AS (SELECT min(x1) AS z1, max(x1) AS z2 FROM cells), "
+    "kerneled AS (SELECT y, pow(x1 * z1 + 12.9155::DOUBLE, 1.1288::DOUBLE) AS u, "
+    "pow(x1 * z2 + 12.9155::DOUBLE, 1.1288::DOUBLE) AS v FROM cells, z), "
+    "s AS (SELECT covar_pop(y, u) AS cu, covar_pop(y, v) AS cv, "
+    "var_pop(u) + 359.38136::DOUBLE / count(*) * any_value(pow(z1 * z1 + 12.9155::DOUBLE, 1.1288::DOUBLE)) AS uu, "
+    "covar_pop(u, v) + 359.38136::DOUBLE / count(*) * any_value(pow(z1 * z2 + 12.9155::DOUBLE, 1.1288::DOUBLE)) AS uv, "
+    "var_pop(v) + 359.38136::DOUBLE / count(*) * any_value(pow(z2 * z2 + 12.9155::DOUBLE, 1.1288::DOUBLE)) AS vv, "
+    "avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM kerneled, z), "
+    "m AS (SELECT (cu * vv - cv * uv) / (uu * vv - uv * uv) AS a, "
+    "(cv * uu - cu * uv) / (uu * vv - uv * uv) AS c, my, mu, mv FROM s)"
+    + _in_sample_sql("kernel_ridge", "a * (u - mu) + c * (v - mv) + my", "kerneled, m").replace(", 4)", ", 3)"),
+)
+def kernel_ridge_model(t: Tables):
+    rows = cells(t)
+    ends = rows.agg(F.min("x1"), F.max("x1")).first()
+    model = KernelRidge(inputCols=["x1"], labelCol="y", points=[[ends[0]], [ends[1]]], **presets.VEHICLE_KERNEL).fit(rows)
+    return _in_sample(rows, model, "kernel_ridge", digits=3)
+
+
+@query("m3_kernel_ridge_landmarks")
+def kernel_ridge_landmarks(t: Tables):
+    rows = cells(t)
+    model = KernelRidge(inputCols=["x1", "x2"], labelCol="y", **presets.VEHICLE_KERNEL).fit(rows)
+    return _in_sample(rows, model, "kernel_ridge_landmarks", digits=3)
+
+
 # Trees are exact where nothing is drawn at random: one feature with fewer values than bins, depth 1.
 _STUMP_ROWS = (
     "WITH r0 AS (SELECT o_orderkey, CAST(month(o_orderdate) AS DOUBLE) AS x, "

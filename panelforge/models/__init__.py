@@ -1,6 +1,7 @@
 from panelforge.models.boosting import AdaBoostR2
 from panelforge.models.ensemble import AveragingRegressor, StackingRegressor, blend
 from panelforge.models.huber import HuberBoosting
+from panelforge.models.kernel import KernelRidge
 from panelforge.models.linear import PenalisedLinear, PolynomialRidge, elastic_net, lasso, sgd_linear
 from panelforge.models.scaling import QuartileScaler
 from panelforge.models.second_order import SecondOrderBooster, leaf_wise_boosting, second_order_boosting
@@ -10,6 +11,7 @@ __all__ = [
     "AdaBoostR2",
     "AveragingRegressor",
     "HuberBoosting",
+    "KernelRidge",
     "PenalisedLinear",
     "PolynomialRidge",
     "QuartileScaler",

@@ -176,6 +176,9 @@ HOUSE_TARGET = "SalePrice"
 HOUSE_OUTLIER_AREA, HOUSE_OUTLIER_PRICE = 4000, 300000
 BLEND_WEIGHTS = (0.70, 0.15, 0.15)
 
+# Settings of ``KernelRidge`` for vehicles.
+VEHICLE_KERNEL = {"alpha": 359.38136, "degree": 1.1288, "coef0": 12.9155}
+
 # Settings of ``second_order_boosting`` and ``leaf_wise_boosting`` for vehicles and houses.
 VEHICLE_SECOND_ORDER = {
     "trees": 2200, "rate": 0.0373, "depth": 3, "row_share": 0.71268, "feature_share": 1.0, "min_curvature": 1.05,
