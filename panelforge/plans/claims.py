@@ -174,17 +174,26 @@ def visit_features(visits: DataFrame, risk: DataFrame, roles: VisitRoles) -> Dat
 
 
 def fee_cells(fees: DataFrame, roles: FeeRoles) -> DataFrame:
-    """One row per (person, day, venue): quantity, amount and item code totals."""
+    """One row per (person, day, venue): quantity, amount and item code totals.
+
+    Lines are dealt by (person, month, venue), which spreads a person over venues and keeps the days of a venue's month
+    together: ``_first`` marks one of them.
+    """
     amount = F.col(roles.price) * F.col(roles.quantity)
-    return (
+    keys = [roles.person, "_month", roles.venue]
+    cells = (
         fees.dropna(subset=[roles.person, roles.day])
-        .groupBy(roles.person, roles.day, roles.venue)
+        .withColumn("_month", F.month(roles.day))
+        .repartition(*keys)
+        .groupBy(*keys, roles.day)
         .agg(
             F.coalesce(F.sum(amount), F.lit(0)).alias("drug_fee"),
             F.coalesce(F.sum(roles.quantity), F.lit(0)).alias("drug_counts"),
             F.coalesce(F.sum(roles.code), F.lit(0)).alias("cata3"),
         )
     )
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(roles.day))
+    return cells.withColumn("_first", (place == 1) & F.col(roles.venue).isNotNull())
 
 
 _FEE_SUMS = ["drug_fee", "drug_counts", "cata3"]
@@ -192,38 +201,46 @@ _FEE_SUMS = ["drug_fee", "drug_counts", "cata3"]
 _FEE_STATISTICS = {"hospitals_perday": ["max", "median"], "drug_counts_perday": ["max", "mean"]}
 
 
-def _fee_bucket(cells: DataFrame, roles: FeeRoles, bucket) -> DataFrame:
-    return cells.groupBy(roles.person, bucket.alias("_bucket")).agg(
-        *[F.sum(c).alias(c) for c in _FEE_SUMS],
-        F.count_distinct(roles.venue).alias("hospitals"),
-    )
-
-
 def fee_features(fees: DataFrame, roles: FeeRoles) -> DataFrame:
-    """Daily and monthly statistics, correlation with elapsed days, repeated dosage forms."""
-    cells = fee_cells(fees, roles)
-    day = F.datediff(F.col(roles.day), F.lit("1970-01-01").cast("date"))
+    """Daily and monthly statistics, correlation with elapsed days, repeated dosage forms.
 
-    def statistics(column: str, per: str):
+    The days of a person, which the calendar bounds, meet once; the months are sums over them, so no statistic's buffers
+    are shuffled. A month's venues are the marks of their first days in it.
+    """
+    days = (
+        fee_cells(fees, roles)
+        .groupBy(roles.person, roles.day)
+        .agg(
+            *[F.sum(c).alias(c) for c in _FEE_SUMS],
+            F.count(roles.venue).alias("hospitals"),
+            F.sum(F.col("_first").cast("int")).alias("_venues"),
+        )
+        .repartition(roles.person)
+    )
+    names = ["hospitals", *_FEE_SUMS]
+    ordered = Window.partitionBy(roles.person, F.month(roles.day)).orderBy(roles.day)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.lead(roles.day).over(ordered).isNull()
+    sources = ["_venues", *_FEE_SUMS]
+    months = {f"_month_{c}": F.when(last, F.sum(source).over(so_far)) for c, source in zip(names, sources, strict=True)}
+    number = F.datediff(F.col(roles.day), F.lit("1970-01-01").cast("date")).cast("double")
+
+    def statistics(column: str, per: str, source: str):
         stats = _FEE_STATISTICS.get(f"{column}_{per}", ["max", "mean", "std"])
-        return statistic_columns([column], stats, "{column}_" + per + "_{stat}")
+        return [STATISTICS[s](F.col(source)).alias(f"{column}_{per}_{s}") for s in stats]
 
     def with_day(c: str, name: str):
-        r = correlation(F.col("_bucket").cast("double"), F.col(c).cast("double"))
-        return r.alias(f"{name}_corrwithday")
+        return correlation(F.col("_number"), F.col(c).cast("double")).alias(f"{name}_corrwithday")
 
-    names = ["hospitals", *_FEE_SUMS]
-    daily = _fee_bucket(cells, roles, day).groupBy(roles.person).agg(
-        *[a for c in names for a in statistics(c, "perday")],
+    table = days.withColumns({**months, "_number": number}).groupBy(roles.person).agg(
+        *[a for c in names for a in statistics(c, "perday", c)],
         with_day("drug_counts", roles.quantity),
         with_day("drug_fee", "drug_fee"),
         with_day("cata3", roles.code),
-    )
-    monthly = _fee_bucket(cells, roles, F.month(roles.day)).groupBy(roles.person).agg(
-        *[a for c in names for a in statistics(c, "permonth")]
+        *[a for c in names for a in statistics(c, "permonth", f"_month_{c}")],
     )
     forms = repeat_rate(fees, roles.person, roles.form, "med_kinds")
-    return align([daily, monthly], roles.person).join(forms, on=roles.person, how="left")
+    return table.join(forms, on=roles.person, how="left")
 
 
 def claims_table(

@@ -2,6 +2,7 @@
 
 import datetime
 import itertools
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +162,42 @@ def test_visit_features_survive_a_dominant_person(spark):
     assert row["gap_mean"] == 1.0 and row["gap_std"] == 0.0
 
 
+def _exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_fee_lines_are_shuffled_once_per_key(spark):
+    day = datetime.date(2023, 1, 30)
+    lines = []
+    for n in range(3000):
+        person, venue = ("big" if n % 3 else f"p{n % 5}"), (None if n % 11 == 0 else n * n % 7)
+        when = None if n % 101 == 0 else day + datetime.timedelta(n * 37 % 800)
+        lines.append((person, venue, when, n % 13, n % 4, n % 5, None if n % 2 else f"f{n % 6}"))
+    columns = ["person", "venue", "day", "price", "quantity", "code", "form"]
+    df = spark.createDataFrame(lines, "person string, venue int, day date, price long, quantity long, code long, form string")
+    table = claims.fee_features(df, claims.FeeRoles(*columns))
+    # lines, days and persons; forms and their persons
+    assert _exchanges(table) <= 5
+    found = {r["person"]: r for r in table.collect()}
+    assert len(found) == 6
+    for person, row in found.items():
+        for per, bucket in (("perday", lambda d: d), ("permonth", lambda d: d.month)):
+            venues, fees = {}, {}
+            for p, venue, when, price, quantity, *_ in lines:
+                if p == person and when:
+                    venues.setdefault(bucket(when), set()).update([] if venue is None else [venue])
+                    fees[bucket(when)] = fees.get(bucket(when), 0) + price * quantity
+            kinds = [len(v) for v in venues.values()]
+            assert row[f"hospitals_{per}_max"] == max(kinds)
+            assert row[f"drug_fee_{per}_max"] == max(fees.values())
+            assert row[f"drug_fee_{per}_mean"] == pytest.approx(sum(fees.values()) / len(fees))
+            assert row[f"drug_fee_{per}_std"] == pytest.approx(statistics.stdev(fees.values()))
+            if per == "perday":
+                assert row["hospitals_perday_median"] == statistics.median(kinds)
+            else:
+                assert row["hospitals_permonth_mean"] == pytest.approx(sum(kinds) / len(kinds))
+
+
 def test_house_listings(spark):
     filled = [*presets.HOUSE_NONE, *presets.HOUSE_ZERO, *presets.HOUSE_MODE, "Functional", "LotFrontage"]
     numeric = [*presets.HOUSE_ZERO, "LotFrontage", "1stFlrSF", "2ndFlrSF", "GrLivArea", "OverallCond", "YrSold", "MoSold"]
