@@ -85,7 +85,10 @@ _FLAGS = ["special", "registration"]
 
 
 def day_cells(visits: DataFrame, roles: VisitRoles) -> DataFrame:
-    """One row per (person, day): amount sums, keyword marks and rows with text."""
+    """One row per (person, day): amount sums, keyword marks and rows with text.
+
+    The calendar bounds the cells of a person, so they are dealt by person, once for all that is made of them.
+    """
     marks = text_flags(roles.text, roles.special, roles.registration)
     return (
         visits.dropna(subset=[roles.person, roles.day])
@@ -95,6 +98,7 @@ def day_cells(visits: DataFrame, roles: VisitRoles) -> DataFrame:
             *[F.sum(mark).alias(name) for name, mark in marks.items()],
             F.count(roles.text).alias("_texts"),
         )
+        .repartition(roles.person)
     )
 
 

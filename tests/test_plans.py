@@ -7,11 +7,12 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from panelforge.catalog.views import visits
 from panelforge.models import sgd_linear
 from panelforge.models.ensemble import predict
 from panelforge.operators.entity import venue_risk
 from panelforge.plans import claims, listings, panel, presets
-from panelforge.sources import read_csv, read_csv_named, read_csv_stray_header, write_csv
+from panelforge.sources import Tables, read_csv, read_csv_named, read_csv_stray_header, write_csv
 
 
 def test_csv_byte_order_mark_and_stray_header(spark, tmp_path, rows):
@@ -198,6 +199,22 @@ def test_fee_lines_are_shuffled_once_per_key(spark):
                 assert row["hospitals_permonth_mean"] == pytest.approx(sum(kinds) / len(kinds))
 
 
+def test_months_of_visits_reuse_the_days_of_a_person(spark):
+    data = [(p, "h", datetime.date(2024, 1, 1) + datetime.timedelta(n), "x", n) for p in "ab" for n in range(90)]
+    df = spark.createDataFrame(data, "person string, venue string, day date, text string, v int")
+    roles = claims.VisitRoles("person", "venue", "day", "text", "s", "r", ["v"], ["v"])
+    cells = claims.day_cells(df, roles)
+    assert _exchanges(claims.day_block(cells, roles)) == 2
+    months = claims.month_block(cells, roles)
+    assert _exchanges(months) == 2
+    assert {r["v_max_bymonth"] for r in months.collect()} == {sum(range(60, 90))}
+
+
+def test_orders_are_joined_last_so_that_their_lines_meet(spark):
+    plan = visits(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner, (l_orderkey") < plan.index("Join Inner, (l_partkey")
+
+
 def test_house_listings(spark):
     filled = [*presets.HOUSE_NONE, *presets.HOUSE_ZERO, *presets.HOUSE_MODE, "Functional", "LotFrontage"]
     numeric = [*presets.HOUSE_ZERO, "LotFrontage", "1stFlrSF", "2ndFlrSF", "GrLivArea", "OverallCond", "YrSold", "MoSold"]
