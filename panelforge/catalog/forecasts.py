@@ -19,6 +19,8 @@ from panelforge.catalog.views import (
     SALES_SQL,
     TARGET_PERIOD,
     VISITS_SQL,
+    billed,
+    charged,
     fee_lines,
     houses,
     sales,
@@ -312,8 +314,8 @@ _FEE_TABLE_SQL = (
 )
 
 
-def _fee_table(t: Tables) -> DataFrame:
-    table = claims.fee_features(fee_lines(t), FEE_ROLES)
+def _fee_table(fees: DataFrame) -> DataFrame:
+    table = claims.fee_features(fees, FEE_ROLES)
     digits = {c: _fee_digits(c) for c in table.columns if "_per" in c}
     digits |= {c: 6 for c in table.columns if c.endswith(("corrwithday", "rep_rate"))}
     return rounded_by(table, digits)
@@ -324,7 +326,7 @@ def _fee_table(t: Tables) -> DataFrame:
     _FEE_TABLE_SQL + " SELECT * FROM daily JOIN monthly USING (person) LEFT JOIN forms USING (person)",
 )
 def fee_feature_table(t: Tables):
-    return _fee_table(t)
+    return _fee_table(fee_lines(t))
 
 
 @query(
@@ -338,13 +340,15 @@ def fee_feature_table(t: Tables):
     "JOIN (SELECT c_custkey AS person, c_acctbal FROM customer) USING (person)",
 )
 def claims_feature_table(t: Tables):
-    records = pin(visits(t), "visits")
+    # visits and fees are the same lines of the same orders, joined once
+    lines = pin(visits(t, fees=True), "visits")
+    records = billed(lines)
     labels = t.customer.select(
         F.col("c_custkey").alias("person"),
         "c_acctbal",
         (F.col("c_acctbal") < -500).cast("int").alias("label"),
     )
-    table = claims.claims_table(records, _risk(t, records), _fee_table(t), VISIT_ROLES, labels)
+    table = claims.claims_table(records, _risk(t, records), _fee_table(charged(lines)), VISIT_ROLES, labels)
     return _round_claims(table)
 
 

@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.catalog.views import visits
+from panelforge.catalog.views import billed, charged, fee_lines, visits
 from panelforge.models import sgd_linear
 from panelforge.models.ensemble import predict
 from panelforge.operators.entity import venue_risk
@@ -215,6 +215,20 @@ def test_orders_are_joined_last_so_that_their_lines_meet(spark):
     assert plan.index("Join Inner, (l_orderkey") < plan.index("Join Inner, (l_partkey")
 
 
+def test_visits_and_fees_share_their_lines(spark, tmp_path, rows):
+    folder = "/root/testdata/sf0.001"
+    for name in ("orders", "lineitem"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{folder}/{name}.parquet")
+    # some lines lose their part: they are fees, but not visits
+    spark.read.parquet(f"{folder}/part.parquet").filter("p_partkey % 3 <> 0").write.parquet(str(tmp_path / "part.parquet"))
+    t = Tables(spark, str(tmp_path))
+    lines = visits(t, fees=True)
+    assert rows(billed(lines)) == rows(visits(t)) and billed(lines).columns == visits(t).columns
+    columns = fee_lines(t).columns
+    assert rows(charged(lines), *columns) == rows(fee_lines(t), *columns)
+    assert billed(lines).count() < charged(lines).count()
+
+
 def test_house_listings(spark):
     filled = [*presets.HOUSE_NONE, *presets.HOUSE_ZERO, *presets.HOUSE_MODE, "Functional", "LotFrontage"]
     numeric = [*presets.HOUSE_ZERO, "LotFrontage", "1stFlrSF", "2ndFlrSF", "GrLivArea", "OverallCond", "YrSold", "MoSold"]
