@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import map_arrow, numbered, pick, releasing, rows_of, text_parts
+from panelforge.llm.common import map_arrow, marked, numbered, pick, releasing, rows_of, text_parts
 from panelforge.llm.components import connected_components
 from panelforge.session import pin
 
@@ -234,8 +234,8 @@ def similar_matrix(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return near
 
 
-def in_blocks(rows: DataFrame, group: str, member: str, block: int) -> DataFrame:
-    """``rows`` of groups with two members or more, with ``unit``: what is compared together.
+def block_units(rows: DataFrame, group: str, member: str, block: int) -> DataFrame:
+    """``rows`` of groups with two members or more, with the array ``units``: each names what is compared together.
 
     A group of up to ``block`` members is one unit; a larger one has a unit for each pair of its blocks.
     """
@@ -249,11 +249,16 @@ def in_blocks(rows: DataFrame, group: str, member: str, block: int) -> DataFrame
     return (
         rows.join(counts, group)
         .withColumn("mine", mine)
-        .withColumn("unit", F.explode(F.when(F.col("n_members") <= block, F.array(F.xxhash64(group))).otherwise(partners)))
+        .withColumn("units", F.when(F.col("n_members") <= block, F.array(F.xxhash64(group))).otherwise(partners))
         .drop("mine", "n_members")
     )
 
 
+def in_blocks(rows: DataFrame, group: str, member: str, block: int) -> DataFrame:
+    """``block_units``, with a row for each ``unit``."""
+    return block_units(rows, group, member, block).withColumn("unit", F.explode("units")).drop("units")
+
+
 def stars(rows: DataFrame, bins: int, fn: Callable[[pa.Table], tuple[list, list]]) -> DataFrame:
     """``a, b``: the members and roots that ``fn`` finds in each bin of units."""
 
@@ -315,8 +320,8 @@ def near_rows(rows: DataFrame, size: int, percent: int) -> DataFrame:
     solid = signed.where("class IS NOT NULL")
     classes = solid.groupBy("class").agg(F.min(place).alias("first"))
     classes = pin(classes.withColumn("id", F.col("first.row")), "classes")
-    reps = solid.select(F.col("row").alias("id"), "bits", "bands").join(classes.select("id"), "id", "left_semi")
-    reps = pin(reps, "representatives")
+    reps = marked(solid.select("row", "bits", "bands"), classes.select(F.col("id").alias("row")))
+    reps = pin(reps.withColumnRenamed("row", "id"), "representatives")
     count = reps.count()
 
     words = F.array(*(F.substring("bands", 8 * i + 1, 8) for i in range(BANDS)))
@@ -331,12 +336,15 @@ def near_rows(rows: DataFrame, size: int, percent: int) -> DataFrame:
     def full_sets(batch: pa.RecordBatch):
         for first, end, texts in text_parts(batch.column(1), TOGETHER):
             raw = [s.tobytes() for s in shingle_sets(texts, size)]
-            yield pa.record_batch([batch.column(0).slice(first, end - first), pa.array(raw, pa.binary())], names=["id", "content"])
-
-    texts = rows.select(F.col("row").alias("id"), "text").join(clusters.select("id"), "id", "left_semi")
-    sets = map_arrow(texts, full_sets, "id long, content binary")
-    units = in_blocks(clusters, "cluster", "id", SET_BLOCK).select("id", "unit")
-    linked = stars(sets.join(units, "id"), bins, set_stars(percent, _as_sets))
+            columns = [*(batch.column(i).slice(first, end - first) for i in (0, 2)), pa.array(raw, pa.binary())]
+            yield pa.record_batch(columns, names=["id", "units", "content"])
+
+    # texts meet their units before sets are made, which are larger and so are shuffled only once
+    texts = marked(rows.select("row", "text"), clusters.select(F.col("id").alias("row"))).withColumnRenamed("row", "id")
+    units = block_units(clusters, "cluster", "id", SET_BLOCK).select("id", "units")
+    sets = map_arrow(texts.join(units, "id").select("id", "text", "units"), full_sets, "id long, units array<long>, content binary")
+    sets = sets.select("id", F.explode("units").alias("unit"), "content")
+    linked = stars(sets, bins, set_stars(percent, _as_sets))
     components = connected_components(linked)
 
     joined = classes.join(components, "id", "left")

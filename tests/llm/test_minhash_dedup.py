@@ -150,3 +150,23 @@ def test_components_of_random_graphs(spark):
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.id: r.component for r in got} == {x: root(x) for x in parent} and len(got) == len(parent)
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_sets_are_shuffled_only_to_their_units(spark, docs_of, monkeypatch):
+    plans, stars = [], m.stars
+
+    def seen(rows, *rest):
+        plans.append(rows._jdf.queryExecution().sparkPlan().toString())
+        return stars(rows, *rest)
+
+    monkeypatch.setattr(m, "stars", seen)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = near_copies()
+        got = m.near_duplicates(docs_of(rows), 5, 80).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == by_hand(rows, 5, 80)
+    of_sets = [p for p in plans if "MapInArrow" in p]
+    assert len(of_sets) == 1 and "Join" not in of_sets[0].split("MapInArrow")[0]
