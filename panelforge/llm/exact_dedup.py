@@ -14,7 +14,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.common import numbered, pick, power_of_two, release, rows_of, text_parts
@@ -189,7 +189,9 @@ def exact_dedup(docs: DataFrame, fan: int = 2, rows_per_slot: int = 16_384) -> D
     ids last; of rows repeated under one doc_id exactly one stays. An empty table gives no rows; other
     columns of ``docs`` are not looked at.
     """
-    both, lone = _with_winners(digests(docs), fan, rows_per_slot)
+    found = pin(digests(docs), "digests")
+    won = merge_runs(found, found.count(), fan, rows_per_slot).where("group_size > 1")
+    both, lone = found.join(won, "digest", "left"), F.col("group_size").isNull()
     return both.select(
         "doc_id",
         F.when(lone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -199,12 +201,6 @@ def exact_dedup(docs: DataFrame, fan: int = 2, rows_per_slot: int = 16_384) -> D
     )
 
 
-def _with_winners(found: DataFrame, fan: int, rows_per_slot: int) -> tuple[DataFrame, Column]:
-    found = pin(found, "digests")
-    won = merge_runs(found, found.count(), fan, rows_per_slot).where("group_size > 1")
-    return found.join(won, "digest", "left"), F.col("group_size").isNull()
-
-
 def keep_distinct(docs: DataFrame, fan: int = 2, rows_per_slot: int = 16_384) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
 
@@ -213,5 +209,6 @@ def keep_distinct(docs: DataFrame, fan: int = 2, rows_per_slot: int = 16_384) ->
     rows = numbered(docs, "exact-rows")
     doc_id, text = (f"c{docs.columns.index(name)}" for name in ("doc_id", "text"))
     plain = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "row")
-    both, lone = _with_winners(digests(plain), fan, rows_per_slot)
-    return rows_of(rows, both.where(lone | (F.col("row") == F.col("keep_row"))), docs.columns)
+    found = pin(digests(plain), "digests")
+    won = merge_runs(found, found.count(), fan, rows_per_slot)
+    return rows_of(rows, won.select(F.col("keep_row").alias("row")), docs.columns)

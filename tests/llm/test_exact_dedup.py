@@ -1,8 +1,10 @@
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from panelforge.llm.exact_dedup import ENTRY, digests, exact_dedup, merge_runs, merge_runs_of, sorted_run
+from panelforge.llm import common
+from panelforge.llm.exact_dedup import ENTRY, digests, exact_dedup, keep_distinct, merge_runs, merge_runs_of, sorted_run
 
 BLANK = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
@@ -75,3 +77,26 @@ def test_empty_table_and_clashing_columns(docs_of):
     assert exact_dedup(docs_of([])).collect() == []
     odd = docs_of([(1, "q"), (2, "q")]).selectExpr("*", "'z' AS TEXT", "1 AS keep_id", "2 AS digest")
     assert sorted((r.doc_id, r.keep_id) for r in exact_dedup(odd).collect()) == [(1, 1), (2, 1)]
+
+
+def test_marked_rows_are_those_of_a_semi_join(spark):
+    rows = common.numbered(spark.range(0, 100_000, 1, 3).select(F.col("id").alias("v")), "marked-test")
+    numbers = rows.where("c0 % 7 = 3 OR c0 < 20 OR c0 BETWEEN 70000 AND 70100").select("row")
+    want = {r.c0 for r in rows.join(numbers, "row", "left_semi").collect()}
+    got = [r.c0 for r in common.marked(rows, numbers.unionByName(numbers)).collect()]
+    assert len(got) == len(want) > 14_000 and set(got) == want
+    assert common.marked(rows, numbers.where("row < 0")).collect() == []
+
+
+def test_texts_are_not_shuffled_when_rows_are_kept(spark, docs_of):
+    docs = docs_of([(i, f"text {i // 2} " * 5) for i in range(20_000)]).repartition(3)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        kept = keep_distinct(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        ids = sorted(r.doc_id for r in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert ids == list(range(0, 20_000, 2))
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
