@@ -2,7 +2,8 @@
 
 Suffixes are first sorted to a shallow depth by multikey quicksort, on words of eight bytes: every segment splits around its
 median of three into smaller, equal and larger keys, all segments of a round at once. What then still has
-the same beginning is a group with a long common prefix; blind tries order those groups.
+the same beginning is a group with a long common prefix; blind tries order those groups, but for the ones whose members
+are all equal, which are in order already.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ WORD_BYTES = 8
 
 def words_at(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The eight bytes from each start as one number that sorts like them."""
-    return text[starts[:, None] + np.arange(WORD_BYTES)].reshape(-1).view(">u8").astype(np.uint64)
+    words = np.ndarray((max(0, len(text) - WORD_BYTES + 1),), ">u8", np.ascontiguousarray(text), strides=(1,))
+    return words[starts].astype(np.uint64)
 
 
 def multikey_round(keys: np.ndarray, perm: np.ndarray, low: np.ndarray, size: np.ndarray):
@@ -117,6 +119,17 @@ def sort_suffixes(text: np.ndarray, starts: np.ndarray, depth: int, shallow: int
         apart = keys[later] ^ keys[later - 1]
         common[later] = np.where(apart > 0, at + _zero_bytes(apart), at + WORD_BYTES)
         low, size = (np.concatenate(x) for x in zip(*equal, strict=True))
+    if len(low):
+        place, ends = spans(low, size), np.cumsum(size)
+        mine, first, same = starts[perm[place]], np.repeat(starts[perm[low]], size), np.ones(len(place), bool)
+        for at in range(shallow, depth, WORD_BYTES):
+            at = min(at, depth - WORD_BYTES)
+            same &= words_at(text, mine + at) == words_at(text, first + at)
+        alike = np.logical_and.reduceat(same, ends - size)
+        later = np.repeat(alike, size)
+        later[ends - size] = False
+        common[place[later]] = depth
+        low, size = low[~alike], size[~alike]
     raw = text.tobytes() if len(low) else b""
     for lo, m in zip(low.tolist(), size.tolist(), strict=True):
         members = perm[lo : lo + m]

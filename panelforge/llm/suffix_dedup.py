@@ -29,7 +29,8 @@ from panelforge.llm.common import pick
 from panelforge.llm.bpe import spans
 from panelforge.llm.deep_shallow import sort_suffixes
 
-LENGTH, GRAM = 50, 16
+#: Longer grams are shared by chance less often as documents are added, shorter ones make fewer anchors.
+LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 #: Documents of a chunk and of a bin on average, and passages whose anchors are looked for together.
 CHUNK_DOCS, BIN_DOCS, TOGETHER = 2000, 4000, 1 << 20
@@ -110,7 +111,10 @@ def gram_hashes(raw: bytes) -> np.ndarray:
     x += words[8 : n + 8]
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
+    x += words[16 : n + 16]
     x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
     return x
 

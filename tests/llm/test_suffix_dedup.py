@@ -2,8 +2,10 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from panelforge.llm import deep_shallow
 from panelforge.llm import suffix_dedup as s
 from panelforge.llm.deep_shallow import sort_suffixes
 
@@ -96,3 +98,33 @@ def test_suffixes_are_sorted(shallow):
     for before, key, n in zip(keys, keys[1:], common[1:], strict=False):
         same = next((i for i in range(50) if before[i] != key[i]), 50)
         assert n == same
+
+
+def test_short_strings_shared_by_chance_send_no_contexts():
+    rng = random.Random(8)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    shared = [noise(22) for _ in range(200)]
+    docs = [pa.table({"doc_id": [i], "text": ["".join(noise(10) + p for p in shared)]}) for i in (1, 2)]
+    anchors = pa.concat_tables(s.send_anchors(1)((pa.scalar(i),), doc) for i, doc in enumerate(docs))
+    replies = s.shared_anchors(anchors)
+    assert replies.column("shared").to_pylist() == [b"", b""]
+    assert s.send_contexts(1)((pa.scalar(0),), docs[0], replies.slice(0, 1)).num_rows == 0
+
+
+def test_suffixes_that_are_all_equal_meet_no_trie(monkeypatch):
+    seen = []
+    trie = deep_shallow.blind_order
+    monkeypatch.setattr(deep_shallow, "blind_order", lambda text, starts, depth: seen.append(starts) or trie(text, starts, depth))
+    rng = np.random.default_rng(2)
+    passages = [rng.integers(0, 256, 50) for _ in range(20)]
+    late = passages[0].copy()
+    late[49] ^= 1
+    text = np.concatenate([*passages, *passages, late, np.zeros(100)]).astype(np.uint8)
+    starts = np.arange(41) * 50
+    perm, common = sort_suffixes(text, starts, 50)
+    keys = [text[a : a + 50].tobytes() for a in starts[perm]]
+    assert keys == sorted(keys) and sorted(common.tolist())[-21:] == [49, *[50] * 20]
+    assert [sorted(x) for x in seen] == [[0, 1000, 2000]]
