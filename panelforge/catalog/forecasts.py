@@ -55,7 +55,7 @@ from panelforge.operators.entity import venue_risk
 from panelforge.operators.filters import after
 from panelforge.operators.impute import FillPolicy
 from panelforge.plans import claims, listings, panel, presets
-from panelforge.session import pin
+from panelforge.session import forget_shuffles, pin
 from panelforge.sources import Tables
 
 # -------------------------------------------------------------------------- feature tables
@@ -342,6 +342,7 @@ def fee_feature_table(t: Tables):
 def claims_feature_table(t: Tables):
     # visits and fees are the same lines of the same orders, joined once
     lines = pin(visits(t, fees=True), "visits")
+    forget_shuffles(t.spark)
     records = billed(lines)
     labels = t.customer.select(
         F.col("c_custkey").alias("person"),

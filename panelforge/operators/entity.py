@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import mentions, piece_count
 from panelforge.operators.aggregates import correlation, statistic_columns
+from panelforge.session import pin
 
 
 def cell_sums(
@@ -180,8 +181,11 @@ def gap_statistics(
 def venue_risk(
     records: DataFrame, labels: DataFrame, entity: str, venue: str, label: str, name: str = "weight"
 ) -> DataFrame:
-    """Number of distinct positive-label entities seen at each venue."""
-    positive = labels.filter(F.col(label) == 1).select(entity).distinct()
+    """Number of distinct positive-label entities seen at each venue.
+
+    The positive ones are written first: where their measured size lets them be broadcast, only their records are shuffled.
+    """
+    positive = pin(labels.filter(F.col(label) == 1).select(entity).distinct(), "positive")
     seen = records.select(entity, venue).distinct().join(positive, on=entity, how="left_semi")
     return seen.groupBy(venue).agg(F.count(F.lit(1)).alias(name))
 

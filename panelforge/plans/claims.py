@@ -13,8 +13,9 @@ from panelforge.functions.scalars import parse_day, piece_count
 from panelforge.operators.aggregates import STATISTICS, correlation, statistic_columns
 from panelforge.operators.columns import common_columns, drop_ranges, nonzero_columns
 from panelforge.operators.entity import repeat_rate, text_flags, venue_risk
-from panelforge.operators.joins import align, union_keys
+from panelforge.operators.joins import align, attach_groups, union_keys
 from panelforge.plans import presets
+from panelforge.session import pin
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,7 @@ def person_block(visits: DataFrame, roles: VisitRoles) -> DataFrame:
 def venue_block(visits: DataFrame, risk: DataFrame, roles: VisitRoles) -> DataFrame:
     """Everything grouped by (person, venue): distinct venues and their risk."""
     visited = visits.groupBy(roles.person, roles.venue).agg(F.count(F.lit(1)).alias("_n"))
-    rated = visited.join(risk.select(roles.venue, "weight"), on=roles.venue, how="left")
+    rated = attach_groups(visited, risk.select(roles.venue, "weight"), on=roles.venue)
     risky = F.col("weight").isNotNull()
     return rated.groupBy(roles.person).agg(
         F.count(F.when(F.col(roles.venue).isNotNull(), 1)).alias("hospital_kinds"),
@@ -177,18 +178,22 @@ def visit_features(visits: DataFrame, risk: DataFrame, roles: VisitRoles) -> Dat
     return align(blocks, roles.person).fillna(0)
 
 
-def fee_cells(fees: DataFrame, roles: FeeRoles) -> DataFrame:
+#: Fee lines of one person that may meet in one task; a person who has more is dealt by month and venue first.
+BUSY_LINES = 100_000
+
+
+def fee_cells(fees: DataFrame, roles: FeeRoles, deal: Sequence[str] | None = None) -> DataFrame:
     """One row per (person, day, venue): quantity, amount and item code totals.
 
     Lines are dealt by (person, month, venue), which spreads a person over venues and keeps the days of a venue's month
-    together: ``_first`` marks one of them.
+    together: ``_first`` marks one of them. ``deal`` names fewer of these keys.
     """
     amount = F.col(roles.price) * F.col(roles.quantity)
     keys = [roles.person, "_month", roles.venue]
     cells = (
         fees.dropna(subset=[roles.person, roles.day])
         .withColumn("_month", F.month(roles.day))
-        .repartition(*keys)
+        .repartition(*(deal or keys))
         .groupBy(*keys, roles.day)
         .agg(
             F.coalesce(F.sum(amount), F.lit(0)).alias("drug_fee"),
@@ -200,6 +205,22 @@ def fee_cells(fees: DataFrame, roles: FeeRoles) -> DataFrame:
     return cells.withColumn("_first", (place == 1) & F.col(roles.venue).isNotNull())
 
 
+def fee_days(cells: DataFrame, roles: FeeRoles) -> DataFrame:
+    """One row per (person, day): the totals, its venues and those that the month has not had before."""
+    return cells.groupBy(roles.person, roles.day).agg(
+        *[F.sum(c).alias(c) for c in _FEE_SUMS],
+        F.count(roles.venue).alias("hospitals"),
+        F.sum(F.col("_first").cast("int")).alias("_venues"),
+    )
+
+
+def busy_persons(fees: DataFrame, roles: FeeRoles) -> DataFrame:
+    """The persons of more than ``BUSY_LINES`` lines: at most one for each so many lines, written."""
+    counts = fees.groupBy(roles.person).agg(F.count(F.lit(1)).alias("_n"))
+    busy = counts.where((F.col("_n") > BUSY_LINES) & F.col(roles.person).isNotNull())
+    return pin(busy.select(F.col(roles.person).alias("_busy")), "busy-persons")
+
+
 _FEE_SUMS = ["drug_fee", "drug_counts", "cata3"]
 # the two families without the full set of statistics
 _FEE_STATISTICS = {"hospitals_perday": ["max", "median"], "drug_counts_perday": ["max", "mean"]}
@@ -208,19 +229,25 @@ _FEE_STATISTICS = {"hospitals_perday": ["max", "median"], "drug_counts_perday":
 def fee_features(fees: DataFrame, roles: FeeRoles) -> DataFrame:
     """Daily and monthly statistics, correlation with elapsed days, repeated dosage forms.
 
-    The days of a person, which the calendar bounds, meet once; the months are sums over them, so no statistic's buffers
-    are shuffled. A month's venues are the marks of their first days in it.
+    The lines of a person meet once and stay for all that is made of them. Of those with more than ``BUSY_LINES`` only the days
+    meet, which the calendar bounds. The months are sums over the days, so no statistic's buffers are shuffled; a month's
+    venues are the marks of their first days in it.
     """
-    days = (
-        fee_cells(fees, roles)
-        .groupBy(roles.person, roles.day)
-        .agg(
-            *[F.sum(c).alias(c) for c in _FEE_SUMS],
-            F.count(roles.venue).alias("hospitals"),
-            F.sum(F.col("_first").cast("int")).alias("_venues"),
-        )
-        .repartition(roles.person)
-    )
+    busy = busy_persons(fees, roles)
+    if busy.isEmpty():
+        table = _fee_statistics(fee_days(fee_cells(fees, roles, [roles.person]), roles), roles)
+    else:
+        is_busy = F.col(roles.person) == F.col("_busy")
+        few, many = (fees.join(busy, is_busy, how) for how in ("left_anti", "left_semi"))
+        days = fee_days(fee_cells(many, roles), roles).repartition(roles.person)
+        table = _fee_statistics(fee_days(fee_cells(few, roles, [roles.person]), roles), roles)
+        table = table.unionByName(_fee_statistics(days, roles))
+    forms = repeat_rate(fees, roles.person, roles.form, "med_kinds")
+    return table.join(forms, on=roles.person, how="left")
+
+
+def _fee_statistics(days: DataFrame, roles: FeeRoles) -> DataFrame:
+    """Statistics of the days of a person, who are dealt by person, and of the months."""
     names = ["hospitals", *_FEE_SUMS]
     ordered = Window.partitionBy(roles.person, F.month(roles.day)).orderBy(roles.day)
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -236,15 +263,13 @@ def fee_features(fees: DataFrame, roles: FeeRoles) -> DataFrame:
     def with_day(c: str, name: str):
         return correlation(F.col("_number"), F.col(c).cast("double")).alias(f"{name}_corrwithday")
 
-    table = days.withColumns({**months, "_number": number}).groupBy(roles.person).agg(
+    return days.withColumns({**months, "_number": number}).groupBy(roles.person).agg(
         *[a for c in names for a in statistics(c, "perday", c)],
         with_day("drug_counts", roles.quantity),
         with_day("drug_fee", "drug_fee"),
         with_day("cata3", roles.code),
         *[a for c in names for a in statistics(c, "permonth", f"_month_{c}")],
     )
-    forms = repeat_rate(fees, roles.person, roles.form, "med_kinds")
-    return table.join(forms, on=roles.person, how="left")
 
 
 def claims_table(

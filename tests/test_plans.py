@@ -2,6 +2,7 @@
 
 import datetime
 import itertools
+import re
 import statistics
 
 import pytest
@@ -199,6 +200,35 @@ def test_fee_lines_are_shuffled_once_per_key(spark):
                 assert row["hospitals_permonth_mean"] == pytest.approx(sum(kinds) / len(kinds))
 
 
+def test_fee_lines_of_a_person_are_shuffled_once(spark, monkeypatch, rows):
+    day = datetime.date(2023, 1, 30)
+    lines = []
+    for n in range(2000):
+        person, venue = (None if n % 97 == 0 else "big" if n % 3 else f"p{n % 5}"), (None if n % 11 == 0 else n * n % 7)
+        when = None if n % 101 == 0 else day + datetime.timedelta(n * 37 % 800)
+        lines.append((person, venue, when, n % 13, n % 4, n % 5, f"f{n % 6}"))
+    roles = claims.FeeRoles("person", "venue", "day", "price", "quantity", "code", "form")
+    df = spark.createDataFrame(lines, "person string, venue int, day date, price long, quantity long, code long, form string")
+    table = claims.fee_features(df, roles)
+    # the lines of a person and the forms, by key and by person
+    assert _exchanges(table) == 3
+    # a person of many lines is dealt by month and venue first, with the same result
+    monkeypatch.setattr(claims, "BUSY_LINES", 500)
+    assert [r["_busy"] for r in claims.busy_persons(df, roles).collect()] == ["big"]
+    busy = claims.fee_features(df, roles)
+    assert re.search(r"RepartitionByExpression \[person#\d+, _month#", busy._jdf.queryExecution().optimizedPlan().toString())
+    assert rows(busy.select([F.round(c, 6) if t == "double" else c for c, t in busy.dtypes])) == rows(
+        table.select([F.round(c, 6) if t == "double" else c for c, t in table.dtypes])
+    )
+
+
+def test_texts_that_go_are_not_shuffled_to_orders(spark):
+    for fees in (False, True):
+        lines = visits(Tables(spark, "/root/testdata/sf0.001"), fees=fees)
+        above = lines._jdf.queryExecution().optimizedPlan().toString().split("(l_orderkey", 1)
+        assert "concat_ws" not in above[0] and "concat_ws" in above[1]
+
+
 def test_months_of_visits_reuse_the_days_of_a_person(spark):
     data = [(p, "h", datetime.date(2024, 1, 1) + datetime.timedelta(n), "x", n) for p in "ab" for n in range(90)]
     df = spark.createDataFrame(data, "person string, venue string, day date, text string, v int")

@@ -30,3 +30,8 @@ def test_pinned_rows_have_no_lineage(spark, rows):
     assert "Scan parquet" in plan and "Range" not in plan
     assert rows(pinned) == [(i, 2 * i) for i in range(5)]
     assert callable(clear_scratch)
+
+
+def test_pinned_rows_are_packed_tightly(spark):
+    pinned = pin(spark.range(5), "test")
+    assert all(".zstd." in f for f in pinned.inputFiles())
